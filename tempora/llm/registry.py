@@ -1,11 +1,22 @@
 """The queries of this subpackage, for __spark_entry__.py."""
 
-from . import bpe, language, token_counts, toxicity
+from . import bpe, language, packing, token_counts, toxicity, warc
 
 QUERIES = {
     "op2_bpe": bpe.op2_bpe,
     "op3_language_id": language.op3_language_id,
     "op6_toxicity": toxicity.op6_toxicity,
+    "op8_packing": packing.op8_packing,
+    "op9_warc": warc.op9_warc,
     "op10_token_counts": token_counts.op10_token_counts,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_warc": """
+        WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS digest, octet_length(encode(coalesce(html, ''))) AS size FROM pages),
+        g AS (SELECT digest, max(page_id) AS keeper FROM p WHERE size >= 1000 GROUP BY digest)
+        SELECT p.page_id, CAST(size AS BIGINT) AS payload_bytes, p.digest AS payload_digest,
+            CASE WHEN g.keeper IS NOT NULL AND p.page_id IS DISTINCT FROM g.keeper THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN g.keeper IS NOT NULL AND p.page_id IS DISTINCT FROM g.keeper THEN g.keeper END AS refers_to
+        FROM p LEFT JOIN g ON p.digest = g.digest AND p.size >= 1000
+    """,
+}
