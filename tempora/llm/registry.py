@@ -1,16 +1,19 @@
 """The queries of this subpackage, for __spark_entry__.py."""
 
-from . import bpe, language, packing, token_counts, toxicity, warc
+from . import ann, bpe, language, mtree, packing, token_counts, toxicity, warc
 
 QUERIES = {
+    "op1_mtree": mtree.op1_mtree,
     "op2_bpe": bpe.op2_bpe,
     "op3_language_id": language.op3_language_id,
+    "op4_ann": ann.op4_ann,
     "op6_toxicity": toxicity.op6_toxicity,
     "op8_packing": packing.op8_packing,
     "op9_warc": warc.op9_warc,
     "op10_token_counts": token_counts.op10_token_counts,
 }
 ORACLES: dict[str, str] = {
+    "op1_mtree": mtree.ORACLE,
     "op9_warc": """
         WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS digest, octet_length(encode(coalesce(html, ''))) AS size FROM pages),
         g AS (SELECT digest, max(page_id) AS keeper FROM p WHERE size >= 1000 GROUP BY digest)
