@@ -80,3 +80,39 @@ def bounded_ids(df: DataFrame, bound: int, key: str = "doc_id", by: str | None =
         return cols.orderBy("_h", "_id").limit(bound).select("_id")
     w = Window.partitionBy("_by").orderBy("_h", "_id")
     return cols.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= bound).select("_id").distinct()
+
+
+def annotated(docs: DataFrame, text_col: str, compute: Callable[[list[str]], list[pa.Array]], new: str) -> DataFrame:
+    """docs with the further columns `new` ("name type, ..."), which compute gives for a list of whole texts.
+
+    One narrow pass; all columns of docs come along whatever their names, as long as they differ from the new ones.
+    """
+    from pyspark.sql.types import StructType
+
+    names, at = docs.columns, docs.columns.index(text_col)
+    fields = [f"c{i}" for i in range(len(names))]
+    added = StructType.fromDDL(new)
+    out = StructType()
+    for f, field in zip(fields, docs.schema, strict=True):
+        out.add(f, field.dataType)
+    for field in added:
+        out.add(field)
+
+    def run(batches):
+        for b in chunked(batches, at):
+            found = compute(texts_of(b, at))
+            yield pa.RecordBatch.from_arrays([*b.columns, *found], [*fields, *added.names])
+
+    rows = docs.toDF(*fields).mapInArrow(run, out)
+    return rows.toDF(*names, *added.names)
+
+
+#: Ids that may be broadcast (8 bytes each); beyond, the join is shuffled.
+BROADCAST_IDS = 1_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs without the given (distinct) ids, which are broadcast only after their number was checked."""
+    gone = stored(ids.toDF("_gone"), "gone")
+    few = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, F.col(id_col) == F.col("_gone"), "left_anti")

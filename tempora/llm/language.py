@@ -174,32 +174,34 @@ SPANS = "array<struct<start:int,stop:int,lang:string>>"
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", spans: bool = True) -> DataFrame:
     """Per row: id, lang_pred, score (share of the letters), spans (word numbers and language, if asked for)."""
+    out = labelled(docs.select(id_col, text_col), model, text_col, spans)
+    return out.select(id_col, F.col("lid_lang").alias("lang_pred"), F.col("lid_score").alias("score"), F.col("lid_spans").alias("spans"))
+
+
+def labelled(docs: DataFrame, model: LanguageModel, text_col: str = "text", spans: bool = False) -> DataFrame:
+    """docs with the columns lid_lang, lid_score, lid_spans (null unless asked for)."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by NGRAMS
     kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("lang", pa.string())]))
 
-    def run(batches):
+    def compute(texts: list[str]) -> list[pa.Array]:
         m = held.value
-        for b in common.chunked(batches):
-            words = [words_of(t) for t in common.texts_of(b)]
-            if m.langs and len(m.index) > common.CACHE_WORDS:
-                m.index, m.scores = {}, m.scores[:0]
-            labels = m.label(words) if m.langs else [np.zeros(0, np.int64)] * len(words)
-            names, scores, found = [], [], []
-            for ws, ls in zip(words, labels, strict=True):
-                if not len(ls):
-                    names.append(UNKNOWN), scores.append(0.0), found.append([])
-                    continue
-                weight = np.bincount(ls, np.fromiter(map(len, ws), np.float64, len(ws)), len(m.langs))
-                best = int(weight.argmax())
-                names.append(m.langs[best]), scores.append(float(weight[best] / weight.sum()))
-                cuts = [0, *(np.flatnonzero(np.diff(ls)) + 1).tolist(), len(ls)] if spans else []
-                found.append([{"start": a, "stop": z, "lang": m.langs[ls[a]]} for a, z in zip(cuts, cuts[1:], strict=False)])
-            cols = [b.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(found, kind)]
-            yield pa.RecordBatch.from_arrays(cols, ["id", "lang_pred", "score", "spans"])
-
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    out = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, lang_pred string, score double, spans {SPANS}")
-    return out.withColumnRenamed("id", id_col)
+        words = [words_of(t) for t in texts]
+        if len(m.index) > common.CACHE_WORDS:
+            m.index, m.scores = {}, m.scores[:0]
+        labels = m.label(words) if m.langs else [np.zeros(0, np.int64)] * len(words)
+        names, scores, found = [], [], []
+        for ws, ls in zip(words, labels, strict=True):
+            if not len(ls):
+                names.append(UNKNOWN), scores.append(0.0), found.append([] if spans else None)
+                continue
+            weight = np.bincount(ls, np.fromiter(map(len, ws), np.float64, len(ws)), len(m.langs))
+            best = int(weight.argmax())
+            names.append(m.langs[best]), scores.append(float(weight[best] / weight.sum()))
+            cuts = [0, *(np.flatnonzero(np.diff(ls)) + 1).tolist(), len(ls)]
+            found.append([{"start": a, "stop": z, "lang": m.langs[ls[a]]} for a, z in zip(cuts, cuts[1:], strict=False)] if spans else None)
+        return [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(found, kind)]
+
+    return common.annotated(docs, text_col, compute, f"lid_lang string, lid_score double, lid_spans {SPANS}")
 
 
 def held_out(doc_id: Column) -> Column:

@@ -1,13 +1,22 @@
 """The queries of this subpackage, for __spark_entry__.py."""
 
-from . import ann, bpe, language, mtree, packing, token_counts, toxicity, warc
+from . import ann, bpe, jaccard, language, mtree, packing, substrings, token_counts, toxicity, warc
+
+def _pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
 
 QUERIES = {
+    "pipeline": _pipeline,
     "op1_mtree": mtree.op1_mtree,
     "op2_bpe": bpe.op2_bpe,
     "op3_language_id": language.op3_language_id,
     "op4_ann": ann.op4_ann,
+    "op5_jaccard": jaccard.op5_jaccard,
     "op6_toxicity": toxicity.op6_toxicity,
+    "op7_substrings": substrings.op7_substrings,
     "op8_packing": packing.op8_packing,
     "op9_warc": warc.op9_warc,
     "op10_token_counts": token_counts.op10_token_counts,
