@@ -77,37 +77,63 @@ def _counts(batches):
         yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(keys, pa.string()), pa.array(langs, pa.string()), pa.array(list(tally.values()), pa.int64())], ["kind", "key", "lang", "n"])
 
 
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+
+def _ngram_hashes(codes: np.ndarray, n: int) -> np.ndarray:
+    """A hash for each n neighbouring code points."""
+    out = np.full(max(len(codes) - n + 1, 0), n, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(n):
+            out = (out ^ (out >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + len(out)]
+    return out
+
+
 class LanguageModel:
     """Log-probabilities of n-grams by language, and the languages seen in each script."""
 
-    def __init__(self, langs: list[str], table: dict[str, int], logs: np.ndarray, scripts: dict[str, np.ndarray]):
-        self.langs, self.table, self.logs, self.scripts = langs, table, logs, scripts
+    def __init__(self, langs: list[str], grams: list[str], logs: np.ndarray, scripts: dict[str, np.ndarray]):
+        keys = np.array([_ngram_hashes(_codes(g), len(g))[0] for g in grams], np.uint64)
+        order = np.argsort(keys)
+        self.langs, self.keys, self.logs, self.scripts = langs, keys[order], logs[order], scripts
+        self.forget()
+
+    def forget(self) -> None:
         self.index: dict[str, int] = {}
-        self.scores = np.zeros((0, len(langs)), np.float32)
-
-    def __getstate__(self):
-        return {"langs": self.langs, "table": self.table, "logs": self.logs, "scripts": self.scripts, "index": {}, "scores": np.zeros((0, len(self.langs)), np.float32)}
-
-    def score_word(self, word: str) -> np.ndarray:
-        """One value a language: mean log-probability of its n-grams, weighted by length; FLOOR outside the script's candidates."""
-        rows = [r for g in ngrams_of(word) if (r := self.table.get(g)) is not None]
-        out = np.zeros(len(self.langs), np.float32)
-        if rows:
-            out = self.logs[rows].mean(axis=0) * min(len(word) + 1, 10) / 2
-            out = np.maximum(out - out.max(), FLOOR)
-        allowed = self.scripts.get(script_of(word))
-        if allowed is not None and allowed.any():
-            out = np.where(allowed, out, np.float32(2 * FLOOR))
-        return out
+        self.scores = np.zeros((0, len(self.langs)), np.float32)
+
+    def score_words(self, words: list[str]) -> np.ndarray:
+        """One value a word and language: mean log-probability of its n-grams, weighted by length; FLOOR outside the script's candidates."""
+        bare = [f"<{w[:40]}>" for w in words]
+        sizes = np.fromiter(map(len, bare), np.int64, len(bare))
+        owner = np.repeat(np.arange(len(bare)), sizes)
+        codes = _codes("".join(bare))
+        sums, found = np.zeros((len(words), len(self.langs))), np.zeros(len(words))
+        if len(self.keys):
+            for n in (1, 2, 3, 4):
+                h = _ngram_hashes(codes, n)
+                at = np.searchsorted(self.keys, h)
+                at[at == len(self.keys)] = 0
+                good = np.flatnonzero((self.keys[at] == h) & (owner[: len(h)] == owner[n - 1 :]))
+                found += np.bincount(owner[good], minlength=len(words))
+                for k in range(len(self.langs)):
+                    sums[:, k] += np.bincount(owner[good], self.logs[at[good], k], len(words))
+        out = sums / np.maximum(found, 1)[:, None] * (np.minimum(sizes - 1, 10) / 2)[:, None]
+        out = np.maximum(out - out.max(axis=1, keepdims=True), FLOOR)
+        script = {c: self.scripts.get(script_of(chr(c))) for c in np.unique(codes[np.cumsum(sizes) - sizes + 1]).tolist()}
+        first = codes[np.cumsum(sizes) - sizes + 1]
+        for c, allowed in script.items():
+            if allowed is not None and allowed.any() and not allowed.all():
+                out[np.ix_(first == c, ~allowed)] = 2 * FLOOR
+        return out.astype(np.float32)
 
     def rows(self, words: list[str]) -> np.ndarray:
         """Row numbers of the words in self.scores."""
-        missing = set(words).difference(self.index)
+        missing = list(set(words).difference(self.index))
         if missing:
-            at = len(self.index)
-            new = list(missing)
-            self.index.update(zip(new, range(at, at + len(new)), strict=True))
-            self.scores = np.concatenate([self.scores, np.stack([self.score_word(w) for w in new]).astype(np.float32)])
+            self.index.update(zip(missing, range(len(self.index), len(self.index) + len(missing)), strict=True))
+            self.scores = np.concatenate([self.scores, self.score_words(missing)])
         return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
 
     def label(self, texts: list[list[str]], switch: float = SWITCH) -> list[np.ndarray]:
@@ -115,9 +141,8 @@ class LanguageModel:
         order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
         lengths = np.array([len(texts[i]) for i in order], np.int64)
         steps, n, width = int(lengths.max(initial=0)), len(order), len(self.langs)
-        rows = [self.rows(texts[i]) if texts[i] else np.zeros(0, np.int64) for i in order]
         starts = np.concatenate([[0], np.cumsum(lengths)])[:-1]
-        flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+        flat = self.rows([w for i in order for w in texts[i]])
         emit = self.scores[flat]
         active = np.searchsorted(-lengths, -np.arange(1, steps + 1), side="right")  # texts that reach this step
         stay = np.zeros((len(flat), width), bool)
@@ -166,7 +191,7 @@ def fit(docs: DataFrame, trainable: Column, id_col: str = "doc_id", text_col: st
     logs = np.log((matrix + 0.5) / mass)
     scripts = {r["key"]: counts_of(r) for r in found if r["kind"] == "script"}
     letters = sum(scripts.values()) if scripts else np.zeros(len(langs))
-    return LanguageModel(langs, {r["key"]: i for i, r in enumerate(grams)}, logs.astype(np.float32), {s: v > 0.01 * letters for s, v in scripts.items()})
+    return LanguageModel(langs, [r["key"] for r in grams], logs.astype(np.float32), {s: v > 0.01 * letters for s, v in scripts.items()})
 
 
 SPANS = "array<struct<start:int,stop:int,lang:string>>"
@@ -187,7 +212,7 @@ def labelled(docs: DataFrame, model: LanguageModel, text_col: str = "text", span
         m = held.value
         words = [words_of(t) for t in texts]
         if len(m.index) > common.CACHE_WORDS:
-            m.index, m.scores = {}, m.scores[:0]
+            m.forget()
         labels = m.label(words) if m.langs else [np.zeros(0, np.int64)] * len(words)
         names, scores, found = [], [], []
         for ws, ls in zip(words, labels, strict=True):
