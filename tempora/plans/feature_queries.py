@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import functions as F
 
+from ..functions.tables import stored
 from ..operators import features, observe, outcome, silver
 from ..sources.journal import Journal
 from .oracle import DAY, l1, sql
@@ -11,24 +14,30 @@ from .registry import query
 
 
 class Layers:
-    """The layers of one run; each is a lazy DataFrame built once."""
+    """The layers of one run: events, cycles and episodes are written once and read by everything above."""
 
     def __init__(self, spark, d):
         self.j = Journal(spark, d)
-        self.sem = silver.semantic(self.j)
-        self.identity = silver.inventory_identity(self.j)
+
+    @cached_property
+    def sem(self):
+        return stored(silver.semantic(self.j), "event")
+
+    @cached_property
+    def identity(self):
+        return silver.inventory_identity(self.j)
 
     @property
     def op(self):
         return silver.operational(self.sem)
 
-    @property
+    @cached_property
     def cycles(self):
-        return silver.cycles(self.sem, self.identity)
+        return stored(silver.cycles(self.sem, self.identity), "cycle")
 
-    @property
+    @cached_property
     def episodes(self):
-        return silver.episodes(self.sem, self.identity)
+        return stored(silver.episodes(self.sem, self.identity), "episode")
 
     @property
     def grid(self):

@@ -24,4 +24,4 @@ def query(name: str, oracle: str | None = None):
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from . import feature_queries, silver_queries  # noqa: F401
+    from . import feature_queries, score_queries, silver_queries  # noqa: F401
