@@ -228,7 +228,7 @@ def test_packing(docs, none, texts):
     total = Counter()
     for r in got:
         total[r["doc_id"]] += r["n"]
-    want = {i: len((t or "").split()) for i, t in texts}
+    want = {i: len((t or "").encode().split()) for i, t in texts}
     want[5] *= 2
     assert total == Counter({i: n for i, n in want.items() if n})
     load, size = Counter(), {}
