@@ -231,6 +231,8 @@ class WarcReader(DataSourceReader):
         return True
 
     def read(self, partition):
+        if partition is None:  # no files, no partitions
+            return
         store, _ = store_of(self.path)
         rows, held = [], 0
         with store.open_input_file(partition.path) as f:
