@@ -31,7 +31,7 @@ from . import common
 WINDOW = 13
 BLOCK = 7
 #: Windows that one bucket holds on average.
-BUCKET_ROWS = 1_500_000
+BUCKET_ROWS = 500_000
 SAMPLE_DOCS = 5000
 FREQUENT = 12
 FREQUENT_ROWS = 100_000
@@ -83,7 +83,7 @@ def _blobs(buckets: int, size: int, frequent: np.ndarray):
     """Deals the windows of a chunk's documents to buckets: rows (bucket, ids, counts, hashes, positions)."""
 
     def run(batches):
-        for b in common.chunked(batches, limit=8 * common.CHUNK_CHARS):
+        for b in common.chunked(batches, limit=3 * common.CHUNK_CHARS):
             marks = b.column(2) if b.num_columns > 2 else None
             hs, ps, ds = [], [], []
             ids = b.column(0).to_numpy(zero_copy_only=False)
