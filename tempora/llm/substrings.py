@@ -68,15 +68,15 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def windows(hashes: np.ndarray, size: int) -> np.ndarray:
-    """A hash for each run of `size` words, in order of their starts."""
-    n = len(hashes) - size + 1
-    if n <= 0:
+    """A hash for each run of `size` words, in order of their starts: by doubling, then two overlapping halves."""
+    if len(hashes) < size:
         return np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
-        for k in range(size):
-            out = _mix(out * np.uint64(3) + hashes[k : k + n] + np.uint64(k + 1))
-    return out
+        both = lambda x, k: _mix(x[: len(x) - k] * np.uint64(3) + x[k:] + np.uint64(size))
+        out, k = _mix(hashes + np.uint64(size)), 1
+        while 2 * k <= size:
+            out, k = both(out, k), 2 * k
+        return both(out, size - k) if k < size else out
 
 
 def _blobs(buckets: int, size: int, frequent: np.ndarray):
@@ -157,14 +157,36 @@ def _runs(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.concatenate([[0], np.cumsum(s[1:] != s[:-1])])
 
 
-def _by_doc(d: np.ndarray, values: np.ndarray) -> pd.DataFrame:
-    order = np.argsort(d, kind="stable")
-    docs, first = np.unique(d[order], return_index=True)
-    cuts = np.split(values[order], first[1:])
-    return pd.DataFrame({"id": docs, "found": [c.tobytes() for c in cuts] if len(docs) else []})
+def _dealt(d: np.ndarray, values: np.ndarray, groups: int) -> pd.DataFrame:
+    """(document, value) pairs in packed blobs, dealt by document: a row a group, however many documents it has."""
+    g = (_mix(d.astype(np.uint64)) % np.uint64(groups)).astype(np.int64)
+    order = np.argsort(g, kind="stable")
+    keys, first = np.unique(g[order], return_index=True)
+    ends = [*first[1:].tolist(), len(order)]
+    d, values = d[order], values[order]
+    cut = list(zip(first.tolist(), ends, strict=True))
+    return pd.DataFrame({"g": keys.astype(np.int32), "ids": [d[x:y].tobytes() for x, y in cut], "found": [values[x:y].tobytes() for x, y in cut]})
 
 
-def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
+DEALT = "g int, ids binary, found binary"
+
+
+def _by_doc(kind):
+    """All values of each document of a group as one blob."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        d = np.frombuffer(b"".join(pdf["ids"]), np.int64)
+        values = np.frombuffer(b"".join(pdf["found"]), kind)
+        order = np.argsort(d, kind="stable")
+        docs, first = np.unique(d[order], return_index=True)
+        values = values[order]
+        ends = [*first[1:].tolist(), len(order)]
+        return pd.DataFrame({"id": docs, "found": [values[x:y].tobytes() for x, y in zip(first.tolist(), ends, strict=True)]})
+
+    return run
+
+
+def _meet(pdf: pd.DataFrame, groups: int) -> pd.DataFrame:
     """Places of the windows whose hash is an anchor's somewhere and occurs in two documents at least."""
     h, d, p = _open(pdf, np.uint32)
     order, run = _runs(h)
@@ -174,10 +196,10 @@ def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
     np.minimum.at(low, run, ds)
     np.maximum.at(high, run, ds)
     hit = (anchor & (low < high))[run]
-    return _by_doc(ds[hit], p[order][hit])
+    return _dealt(ds[hit], p[order][hit], groups)
 
 
-def _later(pdf: pd.DataFrame) -> pd.DataFrame:
+def _later(pdf: pd.DataFrame, groups: int) -> pd.DataFrame:
     """Of each document, the hashes of its windows that a smaller document has too."""
     h, d, _ = _open(pdf, np.uint64)
     order, run = _runs(h)
@@ -185,7 +207,7 @@ def _later(pdf: pd.DataFrame) -> pd.DataFrame:
     low = np.full(run[-1] + 1, np.iinfo(np.int64).max)
     np.minimum.at(low, run, ds)
     late = ds > low[run]
-    return _by_doc(ds[late], h[order][late])
+    return _dealt(ds[late], h[order][late], groups)
 
 
 def _sampled(rows: DataFrame, size: int, share: float) -> np.ndarray:
@@ -235,8 +257,9 @@ def deduped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     frequent13 = _sampled(known, WINDOW, share)
 
     blobs = known.mapInArrow(_blobs(buckets, BLOCK, frequent7), BLOBS)
-    hits = common.stored(blobs.groupBy("bucket").applyInPandas(_meet, "id long, found binary"), "hits")
-    places = hits.groupBy(F.col("id").alias("h_id")).agg(F.array_join(F.collect_list(F.hex("found")), "").alias("found"))
+    groups = max(common.slots(spark), buckets // 8)
+    hits = blobs.groupBy("bucket").applyInPandas(lambda pdf: _meet(pdf, groups), DEALT)
+    places = common.stored(hits.groupBy("g").applyInPandas(_by_doc(np.int32), "id long, found binary"), "hits").withColumnRenamed("id", "h_id")
 
     held7 = spark.sparkContext.broadcast(frequent7)  # at most FREQUENT_ROWS
     held13 = spark.sparkContext.broadcast(frequent13)
@@ -246,7 +269,7 @@ def deduped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         for b in common.chunked(batches):
             keep, marks = [], []
             for i, (t, found) in enumerate(zip(common.texts_of(b), b.column(2).to_pylist(), strict=True)):
-                at = np.frombuffer(bytes.fromhex(found or ""), np.int32)
+                at = np.frombuffer(found or b"", np.int32)
                 if len(held7.value):
                     h = windows(word_hashes(words_of(t)), BLOCK)
                     at = np.concatenate([at, np.flatnonzero(_isin(h, held7.value)).astype(np.int32)])
@@ -259,8 +282,8 @@ def deduped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     joined = known.join(places, F.col("id") == F.col("h_id"), "left" if len(frequent7) else "inner").select("id", "text", "found")
     marked = joined.mapInArrow(add_frequent, "id long, text string, marks binary")
     second = marked.mapInArrow(_blobs(buckets, WINDOW, frequent13), BLOBS)
-    late = second.groupBy("bucket").applyInPandas(_later, "id long, found binary")
-    late = late.groupBy(F.col("id").alias("l_id")).agg(F.collect_list("found").alias("late"))
+    late = second.groupBy("bucket").applyInPandas(lambda pdf: _later(pdf, groups), DEALT)
+    late = late.groupBy("g").applyInPandas(_by_doc(np.uint64), "id long, found binary").withColumnsRenamed({"id": "l_id", "found": "late"})
     low = {}
     if len(frequent13):
         low = {r["h"]: r["low"] for r in known.mapInArrow(_frequent_hits(frequent13), "h long, low long").groupBy("h").agg(F.min("low").alias("low")).collect()}  # at most FREQUENT_ROWS
@@ -285,7 +308,7 @@ def deduped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                     h = windows(word_hashes(words), WINDOW)
                     bad = np.zeros(len(h), bool)
                     if found:
-                        bad |= _isin(h, np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in found])))
+                        bad |= _isin(h, np.sort(np.frombuffer(found, np.uint64)))
                     if len(held13.value):
                         at = np.searchsorted(held13.value, h)
                         at[at == len(held13.value)] = 0
