@@ -11,11 +11,9 @@ from ..streaming import replay
 from .registry import query
 
 
-def _written(spark, d, frame, mode):
-    """A stream's result, written by file sink or memory table, against the same batch query's SQL."""
-    name = f"s{uuid.uuid4().hex}"
-    marker = stored(spark.range(1, numPartitions=1), "stream").inputFiles()[0].rsplit("/", 1)[0]
-    return replay.replay(frame, name, mode, f"{marker}-checkpoint")
+def _folder(spark):
+    """A new folder for a stream's table and checkpoint, beside the written tables."""
+    return stored(spark.range(1, numPartitions=1), "stream").inputFiles()[0].rsplit("/", 1)[0] + f"-{uuid.uuid4().hex}"
 
 
 def _stream(spark, d):
@@ -27,11 +25,11 @@ def _stream(spark, d):
 
 @query("stream_counters", "SELECT user_id, count(*) AS events, epoch_us(max(ts)) AS last_us FROM events GROUP BY user_id")
 def _(spark, d):
-    out = _written(spark, d, replay.counters(_stream(spark, d), "user_id"), "complete")
+    out = replay.replay_changes(replay.counters(_stream(spark, d), "user_id"), "user_id", _folder(spark))
     return out.select("user_id", "events", F.unix_micros("last_ts").alias("last_us"))
 
 
 @query("stream_replay", "SELECT count(*) AS n, count(DISTINCT event_id) AS ids FROM events")
 def _(spark, d):
     once = replay.ingest(_stream(spark, d).select("event_id", "ts"))
-    return _written(spark, d, once, "append").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("ids"))
+    return replay.replay(once, _folder(spark)).agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("ids"))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def ingest(stream: DataFrame, key: str = "event_id", time: str = "ts", late: str = "7 days") -> DataFrame:
-    """Lines once each, by key, as long as they come within the watermark."""
-    return stream.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
+def ingest(stream: DataFrame, key: str = "event_id") -> DataFrame:
+    """Lines once each, by key, however late they come: all keys are kept as state (in RocksDB, see replay), as no watermark drops any."""
+    return stream.dropDuplicates([key])
 
 
 def rolling(stream: DataFrame, group: str, time: str = "ts", window: str = "90 days", step: str = "1 day", late: str = "7 days") -> DataFrame:
@@ -26,8 +26,33 @@ def touched(batch: DataFrame, item: str = "item") -> DataFrame:
     return batch.select(item).where(F.col(item).isNotNull()).distinct()
 
 
-def replay(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Runs what is available to an end and returns the result table."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+def _run(writer, checkpoint: str, spark: SparkSession) -> None:
+    """Runs what is available to an end, with the state on the executors' disks."""
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+
+
+def replay(stream: DataFrame, folder: str) -> DataFrame:
+    """Appends what is available to a Parquet table by file sink; the written table, read again."""
+    spark = stream.sparkSession
+    _run(stream.writeStream.format("parquet").option("path", f"{folder}/table").outputMode("append"), f"{folder}/checkpoint", spark)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/table")
+
+
+def replay_changes(stream: DataFrame, key: str, folder: str) -> DataFrame:
+    """Writes the rows that each micro-batch changes to Parquet, a folder a batch, so that a batch run again replaces its own; the last row of each key."""
+    spark = stream.sparkSession
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/table/batch={number}")
+
+    _run(stream.writeStream.foreachBatch(put).outputMode("update"), f"{folder}/checkpoint", spark)
+    names = stream.columns
+    rows = spark.read.schema(stream.schema.add("batch", "long")).parquet(f"{folder}/table")
+    last = rows.groupBy(F.col(key).alias("_key")).agg(F.max_by(F.struct(*names), "batch").alias("_last"))
+    return last.select(*[F.col(f"_last.{c}").alias(c) for c in names])
