@@ -1,7 +1,9 @@
 """Operator 3: language identification of mixed-language text.
 
-The script of a word's first letter narrows the candidate languages (those in which that script was
-seen). Each word gets a log-probability for each candidate from its character n-grams; Viterbi with a
+A word is a run of letters of one script, of at most SEGMENT characters: longer runs (into words of about PIECE) and
+runs that change script are cut into successive words, so all their characters take part in fit and labels (in
+writing without spaces a run is a clause or more). The script narrows the candidate languages (those in
+which it was seen). Each word gets a log-probability for each candidate from its character n-grams; Viterbi with a
 penalty for each switch labels the words of a text, and equal neighbours make a span. The text's
 language is the one with the most letters in its spans.
 
@@ -16,6 +18,7 @@ each; an empty table gives an empty one; further columns are ignored.
 from __future__ import annotations
 
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +30,9 @@ from . import common
 
 SAMPLE_ROWS = 3000
 SAMPLE_CHARS = 20_000
+#: Characters of a word; longer runs of letters are cut evenly into words of about PIECE, at which length a word has its full weight.
+SEGMENT = 40
+PIECE = 10
 NGRAMS = 60_000
 SWITCH = 7.0
 FLOOR = -6.0
@@ -47,19 +53,61 @@ SCRIPTS = {
 }
 NAMES = [*SCRIPTS, "other"]
 _WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*").findall
+_MARK = regex.compile(r"\p{M}").match
 
 
 def words_of(text: str) -> list[str]:
-    return _WORDS(text.lower())
+    out: list[str] = []
+    for run in _WORDS(text.lower()):
+        if len(run) > SEGMENT:
+            out += cut_run(run)
+        elif run.isascii():
+            out.append(run)
+        else:
+            out += _cut_short(run)
+    return out
 
 
 def script_of(word: str) -> str:
-    c = ord(word[0])
+    return _script(word[0])
+
+
+@lru_cache(100_000)
+def _script(letter: str) -> str:
+    c = ord(letter)
     return next((s for s, spans in SCRIPTS.items() if any(a <= c <= b for a, b in spans)), "other")
 
 
+def cut_run(run: str) -> list[str]:
+    """The run in pieces of one script and at most SEGMENT characters; marks, and letters of no told script, go with what stands before."""
+    starts, now = [0], _script(run[0])
+    for i, c in enumerate(run):
+        s = now if "a" <= c <= "z" and now == "latin" else _script(c)
+        if s != now and s != "other" and not _MARK(c):
+            if now != "other":
+                starts.append(i)
+            now = s
+    out = []
+    for a, z in zip(starts, [*starts[1:], len(run)], strict=True):
+        parts = -(-(z - a) // PIECE) if z - a > SEGMENT else 1
+        at = a
+        for k in range(1, parts + 1):
+            stop = a + (z - a) * k // parts
+            while at < stop < z and _MARK(run[stop]) and stop - at < SEGMENT:
+                stop += 1
+            if stop > at:
+                out.append(run[at:stop])
+                at = stop
+    return out
+
+
+@lru_cache(100_000)
+def _cut_short(run: str) -> tuple[str, ...]:
+    return tuple(cut_run(run))
+
+
 def ngrams_of(word: str) -> list[str]:
-    w = f"<{word[:40]}>"
+    w = f"<{word}>"
     return [w[i : i + n] for n in (1, 2, 3, 4) for i in range(len(w) - n + 1)]
 
 
@@ -105,7 +153,7 @@ class LanguageModel:
 
     def score_words(self, words: list[str]) -> np.ndarray:
         """One value a word and language: mean log-probability of its n-grams, weighted by length; FLOOR outside the script's candidates."""
-        bare = [f"<{w[:40]}>" for w in words]
+        bare = [f"<{w}>" for w in words]
         sizes = np.fromiter(map(len, bare), np.int64, len(bare))
         owner = np.repeat(np.arange(len(bare)), sizes)
         codes = _codes("".join(bare))

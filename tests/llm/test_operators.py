@@ -110,6 +110,25 @@ def test_language(spark, none):
     assert {r["lang_pred"] for r in language.identify(test, blank).collect()} == {"und"}
 
 
+def test_language_sees_long_runs_as_a_whole(spark):
+    from pyspark.sql import functions as F
+
+    for run in ("x", "ab" * 500, "ที่" * 90, "漢字かな" * 40, "abc" + "жзи" * 30 + "o\u0301" * 60, "人々", "ʻokina" * 20, "a" + "\u0301" * 200):
+        cut = language.cut_run(run)
+        assert "".join(cut) == run and all(0 < len(w) <= language.SEGMENT for w in cut)
+    assert language.cut_run("theэто") == ["the", "это"] and language.cut_run("人々") == ["人々"] and language.cut_run("ʻaina") == ["ʻaina"]
+    letters = {"aa": "กขคงจ", "bb": "ฉชซญฎ", "cc": "жзийк"}
+    rows = [(i, "".join(rnd.choices(letters[g], k=300)), g) for i, g in enumerate(["aa", "bb", "cc"] * 30)]
+    train = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(train, F.lit(True))
+    long = {(x, y): "".join(rnd.choices(letters[x], k=40)) + "".join(rnd.choices(letters[y], k=400)) for x in letters for y in letters if x != y}
+    test = spark.createDataFrame([(k, t) for k, t in enumerate(long.values())], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in language.identify(test, model).collect()}
+    for k, (x, y) in enumerate(long):
+        assert got[k]["lang_pred"] == y and abs(got[k]["score"] - 400 / 440) < 0.06
+        assert [s["lang"] for s in got[k]["spans"]] == [x, y]
+
+
 def test_viterbi_is_exact():
     model = language.LanguageModel(["a", "b", "c"], [], np.zeros((0, 3), np.float32), {})
     g = np.random.default_rng(1)
