@@ -15,6 +15,9 @@ from tempora.llm import common, jaccard, language, packing, substrings, toxicity
 
 #: Share of the letters that a document's language must have; mixed text of several languages passes.
 LANGUAGE_SHARE = 0.35
+#: Near duplicates: words of a shingle, and the least Jaccard similarity. op5_jaccard has its own contract (4 and 85).
+NEAR_WORDS = 5
+NEAR_PERCENT = 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +33,7 @@ def drop_no_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row of the smallest id of each component stays; of rows that repeat this id, one."""
-    found = jaccard.join(docs)
+    found = jaccard.join(docs, size=NEAR_WORDS, percent=NEAR_PERCENT)
     kept = common.without(docs, found.where("component_id <> doc_id").select("doc_id").distinct())
     repeated = docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").limit(1).count()
     if repeated:

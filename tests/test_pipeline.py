@@ -1,0 +1,22 @@
+"""The near-duplicate stage of the pipeline: shingles of five words, similarity of 0.8 or more."""
+
+import corpus_pipeline
+
+
+def similarity(a, b, size):
+    x, y = ({tuple(w[k : k + size]) for k in range(len(w) - size + 1)} for w in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def edited(base, at):
+    return [f"new{i}" if i in at else w for i, w in enumerate(base)]
+
+
+def test_near_duplicates_from_five_words_and_four_fifths_on(spark):
+    base, other = [f"w{i}" for i in range(98)], [f"v{i}" for i in range(98)]
+    near, far = edited(base, (20, 60)), edited(other, (20, 50, 80))
+    assert similarity(base, near, 5) >= 0.8 and similarity(base, near, 4) < 0.85 and similarity(other, far, 5) < 0.8
+    rows = [(k, " ".join(w), "xx", "s", 1) for k, w in enumerate((base, near, other, far))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 3]
