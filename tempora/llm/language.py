@@ -8,7 +8,7 @@ penalty for each switch labels the words of a text, and equal neighbours make a
 language is the one with the most letters in its spans.
 
 The n-gram model is fitted on a bounded sample of labelled rows: SAMPLE_ROWS for each language, in
-the order of their ids' hashes. Everything else sees every text as a whole.
+the order of their ids' hashes, of each the whole text. Everything else sees every text as a whole.
 
 Defined results: a text that is null or has no letters is `und` with score 0; so is every text when
 nothing could be learned; equal weights go to the first language by name; repeated rows give a row
@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from . import common
 
 SAMPLE_ROWS = 3000
-SAMPLE_CHARS = 20_000
+#: Entries of a partition's tally of n-grams before it is handed on.
+TALLY = 500_000
 #: Characters of a word; longer runs of letters are cut evenly into words of about PIECE, at which length a word has its full weight.
 SEGMENT = 40
 PIECE = 10
@@ -112,7 +113,12 @@ def ngrams_of(word: str) -> list[str]:
 
 
 def _counts(batches):
-    """(kind, key, lang) counts of a partition's sample: n-grams and scripts."""
+    """(kind, key, lang) counts of a partition's sample, over whole texts: n-grams and scripts. A key may come several times."""
+
+    def handed(tally):
+        kinds, keys, langs = zip(*tally, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(keys, pa.string()), pa.array(langs, pa.string()), pa.array(list(tally.values()), pa.int64())], ["kind", "key", "lang", "n"])
+
     tally: Counter = Counter()
     for b in common.chunked(batches):
         for text, lang in zip(common.texts_of(b), b.column(2).to_pylist(), strict=True):
@@ -120,9 +126,11 @@ def _counts(batches):
                 tally["script", script_of(w), lang] += k * len(w)
                 for g in ngrams_of(w):
                     tally["ngram", g, lang] += k
+                if len(tally) >= TALLY:
+                    yield handed(tally)
+                    tally.clear()
     if tally:
-        kinds, keys, langs = zip(*tally, strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(keys, pa.string()), pa.array(langs, pa.string()), pa.array(list(tally.values()), pa.int64())], ["kind", "key", "lang", "n"])
+        yield handed(tally)
 
 
 def _codes(text: str) -> np.ndarray:
@@ -223,11 +231,11 @@ class LanguageModel:
 
 
 def fit(docs: DataFrame, trainable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
-    """Learns from up to sample_rows labelled rows for each language, of each the first SAMPLE_CHARS characters."""
+    """Learns from up to sample_rows labelled rows for each language, of each the whole text."""
     labelled = docs.where(trainable & F.col(lang_col).isNotNull())
     ids = common.bounded_ids(labelled, sample_rows, id_col, lang_col)
     sample = labelled.join(F.broadcast(ids), F.col(id_col) == F.col("_id"), "left_semi")  # at most sample_rows ids for each language
-    rows = sample.select(F.col(id_col).alias("id"), F.substring(text_col, 1, SAMPLE_CHARS).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    rows = sample.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     counts = rows.mapInArrow(_counts, "kind string, key string, lang string, n long").groupBy("kind", "key", "lang").agg(F.sum("n").alias("n"))
     totals = counts.groupBy("kind", "key").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"), F.sum("n").alias("total"))
     found = totals.orderBy((F.col("kind") == "script").desc(), F.col("total").desc(), "key").limit(NGRAMS + len(NAMES)).collect()  # bounded by NGRAMS

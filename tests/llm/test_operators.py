@@ -129,6 +129,19 @@ def test_language_sees_long_runs_as_a_whole(spark):
         assert [s["lang"] for s in got[k]["spans"]] == [x, y]
 
 
+def test_language_learns_from_whole_texts(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(language, "TALLY", 50)
+    opening = "lorem ipsum " * 2000
+    train = spark.createDataFrame([(i, opening + ("gnarl frob " if i % 2 else "shwe klim ") * 3000, "ab"[i % 2]) for i in range(6)], "doc_id long, text string, lang string")
+    test = spark.createDataFrame([(0, "shwe klim"), (1, "frob gnarl")], "doc_id long, text string")
+    model = language.fit(train, F.lit(True))
+    assert {r["doc_id"]: r["lang_pred"] for r in language.identify(test, model).collect()} == {0: "a", 1: "b"}
+    n = {(r["key"], r["lang"]): r["n"] for r in train.select("doc_id", "text", "lang").coalesce(1).mapInArrow(language._counts, "kind string, key string, lang string, n long").groupBy("key", "lang").agg(F.sum("n").alias("n")).collect()}
+    assert n["frob", "b"] == n["shwe", "a"] == 9000
+
+
 def test_viterbi_is_exact():
     model = language.LanguageModel(["a", "b", "c"], [], np.zeros((0, 3), np.float32), {})
     g = np.random.default_rng(1)
