@@ -4,8 +4,9 @@ Documents become pieces of at most the largest permitted length. Piece lengths a
 packing is planned on the histogram of lengths (at most that many rows): best-fit decreasing over
 several permitted bin lengths at once. A piece goes to the open bin that it leaves least room in; with
 none, the bin length is opened that costs least for the piece and what can still be put beside it; in
-the end each bin is downsized to the least permitted length that holds its contents. Equal bins are
-planned once with their number, so the plan's size follows the number of distinct lengths. Pieces then
+the end each bin is downsized to the least permitted length that holds its contents. Open bins are
+held as classes of equal ones with their number, so the plan's size follows the number of distinct
+lengths. Pieces then
 find their bins by their rank among the pieces of equal length; ranks come from salted counts, so no
 length is in one task alone.
 
@@ -30,42 +31,72 @@ SALT_ROWS = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def _opened(lengths: list[int], left: dict[int, int], caps: Sequence[int]) -> tuple[int, int]:
+    """(capacity, bins) to open for the longest length: the least cost a token with what can still be put beside the piece."""
+    top = lengths[-1]
+    best = None
+    for cap in caps[bisect.bisect_left(caps, top) :]:
+        content, room = {}, cap
+        i = len(lengths) - 1
+        while room > 0 and i >= 0:
+            n = lengths[i]
+            if k := min(room // n, left[n]):
+                content[n] = k
+                room -= k * n
+            i = min(i, bisect.bisect_right(lengths, room)) - 1
+        used = cap - room
+        cost = (caps[bisect.bisect_left(caps, used)] + OPENING) / used  # downsized
+        if best is None or cost < best[0]:
+            best = (cost, cap, min(left[n] // k for n, k in content.items()))
+    return best[1], best[2]
+
+
 def plan(histogram: dict[int, int], capacities: Sequence[int] = CAPACITIES) -> list[tuple[int, int, int, dict[int, int]]]:
-    """Groups of equal bins: (first bin number, bins, capacity, pieces of each length in a bin)."""
+    """Groups of equal bins: (first bin number, bins, capacity, pieces of each length in a bin).
+
+    Open bins are held as classes of equal bins in order of their room. After a piece its bin is still the one of least
+    room that may hold the next piece of this length, so a class takes room // n pieces a bin; at most one class a length
+    is split, so there are few more classes than lengths.
+    """
     caps = sorted(capacities)
     left = {n: k for n, k in histogram.items() if k > 0}
     lengths = sorted(left)
-    groups, first = [], 0
+    open_: list[tuple[int, int, int, dict[int, int]]] = []  # room, number (so that no contents are compared), bins, contents
+    done: list[tuple[int, dict[int, int]]] = []
+    made = 0
+
+    def keep(room: int, bins: int, content: dict[int, int]) -> None:
+        nonlocal made
+        if bins and room < lengths[0]:
+            done.append((bins, content))
+        elif bins:
+            made += 1
+            bisect.insort(open_, (room, made, bins, content))
+
     while lengths:
-        top = lengths[-1]
-        best = None
-        for cap in caps[bisect.bisect_left(caps, top) :]:
-            content, room = {top: 1}, cap - top
-            while room > 0:
-                # the longest piece that fits leaves the least room
-                i = bisect.bisect_right(lengths, room) - 1
-                while i >= 0 and left[lengths[i]] <= content.get(lengths[i], 0):
-                    i -= 1
-                if i < 0:
-                    break
-                n = lengths[i]
-                k = min(room // n, left[n] - content.get(n, 0))
-                content[n] = content.get(n, 0) + k
-                room -= k * n
-            used = cap - room
-            size = caps[bisect.bisect_left(caps, used)]  # downsized
-            cost = (size + OPENING) / used
-            if best is None or cost < best[0]:
-                best = (cost, size, content)
-        _, size, content = best
-        bins = min(left[n] // k for n, k in content.items())
-        groups.append((first, bins, size, content))
+        n = lengths[-1]
+        while k := left[n]:
+            at = bisect.bisect_left(open_, (n,))
+            if at < len(open_):
+                room, _, bins, content = open_.pop(at)
+            else:
+                room, bins = _opened(lengths, left, caps)
+                content = {}
+            each = room // n
+            full = min(bins, k // each)
+            rest = k - full * each if full < bins else 0  # for one bin more, not filled
+            keep(room - each * n, full, content | {n: each}) if full else None
+            keep(room - rest * n, 1, content | {n: rest}) if rest else None
+            keep(room, bins - full - bool(rest), content) if content else None
+            left[n] -= full * each + rest
+        del left[n]
+        lengths.pop()
+    done += [(bins, content) for _, _, bins, content in open_]
+    groups, first = [], 0
+    for bins, content in done:
+        used = sum(n * k for n, k in content.items())
+        groups.append((first, bins, caps[bisect.bisect_left(caps, used)], content))  # downsized
         first += bins
-        for n, k in content.items():
-            left[n] -= bins * k
-            if not left[n]:
-                del left[n]
-                lengths.pop(bisect.bisect_left(lengths, n))
     return groups
 
 

@@ -286,6 +286,25 @@ def test_packing_plan_places_every_piece():
         assert left == Counter(h)
 
 
+def test_packing_plan_is_best_fit():
+    """A piece goes to the open bin of least room: the 3 beside 55 and 42, not into the first bin; and the same rooms as piece by piece."""
+    groups = packing.plan({60: 1, 55: 1, 42: 1, 3: 1}, (100,))
+    assert sorted(sorted(c) for _, _, _, c in groups) == [[3, 42, 55], [60]]
+    for seed in range(30):
+        r = random.Random(seed)
+        h = {r.randint(1, 100): r.randint(1, 30) for _ in range(r.randint(1, 40))}
+        rooms = []
+        for n in sorted(Counter(h).elements(), reverse=True):
+            fits = [x for x in rooms if x >= n]
+            if fits:
+                rooms.remove(min(fits))
+            rooms.append((min(fits) if fits else 100) - n)
+        got = Counter()
+        for _, bins, _, c in packing.plan(h, (100,)):
+            got[100 - sum(n * k for n, k in c.items())] += bins
+        assert got == Counter(rooms)
+
+
 def vecs(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string")
 
