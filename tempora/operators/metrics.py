@@ -63,8 +63,8 @@ def brier_at(rows: DataFrame, censor: DataFrame, h: float, time: str = "duration
     return keyed.agg((F.sum(loss) / F.count("*")).alias("brier"))
 
 
-def bootstrap_ci(rows: DataFrame, key: str, draws: int = 200, seed: int = 42, score: str = "score", target: str = "target") -> DataFrame:
-    """95 % interval of ROC-AUC by Poisson weights from a seeded hash of (key, draw): the same at any partitioning."""
+def bootstrap_ci(rows: DataFrame, key: str, draws: int = 200, seed: int = 42, time: str = "duration_days", event: str = "event", risk: str = "risk") -> DataFrame:
+    """95 % interval of Harrell's C by Poisson weights from a seeded hash of (key, draw): the same at any partitioning. Each draw works on cells, as c_index does."""
     u = (F.pmod(F.xxhash64(key, "draw", F.lit(seed)), F.lit(1_000_003)) + 0.5) / 1_000_003
     limits, p, total = [], 0.36787944117144233, 0.0
     for k in range(8):
@@ -72,11 +72,13 @@ def bootstrap_ci(rows: DataFrame, key: str, draws: int = 200, seed: int = 42, sc
         limits.append(total)
         p /= k + 1
     weight = sum(((u > x).cast("int") for x in limits[1:]), (u > limits[0]).cast("int"))
-    many = rows.select(key, score, F.col(target).cast("long").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).withColumn("w", weight)
-    by = many.groupBy("draw", score).agg(F.sum(F.col("w") * F.col("y")).alias("p"), F.sum(F.col("w") * (1 - F.col("y"))).alias("n"))
-    w = Window.partitionBy("draw").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    auc = by.withColumn("below", F.coalesce(F.sum("n").over(w), F.lit(0))).groupBy("draw").agg((F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)) / (F.sum("p") * F.sum("n"))).alias("auc"))
-    return auc.agg(F.percentile("auc", F.lit(0.025)).alias("low"), F.percentile("auc", F.lit(0.975)).alias("high"), F.count("*").alias("draws"))
+    many = rows.select(key, F.col(time).alias("t"), F.col(event).alias("e"), F.col(risk).alias("r"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).withColumn("w", weight)
+    cells = many.where("w > 0").groupBy("draw", "t", "e", "r").agg(F.sum("w").cast("double").alias("n"))
+    a = cells.where("e").select(F.col("draw").alias("da"), F.col("t").alias("ta"), F.col("r").alias("ra"), F.col("n").alias("na"))
+    pairs = a.join(cells, (F.col("draw") == F.col("da")) & ((F.col("t") > F.col("ta")) | ((F.col("t") == F.col("ta")) & ~F.col("e"))))
+    w = F.col("na") * F.col("n")
+    c = pairs.groupBy("draw").agg((F.sum(w * F.when(F.col("ra") > F.col("r"), 1.0).when(F.col("ra") == F.col("r"), 0.5).otherwise(0.0)) / F.sum(w)).alias("c"))
+    return c.agg(F.percentile("c", F.lit(0.025)).alias("low"), F.percentile("c", F.lit(0.975)).alias("high"), F.count("*").alias("draws"))
 
 
 def reliability(rows: DataFrame, key: str, buckets: int = 5, score: str = "score", target: str = "target") -> DataFrame:

@@ -19,9 +19,9 @@ def _frame(x: Layers):
     return stored(rows.where("eligible AND split IN ('TRAIN', 'VALIDATION', 'TEST')"), "features")
 
 
-def _classifier(x: Layers, iterations: int):
+def _classifier(x: Layers):
     rows = _frame(x)
-    model = ml.fit_classifier(rows.where("split = 'TRAIN'"), iterations)
+    model = ml.fit_classifier(rows.where("split = 'TRAIN'"))
     validation = stored(ml.probability(model.transform(rows.where("split = 'VALIDATION'"))).select("raw_probability", "target"), "validation")
     return rows, model, ml.isotonic(validation, "raw_probability", "target")
 
@@ -29,7 +29,7 @@ def _classifier(x: Layers, iterations: int):
 @query("train_failure")
 def _(spark, d):
     """Calibrated probabilities of the test rows."""
-    rows, model, knots = _classifier(Layers(spark, d), 20)
+    rows, model, knots = _classifier(Layers(spark, d))
     test = ml.probability(model.transform(rows.where("split = 'TEST'")))
     return ml.calibrate(test, knots, "raw_probability", "p").select("cycle_id", "at_us", "target", "raw_probability", "p")
 
@@ -38,7 +38,7 @@ def _(spark, d):
 def _(spark, d):
     """Every active part at 30 to 120 days: hazards of four steps chained, banded and ranked by the raw first step."""
     x = Layers(spark, d)
-    _, model, knots = _classifier(x, 20)
+    _, model, knots = _classifier(x)
     support = features.support_totals(x.grid)
     now = features.all_features(observe.active(x.cycles), x.op, x.cycles, x.episodes, support)
     steps = features.classifier_features(features.shifted(now))

@@ -71,7 +71,8 @@ def _(spark, d):
 
 @query("bootstrap_ci")
 def _(spark, d):
-    return metrics.bootstrap_ci(scored(spark, d), "k", 50)
+    rows = observe.lifecycle_outcome(Layers(spark, d).cycles).where("usable")
+    return metrics.bootstrap_ci(rows.select("cycle_id", "duration_days", "event", F.col("seq").cast("double").alias("risk")), "cycle_id")
 
 
 @query("oof_folds", plain("SELECT target, CAST((row_number() OVER (PARTITION BY target ORDER BY k * 7919 % 100003, k) - 1) % 5 AS INTEGER) AS fold, k FROM s", s=SCORED))
