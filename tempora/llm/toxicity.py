@@ -4,7 +4,9 @@ Voters look at a text: lexicons of words and of word beginnings that go with the
 rows (each dealt into several voters), and patterns (shouting, symbols, repeated marks). A generative
 label model is fitted by EM on the counts of the distinct vote patterns of all documents: it estimates
 the prior, each voter's accuracy on either class, and pairwise correlations beyond what the label
-explains, by which correlated voters share one voice. A linear classifier is then trained on its
+explains, by which correlated voters share one voice. EM starts from each voter's right and wrong votes
+on labelled rows, which then count as at most PSEUDO votes beside those of all documents; a voter
+without any (INSULTS as well) starts as one that says nothing. A linear classifier is then trained on its
 posteriors and scores every whole text.
 
 Lexicons and classifier are fitted on a bounded sample: SAMPLE_ROWS labelled rows in the order of
@@ -37,17 +39,23 @@ LEXICONS = 2 * DEALT + 1
 EVIDENCE = 12.0
 PRECISION = 0.5
 ROUNDS = 50
-#: Prior accuracy of a lexicon's votes, and the weight that this has against what EM finds.
-TRUST = 0.95
-HOLD = 0.75
+#: A voter's share of right votes on labelled rows counts as this many votes at most, beside all votes that EM weighs.
+PSEUDO = 20.0
 #: Everyday English insults, a voter of its own and of no more weight than the learned ones.
 INSULTS = "asshole bastard bitch clown creep cretin disgusting dumb dumbass fool garbage idiot imbecile loser lunatic moron pathetic pig scum stupid trash ugly vermin worthless".split()
 PATTERNS = {
-    "shouting": lambda t, n: sum(map(str.isupper, t[:: max(1, n // 2000)])) > 0.5 * len(t[:: max(1, n // 2000)]),
+    "shouting": lambda t, n: upper(t) > 0.5 * n,
     "symbols": lambda t, n: sum(map(t.count, "$%&#*|")) > 0.02 * n,
     "marks": lambda t, n: t.count("!!") > 0.005 * n,
 }
 _WORDS = re.compile(r"[^\W\d_]+").findall
+_WIDE = re.compile(r"[^\x00-\x7f]").findall
+
+
+def upper(text: str) -> int:
+    """Upper-case letters of the whole text."""
+    raw = text.encode("utf-8", "surrogatepass")
+    return len(raw) - len(raw.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ")) + (0 if text.isascii() else sum(map(str.isupper, _WIDE(text))))
 
 
 def features_of(text: str) -> set[str]:
@@ -137,28 +145,36 @@ class Voters:
 class LabelModel:
     """Prior, each voter's vote distribution in either class, and a weight against correlated voices."""
 
-    def fit(self, patterns: np.ndarray, counts: np.ndarray, prior: float, start: np.ndarray) -> LabelModel:
+    def fit(self, patterns: np.ndarray, counts: np.ndarray, prior: float, right: np.ndarray, wrong: np.ndarray) -> LabelModel:
+        """right, wrong: each voter's votes on labelled rows; they start EM and then weigh as up to PSEUDO votes."""
         n, m = patterns.shape
         # texts without a vote say nothing of the prior, so it stays at the labels' base rate
         self.prior = float(np.clip(prior, 0.005, 0.3))
         self.weight = np.ones(m)
-        post = start
+        seen = right + wrong
+        self.pseudo = np.minimum(seen, PSEUDO)
+        self.share = np.where(seen > 0, right / np.maximum(seen, 1), self.prior)
+        # without a label a voter says nothing at first
+        self._rates(self.share + 1e-3 * self.prior, np.full(m, 1 + 1e-3), max(float(counts.sum()), 1.0))
+        post = self.posterior(patterns)
         for _ in range(ROUNDS):
             self._estimate(patterns, counts, post)
-            post = self.posterior(patterns, LEXICONS)  # patterns learn from the lexicons, not from themselves
             self._decorrelate(patterns, counts, post)
+            post = self.posterior(patterns, LEXICONS)  # patterns learn from the lexicons, not from themselves
         return self
 
     def _estimate(self, patterns: np.ndarray, counts: np.ndarray, post: np.ndarray) -> None:
-        """Vote rates in either class. A lexicon's votes are taken to be right as often as TRUST, with the weight that EM then moves."""
+        """Vote rates in either class: what EM finds in all votes, and the pseudo-votes of the labels."""
         fired = patterns == 1
-        total = (fired * counts[:, None]).sum(axis=0)
-        toxic = (fired * (counts * post)[:, None]).sum(axis=0)
-        toxic[:LEXICONS] = (1 - HOLD) * toxic[:LEXICONS] + HOLD * TRUST * total[:LEXICONS]
-        n1 = max(float((counts * post).sum()), float(toxic.max(initial=0)), 1e-9)
-        n0 = max(float(counts.sum()) - n1, 1e-9)
-        rates = np.stack([(total - toxic + 0.1) / (n0 + 0.2), (toxic + 0.1) / (n1 + 0.2)])
-        rates = np.clip(rates, 1e-6, 1 - 1e-6)
+        total = (fired * counts[:, None]).sum(axis=0) + self.pseudo
+        toxic = (fired * (counts * post)[:, None]).sum(axis=0) + self.pseudo * self.share
+        self._rates(toxic + 0.1 * self.prior, total + 0.1, float(counts.sum()))
+
+    def _rates(self, toxic: np.ndarray, total: np.ndarray, n: float) -> None:
+        """The classes are as large as the prior says, or as the votes need."""
+        scale = max(n, float((toxic / self.prior).max(initial=0)), float(((total - toxic) / (1 - self.prior)).max(initial=0)))
+        rates = np.stack([(total - toxic) / (scale * (1 - self.prior)), toxic / (scale * self.prior)])
+        rates = np.clip(rates, 1e-9, 1 - 1e-9)
         self.table = np.stack([1 - rates, rates], axis=1)
 
     def _decorrelate(self, patterns: np.ndarray, counts: np.ndarray, post: np.ndarray) -> None:
@@ -252,17 +268,18 @@ def fit(docs: DataFrame, labels: DataFrame, trainable: Column, id_col: str = "do
     seen = every.mapInArrow(vote, "votes array<int>, n long").groupBy("votes").agg(F.sum("n").alias("n")).collect()  # at most 2 ** voters rows
     patterns = np.array([r["votes"] for r in seen])
     counts = np.array([r["n"] for r in seen], float)
-    start = np.where((patterns[:, :LEXICONS] == 1).any(axis=1), 0.95, 0.02)  # from the lexicons alone
-    label_model = LabelModel().fit(patterns, counts, n["pos"] / (n["pos"] + n["neg"]), start)
 
     def shapes(batches):
         v = held.value
         for b in common.chunked(batches):
-            found = Counter((tuple(x), tuple(f)) for x, f in map(v.votes_and_counts, common.texts_of(b)))
-            cols = [pa.array([list(k[0]) for k in found], pa.list_(pa.int32())), pa.array([[float(z) for z in k[1]] for k in found], pa.list_(pa.float64())), pa.array(list(found.values()), pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, ["votes", "x", "n"])
-
-    sample = rows.mapInArrow(shapes, "votes array<int>, x array<double>, n long").collect()  # at most sample_rows rows
+            found = Counter((tuple(x), tuple(f), y) for (x, f), y in zip(map(v.votes_and_counts, common.texts_of(b)), b.column(2).to_pylist(), strict=True))
+            cols = [pa.array([list(k[0]) for k in found], pa.list_(pa.int32())), pa.array([[float(z) for z in k[1]] for k in found], pa.list_(pa.float64())), pa.array([k[2] for k in found], pa.int32()), pa.array(list(found.values()), pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, ["votes", "x", "y", "n"])
+
+    sample = rows.mapInArrow(shapes, "votes array<int>, x array<double>, y int, n long").collect()  # at most sample_rows rows
+    cast = np.array([r["votes"] for r in sample], float) * np.array([r["n"] for r in sample], float)[:, None]
+    marked_toxic = np.array([r["y"] > 0 for r in sample])
+    label_model = LabelModel().fit(patterns, counts, n["pos"] / (n["pos"] + n["neg"]), cast[marked_toxic].sum(axis=0), cast[~marked_toxic].sum(axis=0))
     x = np.array([r["x"] for r in sample])
     post = label_model.posterior(np.array([r["votes"] for r in sample]))
     beta = train_linear(x, post, np.array([r["n"] for r in sample], float))

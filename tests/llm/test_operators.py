@@ -180,6 +180,29 @@ def test_toxicity(spark, none):
     assert {r["score"] for r in toxicity.score(test, blank).collect()} == {0.0}
 
 
+def test_toxicity_insults_that_are_everyday_words(spark):
+    """Votes that the labels prove wrong do not make clean documents toxic; capitals count over the whole text."""
+    from pyspark.sql import functions as F
+
+    rows, labels = [], []
+    for i in range(600):
+        w = prose(25).split()
+        if i % 10 == 1:
+            w[3] = "zorgle"
+        elif i % 3 == 0:
+            w[5] = rnd.choice(["pig", "clown", "trash", "garbage", "fool"])
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(i % 10 == 1)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), F.col("doc_id") % 4 != 0)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    assert all((got[i] >= 0.5) == bool(y) for i, y in labels)
+    at = model.voters.names.index("insults")
+    assert model.label_model.posterior(np.eye(len(model.voters.names), dtype=int))[at] < 0.1
+    assert toxicity.PATTERNS["shouting"]("aBB" * 2000, 6000) and not toxicity.PATTERNS["shouting"]("Bcc" * 2000, 6000)
+    assert toxicity.upper("aBÉé ЖжZ") == 4
+
+
 def brute_components(texts):
     sets, comp = {}, {}
     for i, t in texts:
