@@ -3,17 +3,21 @@
 Every document's non-overlapping blocks of BLOCK words are reference anchors, and every rolling window
 of BLOCK words probes them: a repeat of WINDOW >= 2 * BLOCK - 1 words holds a whole anchor wherever it
 lies. A probe that meets an anchor's hash in another document is a hit. Hits are then extended: the
-WINDOW-word windows around them are compared across documents by a hash of 64 bits, and neighbouring
+WINDOW-word windows around them are compared across documents by two independent hashes of 64 bits each
+(128 together, so that no chance meeting is to be expected among 10^13 windows), and neighbouring
 repeats join to the maximal exact repeat. A word goes if it lies in a window that also starts in a
 document with a smaller id.
 
-Hashes travel in packed blobs, dealt by hash range over so many buckets that one fits a task; only
-windows around hits travel in the second exchange. Hashes that a bounded sample of documents shows to be
-frequent do not travel: they count as hits at once, and their smallest document is found by pre-aggregation.
+Texts are split and hashed a chunk at a time, not word by word (words.py). Hashes travel in packed blobs,
+dealt by hash range; beyond DEAL buckets they are dealt in two exchanges, so that a chunk never makes more
+than DEAL rows and a bucket always fits a task. Only windows around hits travel in the second round. Hashes
+that a bounded sample of documents shows to be frequent do not travel: they count as hits at once, and their
+smallest document is found by pre-aggregation.
 
 Defined results: null and empty texts have no words and lose none; a document without id keeps all its
 words and makes no other lose any; rows that repeat an id do not make each other lose words; an empty
-table gives an empty one; further columns are ignored.
+table gives an empty one; further columns come along whatever their names (a column called n_words, n_removed
+or kept gives way to the new one).
 """
 
 from __future__ import annotations
@@ -21,223 +25,230 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from . import common
+from . import common, words
+from .words import mix
 
 WINDOW = 13
 BLOCK = 7
-#: Windows that one bucket holds on average.
+#: Windows that one bucket holds on average, and the most buckets that one exchange deals to.
 BUCKET_ROWS = 500_000
-SAMPLE_DOCS = 5000
-FREQUENT = 12
+DEAL = 4096
+#: Windows that a task of the second dealing holds at once.
+DEALT_ROWS = 4_000_000
+SAMPLE_DOCS = 20_000
+FREQUENT = 16
 FREQUENT_ROWS = 100_000
+NOBODY = np.iinfo(np.int64).max
 
-_ODD = np.uint64(0x9E3779B97F4A7C15)
+BLOBS = "bucket int, ids binary, counts binary, places binary, hashes binary, checks binary"
+DEALT = "g int, ids binary, counts binary, found binary"
 
 
-def words_of(text: str) -> list[bytes]:
-    """Words between the ASCII white space 09 to 0D and 20, which is what bytes.split() cuts at."""
-    return text.encode().split()
+def _planes(a: np.ndarray) -> bytes:
+    """The bytes of an array by their place in the number: high bytes, which differ little, stand together for the shuffle's compression."""
+    return a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes()
 
 
-class _Words(dict):
-    """64-bit hashes of words, bounded."""
+def _unplanes(raw: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
 
+def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
+    """By the hash's upper 32 bits, in order of the hash."""
+    return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
 
-_TABLE = _Words()
 
+def _sorted_by(part: np.ndarray, buckets: int) -> np.ndarray:
+    return np.argsort(part.astype(np.uint16) if buckets <= 1 << 16 else part, kind="stable")
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    if len(_TABLE) > common.CACHE_WORDS:
-        _TABLE.clear()
-    return np.fromiter(map(_TABLE.__getitem__, words), np.uint64, len(words))
 
+def _cuts(change: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the runs of a sorted array, `change` being where a value differs from the one before."""
+    starts = np.concatenate([[0], np.flatnonzero(change) + 1])
+    return starts, np.append(starts[1:], len(change) + 1)
 
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * _ODD
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(32))
 
+def _packed(part: np.ndarray, ids: np.ndarray, p: np.ndarray, h: np.ndarray, check: np.ndarray | None, buckets: int) -> list[tuple]:
+    """One row a bucket that has windows: (bucket, documents, their counts, places, hashes, second hashes)."""
+    if not len(part):
+        return []
+    order = _sorted_by(part, buckets)
+    part, ids, p, h = part[order], ids[order], p[order], h[order]
+    check = None if check is None else check[order]
+    new = part[1:] != part[:-1]
+    starts, ends = _cuts(new)
+    runs, stops = _cuts(new | (ids[1:] != ids[:-1]))
+    counts, held = (stops - runs).astype(np.int32), ids[runs]
+    first = np.searchsorted(runs, starts).tolist()
+    last = [*first[1:], len(runs)]
+    out = []
+    for a, z, r, s in zip(starts.tolist(), ends.tolist(), first, last, strict=True):
+        out.append((int(part[a]), _planes(held[r:s]), _planes(counts[r:s]), _planes(p[a:z]), h[a:z].tobytes(), b"" if check is None else check[a:z].tobytes()))
+    return out
 
-def windows(hashes: np.ndarray, size: int) -> np.ndarray:
-    """A hash for each run of `size` words, in order of their starts: by doubling, then two overlapping halves."""
-    if len(hashes) < size:
-        return np.zeros(0, np.uint64)
-    with np.errstate(over="ignore"):
-        both = lambda x, k: _mix(x[: len(x) - k] * np.uint64(3) + x[k:] + np.uint64(size))
-        out, k = _mix(hashes + np.uint64(size)), 1
-        while 2 * k <= size:
-            out, k = both(out, k), 2 * k
-        return both(out, size - k) if k < size else out
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), *[pa.binary()] * 5]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "ids", "counts", "places", "hashes", "checks"])
 
-def _blobs(buckets: int, size: int, frequent: np.ndarray):
-    """Deals the windows of a chunk's documents to buckets: rows (bucket, ids, counts, hashes, positions)."""
 
-    def run(batches):
-        for b in common.chunked(batches, limit=3 * common.CHUNK_CHARS):
-            marks = b.column(2) if b.num_columns > 2 else None
-            hs, ps, ds = [], [], []
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            for i, text in enumerate(b.column(1)):
-                w = windows(word_hashes(words_of(text.as_py() or "")), size)
-                if marks is not None:
-                    near = np.frombuffer(marks[i].as_py() or b"", np.int32)
-                    at = np.unique((near[:, None] - np.arange(size - BLOCK + 1)[None, :]).ravel())
-                    at = at[(at >= 0) & (at < len(w))]
-                else:
-                    at = np.arange(len(w))
-                h = w[at]
-                if len(frequent):
-                    rare = ~_isin(h, frequent)
-                    h, at = h[rare], at[rare]
-                hs.append(h), ps.append(at.astype(np.int32)), ds.append(np.full(len(h), i, np.int32))
-            if not hs:
-                continue
-            h, p, d = np.concatenate(hs), np.concatenate(ps), np.concatenate(ds)
-            part = ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
-            order = np.argsort(part, kind="stable")
-            ends = np.searchsorted(part[order], np.arange(buckets + 1))
-            out = []
-            for k in range(buckets):
-                rows = order[ends[k] : ends[k + 1]]
-                if len(rows):
-                    docs, counts = np.unique(d[rows], return_counts=True)
-                    # rows are in text order; a window's place is the distance to the one before
-                    step = np.diff(p[rows], prepend=0)
-                    starts = np.cumsum(counts) - counts
-                    step[starts] = p[rows][starts]
-                    wide = np.flatnonzero(step > 254)
-                    small = np.where(step > 254, 255, step).astype(np.uint8)
-                    bits = h[rows] if size == WINDOW else h[rows].astype(np.uint32)
-                    out.append((k, ids[docs].astype(np.int64).tobytes(), counts.astype(np.int32).tobytes(), bits.tobytes(), small.tobytes(), step[wide].astype(np.int32).tobytes()))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if j == 0 else pa.binary()) for j, c in enumerate(zip(*out, strict=True))], ["bucket", "ids", "counts", "hashes", "steps", "wide"])
+def _opened(rows, kind=np.uint64) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, place, hash, second hash) of the windows of several blobs."""
+    out: list[list[np.ndarray]] = [[], [], [], []]
+    for ids, counts, places, hashes, checks in rows:
+        out[0].append(np.repeat(_unplanes(ids, np.int64), _unplanes(counts, np.int32)))
+        out[1].append(_unplanes(places, np.int32))
+        out[2].append(np.frombuffer(hashes, kind))
+        out[3].append(np.frombuffer(checks, np.uint64))
+    return tuple(np.concatenate(x) for x in out)
+
+
+def _columns(pdf: pd.DataFrame):
+    return zip(pdf["ids"], pdf["counts"], pdf["places"], pdf["hashes"], pdf["checks"], strict=True)
 
-    return run
 
+def _dealt(d: np.ndarray, values: np.ndarray, groups: int) -> pd.DataFrame:
+    """(document, value) pairs in packed blobs, dealt by document: a row a group, however many documents it has."""
+    if not len(d):
+        return pd.DataFrame({"g": np.zeros(0, np.int32), "ids": [], "counts": [], "found": []})
+    g = (mix(d.astype(np.uint64)) % np.uint64(groups)).astype(np.int64)
+    order = np.lexsort((d, g))
+    g, d, values = g[order], d[order], values[order]
+    starts, ends = _cuts(g[1:] != g[:-1])
+    runs, stops = _cuts(d[1:] != d[:-1])
+    counts = (stops - runs).astype(np.int32)
+    first = np.searchsorted(runs, starts).tolist()
+    last = [*first[1:], len(runs)]
+    return pd.DataFrame({
+        "g": g[starts].astype(np.int32),
+        "ids": [_planes(d[runs[r:s]]) for r, s in zip(first, last, strict=True)],
+        "counts": [_planes(counts[r:s]) for r, s in zip(first, last, strict=True)],
+        "found": [_planes(values[a:z]) for a, z in zip(starts.tolist(), ends.tolist(), strict=True)],
+    })
 
-BLOBS = "bucket int, ids binary, counts binary, hashes binary, steps binary, wide binary"
 
+def _by_doc(kind):
+    """All values of each document of a group as one blob."""
 
-def _open(pdf: pd.DataFrame, kind) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, document, position) of a bucket's windows."""
-    hs, ds, ps = [], [], []
-    for ids, counts, hashes, steps, wide in zip(pdf["ids"], pdf["counts"], pdf["hashes"], pdf["steps"], pdf["wide"], strict=True):
-        n = np.frombuffer(counts, np.int32)
-        s = np.frombuffer(steps, np.uint8).astype(np.int64)
-        s[s == 255] = np.frombuffer(wide, np.int32)
-        total = np.cumsum(s)
-        starts = np.cumsum(n) - n
-        ps.append((total - np.repeat(total[starts] - s[starts], n)).astype(np.int32))
-        ds.append(np.repeat(np.frombuffer(ids, np.int64), n))
-        hs.append(np.frombuffer(hashes, kind))
-    return np.concatenate(hs), np.concatenate(ds), np.concatenate(ps)
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        d = np.concatenate([np.repeat(_unplanes(i, np.int64), _unplanes(n, np.int32)) for i, n in zip(pdf["ids"], pdf["counts"], strict=True)])
+        values = np.concatenate([_unplanes(f, kind) for f in pdf["found"]])
+        order = np.lexsort((values, d))
+        d, values = d[order], values[order]
+        starts, ends = _cuts(d[1:] != d[:-1])
+        return pd.DataFrame({"id": d[starts], "found": [values[x:y].tobytes() for x, y in zip(starts.tolist(), ends.tolist(), strict=True)]})
+
+    return run
 
 
 def _isin(h: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Membership in a sorted table."""
+    if not len(table):
+        return np.zeros(len(h), bool)
     at = np.searchsorted(table, h)
     at[at == len(table)] = 0
     return table[at] == h
 
 
-def _runs(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The order that sorts h, and the number of the run of equal values of each sorted place."""
-    order = np.argsort(h, kind="stable")
+def _runs(h: np.ndarray, check: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The order that sorts h (and check), and the number of the run of equal values of each sorted place."""
+    order = np.argsort(h, kind="stable") if check is None else np.lexsort((check, h))
     s = h[order]
-    return order, np.concatenate([[0], np.cumsum(s[1:] != s[:-1])])
-
-
-def _dealt(d: np.ndarray, values: np.ndarray, groups: int) -> pd.DataFrame:
-    """(document, value) pairs in packed blobs, dealt by document: a row a group, however many documents it has."""
-    g = (_mix(d.astype(np.uint64)) % np.uint64(groups)).astype(np.int64)
-    order = np.argsort(g, kind="stable")
-    keys, first = np.unique(g[order], return_index=True)
-    ends = [*first[1:].tolist(), len(order)]
-    d, values = d[order], values[order]
-    cut = list(zip(first.tolist(), ends, strict=True))
-    return pd.DataFrame({"g": keys.astype(np.int32), "ids": [d[x:y].tobytes() for x, y in cut], "found": [values[x:y].tobytes() for x, y in cut]})
-
-
-DEALT = "g int, ids binary, found binary"
-
-
-def _by_doc(kind):
-    """All values of each document of a group as one blob."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        d = np.frombuffer(b"".join(pdf["ids"]), np.int64)
-        values = np.frombuffer(b"".join(pdf["found"]), kind)
-        order = np.argsort(d, kind="stable")
-        docs, first = np.unique(d[order], return_index=True)
-        values = values[order]
-        ends = [*first[1:].tolist(), len(order)]
-        return pd.DataFrame({"id": docs, "found": [values[x:y].tobytes() for x, y in zip(first.tolist(), ends, strict=True)]})
-
-    return run
+    new = s[1:] != s[:-1]
+    if check is not None:
+        c = check[order]
+        new |= c[1:] != c[:-1]
+    return order, np.concatenate([np.zeros(min(len(h), 1), np.int64), np.cumsum(new)])
 
 
-def _meet(pdf: pd.DataFrame, groups: int) -> pd.DataFrame:
+def _meet(pdf: pd.DataFrame, buckets: int, groups: int) -> pd.DataFrame:
     """Places of the windows whose hash is an anchor's somewhere and occurs in two documents at least."""
-    h, d, p = _open(pdf, np.uint32)
+    d, p, h, _ = _opened(_columns(pdf), _probe_kind(buckets))
+    if pdf["bucket"].iloc[0] >= buckets:  # hits by themselves
+        return _dealt(d, p, groups)
     order, run = _runs(h)
-    ds, n = d[order], run[-1] + 1
+    ds, n = d[order], int(run[-1]) + 1
+    starts = np.flatnonzero(np.diff(run, prepend=-1))
     anchor = np.bincount(run, p[order] % BLOCK == 0, n) > 0
-    low, high = np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).min)
-    np.minimum.at(low, run, ds)
-    np.maximum.at(high, run, ds)
-    hit = (anchor & (low < high))[run]
+    hit = (anchor & (np.minimum.reduceat(ds, starts) < np.maximum.reduceat(ds, starts)))[run]
     return _dealt(ds[hit], p[order][hit], groups)
 
 
 def _later(pdf: pd.DataFrame, groups: int) -> pd.DataFrame:
     """Of each document, the hashes of its windows that a smaller document has too."""
-    h, d, _ = _open(pdf, np.uint64)
-    order, run = _runs(h)
+    d, _, h, check = _opened(_columns(pdf))
+    order, run = _runs(h, check)
     ds = d[order]
-    low = np.full(run[-1] + 1, np.iinfo(np.int64).max)
-    np.minimum.at(low, run, ds)
-    late = ds > low[run]
+    late = ds > np.minimum.reduceat(ds, np.flatnonzero(np.diff(run, prepend=-1)))[run]
     return _dealt(ds[late], h[order][late], groups)
 
 
-def _sampled(rows: DataFrame, size: int, share: float) -> np.ndarray:
-    """Hashes of windows that at least FREQUENT documents of a sample hold; at most FREQUENT_ROWS, sorted."""
+def _probe_kind(buckets: int):
+    """Hits are only candidates, so 32 bits and the bucket's number do; the second exchange needs the upper bits too."""
+    return np.uint32 if buckets <= DEAL else np.uint64
+
+
+def _exchanged(blobs: DataFrame, buckets: int, extra: int = 0) -> DataFrame:
+    """Blobs dealt to `buckets` ranges of their hashes (and `extra` others behind): at once, or coarsely and then each coarse range finely."""
+    if buckets <= DEAL:
+        return blobs
+    coarse = _coarse(buckets)
 
     def run(batches):
-        for b in common.chunked(batches):
-            for t in common.texts_of(b):
-                h = np.unique(windows(word_hashes(words_of(t)), size))
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["h"])
+        held, n = [], 0
 
-    picked = rows.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1_000_000)) < int(share * 1_000_000))
-    found = picked.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "h").limit(FREQUENT_ROWS).collect()
-    return np.sort(np.array([r["h"] for r in found], np.int64).view(np.uint64))
+        def handed():
+            d, p, h, check = _opened([r[1:] for r in held])
+            return _packed(_bucket(h, buckets), d, p, h, check if len(check) else None, buckets)
 
+        for b in batches:
+            for r in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if r[0] >= coarse:
+                    yield _batch([(r[0] - coarse + buckets, *r[1:])])
+                    continue
+                if held and (r[0] != held[0][0] or n > DEALT_ROWS):
+                    yield _batch(handed())
+                    held, n = [], 0
+                held.append(r)
+                n += len(r[4]) // 8
+        if held:
+            yield _batch(handed())
 
-def _frequent_hits(frequent: np.ndarray):
-    def run(batches):
-        for b in common.chunked(batches):
-            low: dict[int, int] = {}
-            for i, t in zip(b.column(0).to_pylist(), common.texts_of(b), strict=True):
-                h = windows(word_hashes(words_of(t)), WINDOW)
-                for x in np.unique(h[_isin(h, frequent)]).view(np.int64).tolist():
-                    low[x] = min(i, low.get(x, i))
-            if low:
-                yield pa.RecordBatch.from_arrays([pa.array(list(low), pa.int64()), pa.array(list(low.values()), pa.int64())], ["h", "low"])
+    return blobs.repartition(coarse + extra, "bucket").sortWithinPartitions("bucket").mapInArrow(run, BLOBS)
 
-    return run
+
+def _coarse(buckets: int) -> int:
+    """Ranges of the first exchange: all, or so many that the second has about as many in each."""
+    return buckets if buckets <= DEAL else int(np.ceil(buckets**0.5))
 
 
+def _sampled(rows: DataFrame, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of BLOCK- and of WINDOW-word windows that at least FREQUENT documents of a sample hold; of each at most FREQUENT_ROWS, sorted."""
+
+    def run(batches):
+        for b in common.chunked(batches):
+            w = words.Words(b.column(1))
+            for size in (BLOCK, WINDOW):
+                d, _, h = w.windows(size)
+                order = np.lexsort((d, h))
+                d, h = d[order], h[order]
+                new = np.concatenate([np.ones(min(len(h), 1), bool), (h[1:] != h[:-1]) | (d[1:] != d[:-1])])
+                keys, n = np.unique(h[new], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), size, np.int32)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["size", "h", "n"])
+
+    picked = rows.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1_000_000)) < int(share * 1_000_000))
+    found = picked.mapInArrow(run, "size int, h long, n long").groupBy("size", "h").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
+    tables = []
+    found = common.stored(found, "frequent")
+    for size in (BLOCK, WINDOW):
+        top = found.where(F.col("size") == size).orderBy(F.desc("n"), "h").limit(FREQUENT_ROWS).collect()
+        tables.append(np.sort(np.array([r["h"] for r in top], np.int64).view(np.uint64)))
+    return tables[0], tables[1]
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -246,50 +257,73 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def deduped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the further columns n_words, n_removed and kept, of which `docs` must have none itself."""
+    """docs with the further columns n_words, n_removed and kept; columns of these names in docs are replaced."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     known = rows.where(F.col("id").isNotNull())
     size, n = known.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     buckets = int(max(2 * common.slots(spark), (size or 0) / 6.5 // BUCKET_ROWS))
-    share = min(1.0, SAMPLE_DOCS / max(n, 1))
-    frequent7 = _sampled(known, BLOCK, share)
-    frequent13 = _sampled(known, WINDOW, share)
-
-    blobs = known.mapInArrow(_blobs(buckets, BLOCK, frequent7), BLOBS)
     groups = max(common.slots(spark), buckets // 8)
-    hits = blobs.groupBy("bucket").applyInPandas(lambda pdf: _meet(pdf, groups), DEALT)
-    places = common.stored(hits.groupBy("g").applyInPandas(_by_doc(np.int32), "id long, found binary"), "hits").withColumnRenamed("id", "h_id")
-
-    held7 = spark.sparkContext.broadcast(frequent7)  # at most FREQUENT_ROWS
-    held13 = spark.sparkContext.broadcast(frequent13)
+    coarse, kind = _coarse(buckets), _probe_kind(buckets)
+    frequent7, frequent13 = _sampled(known, min(1.0, SAMPLE_DOCS / max(n, 1)))
+    held = spark.sparkContext.broadcast((frequent7, frequent13))  # at most FREQUENT_ROWS each
 
-    def add_frequent(batches):
-        """Joins the frequent windows' places to the hits; documents without any are dropped."""
-        for b in common.chunked(batches):
-            keep, marks = [], []
-            for i, (t, found) in enumerate(zip(common.texts_of(b), b.column(2).to_pylist(), strict=True)):
-                at = np.frombuffer(found or b"", np.int32)
-                if len(held7.value):
-                    h = windows(word_hashes(words_of(t)), BLOCK)
-                    at = np.concatenate([at, np.flatnonzero(_isin(h, held7.value)).astype(np.int32)])
-                if len(at):
-                    keep.append(i), marks.append(at.tobytes())
-            if keep:
-                t = b.take(pa.array(keep))
-                yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(marks, pa.binary())], ["id", "text", "marks"])
-
-    joined = known.join(places, F.col("id") == F.col("h_id"), "left" if len(frequent7) else "inner").select("id", "text", "found")
-    marked = joined.mapInArrow(add_frequent, "id long, text string, marks binary")
-    second = marked.mapInArrow(_blobs(buckets, WINDOW, frequent13), BLOBS)
+    def probes(batches):
+        """All BLOCK-word windows, those of frequent hashes as hits in buckets of their own."""
+        for b in common.chunked(batches, limit=3 * common.CHUNK_CHARS):
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            d, p, h = words.Words(b.column(1)).windows(BLOCK)
+            d = ids[d]
+            often = _isin(h, held.value[0])
+            rare = ~often
+            rows = _packed(_bucket(h[rare], coarse), d[rare], p[rare], h[rare].astype(kind), None, coarse)
+            if often.any():
+                d, p = d[often], p[often]
+                g = (mix(d.astype(np.uint64)) % np.uint64(groups)).astype(np.int32)
+                rows += [(k + coarse, *r) for k, *r in _packed(g, d, p, np.zeros(len(d), kind), None, groups)]
+            if rows:
+                yield _batch(rows)
+
+    blobs = _exchanged(known.mapInArrow(probes, BLOBS), buckets, groups)
+    hits = blobs.groupBy("bucket").applyInPandas(lambda pdf: _meet(pdf, buckets, groups), DEALT)
+    places = hits.groupBy("g").applyInPandas(_by_doc(np.int32), "id long, found binary").withColumnRenamed("id", "h_id")
+    marked = known.join(places, F.col("id") == F.col("h_id")).select("id", "text", "found")
+
+    def near(batches):
+        """The WINDOW-word windows that hold a hit; of frequent ones a chunk's smallest document only."""
+        for b in common.chunked(batches, limit=3 * common.CHUNK_CHARS):
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            w = words.Words(b.column(1))
+            counts = np.array([len(x) // 4 for x in b.column(2).to_pylist()])
+            at = np.frombuffer(b"".join(b.column(2).to_pylist()), np.int32) + np.repeat(w.first[:-1], counts)
+            cover = np.zeros(w.total + 1, np.int64)
+            # places of a row that repeats an id with another text may lie beyond this one's words
+            at = at[at < np.repeat(w.first[1:], counts)]
+            np.add.at(cover, np.maximum(at - (WINDOW - BLOCK), 0), 1)
+            np.add.at(cover, at + 1, -1)
+            d, p, h, check = w.windows(WINDOW, checked=True)
+            mine = np.cumsum(cover)[w.first[d] + p] > 0
+            d, p, h, check = ids[d[mine]], p[mine], h[mine], check[mine]
+            often = _isin(h, held.value[1])
+            if often.any():
+                order = np.flatnonzero(often)[np.lexsort((d[often], h[often]))]
+                least = order[np.concatenate([[True], h[order][1:] != h[order][:-1]])]
+                keep = np.concatenate([np.flatnonzero(~often), least])
+                d, p, h, check = d[keep], p[keep], h[keep], check[keep]
+            rows = _packed(_bucket(h, coarse), d, p, h, check, coarse)
+            if rows:
+                yield _batch(rows)
+
+    second = marked.mapInArrow(near, BLOBS)
+    if len(frequent13):
+        second = common.stored(second, "windows")
+    lows = spark.sparkContext.broadcast(_lows(second, frequent13))
+    second = _exchanged(second, buckets)
     late = second.groupBy("bucket").applyInPandas(lambda pdf: _later(pdf, groups), DEALT)
     late = late.groupBy("g").applyInPandas(_by_doc(np.uint64), "id long, found binary").withColumnsRenamed({"id": "l_id", "found": "late"})
-    low = {}
-    if len(frequent13):
-        low = {r["h"]: r["low"] for r in known.mapInArrow(_frequent_hits(frequent13), "h long, low long").groupBy("h").agg(F.min("low").alias("low")).collect()}  # at most FREQUENT_ROWS
-    lows = np.array([low.get(int(x), np.iinfo(np.int64).max) for x in frequent13.view(np.int64)], np.int64)
-    held_low = spark.sparkContext.broadcast(lows)
 
+    added = ("n_words", "n_removed", "kept")
+    docs = docs.select(*[c for c in docs.columns if c not in added])
     names = docs.columns
     fields = [f"c{i}" for i in range(len(names))]
     at_id, at_text = names.index(id_col), names.index(text_col)
@@ -300,30 +334,64 @@ def deduped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     def cut(batches):
         for b in common.chunked(batches, at_text):
-            total, gone, kept = [], [], []
-            for i, t, found in zip(b.column(at_id).to_pylist(), common.texts_of(b, at_text), b.column(len(fields)).to_pylist(), strict=True):
-                words = words_of(t)
-                drop = np.zeros(len(words) + 1, np.int64)
-                if i is not None and len(words) >= WINDOW and (found or len(held13.value)):
-                    h = windows(word_hashes(words), WINDOW)
-                    bad = np.zeros(len(h), bool)
-                    if found:
-                        bad |= _isin(h, np.sort(np.frombuffer(found, np.uint64)))
-                    if len(held13.value):
-                        at = np.searchsorted(held13.value, h)
-                        at[at == len(held13.value)] = 0
-                        bad |= (held13.value[at] == h) & (held_low.value[at] < i)
-                    at = np.flatnonzero(bad)
-                    np.add.at(drop, at, 1)
-                    np.add.at(drop, at + WINDOW, -1)
-                stay = np.cumsum(drop)[:-1] == 0
-                total.append(len(words)), gone.append(int(len(words) - stay.sum()))
-                kept.append(b" ".join(words if stay.all() else [w for w, s in zip(words, stay.tolist(), strict=True) if s]).decode())
-            new = [pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(fields)], *new], [*fields, "n_words", "n_removed", "kept"])
-
-    out = docs.toDF(*fields).join(late, F.col(f"c{at_id}") == F.col("l_id"), "left").select(*fields, "late")
-    return out.mapInArrow(cut, schema).toDF(*names, "n_words", "n_removed", "kept")
+            w = words.Words(b.column(at_text))
+            d, p, h = w.windows(WINDOW)
+            found = b.column(len(fields)).to_pylist()
+            counts = [len(x or b"") // 8 for x in found]
+            bad = _late_here(d, h, np.repeat(np.arange(len(found)), counts), np.frombuffer(b"".join(x or b"" for x in found), np.uint64))
+            if len(frequent := held.value[1]):
+                known = np.array([i is not None for i in b.column(at_id).to_pylist()], bool)
+                ids = np.array([i or 0 for i in b.column(at_id).to_pylist()], np.int64)
+                at = np.searchsorted(frequent, h)
+                at[at == len(frequent)] = 0
+                bad |= (frequent[at] == h) & known[d] & (ids[d] > lows.value[at])
+            drop = np.zeros(w.total + 1, np.int64)
+            start = w.first[d[bad]] + p[bad]
+            np.add.at(drop, start, 1)
+            np.add.at(drop, start + WINDOW, -1)
+            stay = np.cumsum(drop)[:-1] == 0
+            gone = w.sums(~stay)
+            new = [pa.array(np.diff(w.first), pa.int64()), pa.array(gone, pa.int64()), w.joined(stay)]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(fields)], *new], [*fields, *added])
+
+    out = docs.toDF(*fields).join(late, F.col(f"c{at_id}").cast("long") == F.col("l_id"), "left").select(*fields, "late")
+    return out.mapInArrow(cut, schema).toDF(*names, *added)
+
+
+def _late_here(d: np.ndarray, h: np.ndarray, ld: np.ndarray, lh: np.ndarray) -> np.ndarray:
+    """Which windows (document, hash) are among the late ones (ld, lh)."""
+    if not len(lh):
+        return np.zeros(len(h), bool)
+    with np.errstate(over="ignore"):
+        key = lambda x, y: y + mix(x.astype(np.uint64) + np.uint64(1))
+    late = key(ld, lh)
+    order = np.argsort(late)
+    at = np.searchsorted(late[order], key(d, h))
+    at[at == len(late)] = 0
+    at = order[at]
+    return (lh[at] == h) & (ld[at] == d)
+
+
+def _lows(second: DataFrame, frequent: np.ndarray) -> np.ndarray:
+    """The smallest document of each frequent window, from each chunk's smallest."""
+    if not len(frequent):
+        return np.zeros(0, np.int64)
+    held = second.sparkSession.sparkContext.broadcast(frequent)
+
+    def run(batches):
+        low = np.full(len(held.value), NOBODY)
+        for b in batches:
+            if b.num_rows:
+                d, _, h, _ = _opened(zip(*[c.to_pylist() for c in b.columns[1:]], strict=True))
+                often = _isin(h, held.value)
+                np.minimum.at(low, np.searchsorted(held.value, h[often]), d[often])
+        at = np.flatnonzero(low < NOBODY)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(low[at])], ["i", "low"])
+
+    out = np.full(len(frequent), NOBODY)
+    for r in second.mapInArrow(run, "i long, low long").groupBy("i").agg(F.min("low").alias("low")).collect():  # at most FREQUENT_ROWS
+        out[r["i"]] = r["low"]
+    return out
 
 
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
