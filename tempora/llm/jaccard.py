@@ -16,13 +16,11 @@ farther; cells join recursively, and what their bounds leave is verified on the
 Defined results: null and empty texts, and those without words, have an empty set, are linked with
 nothing and are their own component; a document with fewer words than a shingle has one shingle; a row
 without id joins its class but links none; rows that repeat an id share its component; an empty table
-gives an empty one; further columns are ignored. Shingles are told apart by 64-bit hashes.
+gives an empty one; further columns are ignored. Shingles are told apart by 64-bit hashes, whole sets by 128 bits.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .components import components
-from .substrings import windows, word_hashes
+from .words import Words, mix
 
 SHINGLE = 4
 PERCENT = 85
@@ -41,15 +39,34 @@ FREQUENT_ROWS = 300_000
 BLOCK_DOCS = 2048
 CELL = 256
 PIVOTS = 8
-
-
-def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
-    """The distinct shingles of a text as sorted 64-bit hashes."""
-    words = text.encode().lower().split()  # bytes: lower-cases A-Z and cuts at ASCII white space only
-    return np.unique(windows(word_hashes(words), min(size, len(words)) if words else size))
-
-
-def _needed(n: int, percent: int) -> int:
+#: Classes of the folded sketch; pairs that a leaf compares at once; rows of whole regions that a task joins at once.
+COARSE = 16
+LEAF_PAIRS = 200_000
+JOINED_ROWS = 20_000
+_STEP = np.uint64(0xD6E8FEB86659FD93)
+
+
+def shingles(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of the distinct shingles of each text, sorted by both; fewer words than a shingle are one together."""
+    w = Words(texts, lower=True)
+    d, _, h = w.windows(size)
+    few = np.flatnonzero((np.diff(w.first) > 0) & (np.diff(w.first) < size))
+    if len(few):
+        n = np.diff(w.first)[few]
+        with np.errstate(over="ignore"):
+            # the number of words is part of the hash: no short text equals a shingle
+            turned = mix(w.hashes() + _STEP * (np.arange(w.total) - w.first[w.owner] + 1).astype(np.uint64))
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(turned, dtype=np.uint64)])
+            whole = mix(sums[w.first[few + 1]] - sums[w.first[few]] + n.astype(np.uint64))
+        d, h = np.concatenate([d, few]), np.concatenate([h, whole])
+    order = np.lexsort((h, d))
+    d, h = d[order], h[order]
+    new = np.concatenate([np.ones(min(len(h), 1), bool), (h[1:] != h[:-1]) | (d[1:] != d[:-1])])
+    return d[new], h[new]
+
+
+def _needed(n, percent: int):
+    """The least size of a set that may reach the similarity with one of n (number or array)."""
     return -(-percent * n // 100)
 
 
@@ -58,8 +75,7 @@ def _frequent(rows: DataFrame, size: int, share: float) -> tuple[np.ndarray, np.
 
     def run(batches):
         for b in common.chunked(batches):
-            h = np.concatenate([shingles(t, size) for t in common.texts_of(b)])
-            keys, n = np.unique(h, return_counts=True)
+            keys, n = np.unique(shingles(b.column(1), size)[1], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
     picked = rows.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1_000_000)) < int(share * 1_000_000))
@@ -69,6 +85,22 @@ def _frequent(rows: DataFrame, size: int, share: float) -> tuple[np.ndarray, np.
     return table["h"].to_numpy(np.int64).view(np.uint64)[order], np.log2(table["n"].to_numpy(float)[order]).astype(np.uint8)
 
 
+def _binary(rows: np.ndarray) -> pa.Array:
+    """A row of bytes each."""
+    n, width = rows.shape
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * width).astype(np.int32).tobytes()), pa.py_buffer(rows.tobytes())])
+
+
+def _bytes(column) -> np.ndarray:
+    """All bytes of an Arrow column of binary values, one after the other."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if isinstance(column, pa.ChunkedArray):
+        column = pa.concat_arrays(column.chunks)
+    _, cuts, data = column.buffers()
+    cuts = np.frombuffer(cuts, np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8)[cuts[0] : cuts[-1]]
+
+
 def _described(rows: DataFrame, size: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """Per row: id, n, sig (of the whole set), sketch (counts by slice), prefix (regions of home and window)."""
     held = rows.sparkSession.sparkContext.broadcast(frequent)  # at most FREQUENT_ROWS
@@ -76,24 +108,27 @@ def _described(rows: DataFrame, size: int, percent: int, frequent: tuple[np.ndar
     def run(batches):
         keys, kinds = held.value
         for b in common.chunked(batches):
-            ns, sigs, sketches, prefixes = [], [], [], []
-            for t in common.texts_of(b):
-                h = shingles(t, size)
-                n = len(h)
-                ns.append(n), sigs.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
-                sketches.append(np.minimum(np.bincount((h & np.uint64(SLICES - 1)).astype(np.int64), minlength=SLICES), 255).astype(np.uint8).tobytes())
-                k = n - _needed(n, percent) + 1 if n else 0
-                if len(keys) and n:
-                    at = np.searchsorted(keys, h)
-                    at[at == len(keys)] = 0
-                    kind = np.where(keys[at] == h, kinds[at], 0)
-                    h = h[np.lexsort((h, kind))[:k]]
-                prefixes.append(h[:k].view(np.int64))
-            flat = pa.array(np.concatenate(prefixes))
-            cuts = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in prefixes])]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(ns, pa.int64()), pa.array(sigs, pa.binary()), pa.array(sketches, pa.binary()), pa.ListArray.from_arrays(cuts, flat)], ["id", "n", "sig", "sketch", "prefix"]
-            )
+            d, h = shingles(b.column(1), size)
+            total = b.num_rows
+            n = np.bincount(d, minlength=total)
+            ends = np.cumsum(n)
+            # equal sets by 128 bits: sums of two mixed hashes of their shingles
+            sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h + np.uint64(k)), dtype=np.uint64)]) for k in (11, 23)]
+            sig = np.stack([x[ends] - x[ends - n] for x in sums], 1).view(np.uint8).reshape(total, 16)
+            counts = np.bincount(d * SLICES + (h & np.uint64(SLICES - 1)).astype(np.int64), minlength=total * SLICES)
+            sketch = np.minimum(counts, 255).astype(np.uint8).reshape(total, SLICES)
+            # the rarest come first
+            kind = np.zeros(len(h), np.uint8)
+            if len(keys):
+                at = np.searchsorted(keys, h)
+                at[at == len(keys)] = 0
+                kind = np.where(keys[at] == h, kinds[at], 0)
+                order = np.lexsort((h, kind, d))
+                h = h[order]
+            k = np.where(n > 0, n - _needed(n, percent) + 1, 0)
+            mine = np.arange(len(h)) - np.repeat(ends - n, n) < np.repeat(k, n)
+            prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(k)]).astype(np.int32)), pa.array(h[mine].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), _binary(sig), _binary(sketch), prefix], ["id", "n", "sig", "sketch", "prefix"])
 
     return rows.mapInArrow(run, "id long, n long, sig binary, sketch binary, prefix array<long>")
 
@@ -105,85 +140,153 @@ def _close(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent
     return (100 * small >= percent * large) & ((100 + percent) * gap <= (100 - percent) * (na + nb))
 
 
-def _pairs_of(sk: np.ndarray, n: np.ndarray, group: np.ndarray, percent: int, left: np.ndarray, right: np.ndarray, depth: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows (one of left, one of right) of different groups that the bounds leave, by recursive Voronoi cells."""
-    none = np.zeros(0, np.int64)
+def _leaf(sk: np.ndarray, coarse: np.ndarray, n: np.ndarray, group: np.ndarray, percent: int, cell: np.ndarray, rows: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (one row marked left, one marked right, of different groups) within each cell that the bounds leave, all cells at once.
+
+    rows are row numbers, sorted by (cell, n); a row meets those after it in its cell that are not too large for it.
+    """
+    big = np.int64(int(n.max(initial=0)) * 100 // percent + 2)
+    key = cell * big + n[rows]
+    last = np.searchsorted(key, cell * big + n[rows] * 100 // percent, side="right")
+    count = last - np.arange(len(rows)) - 1
+    ends = np.cumsum(count)
+    out, at = [], 0
+    while at < len(rows):
+        # as many rows as have about LEAF_PAIRS pairs
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + LEAF_PAIRS, side="right")))
+        c = count[at:stop]
+        i = np.repeat(np.arange(at, stop), c)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
+        either = (left[i] & right[j]) | (left[j] & right[i])
+        x, y = rows[i], rows[j]
+        good = either & (group[x] != group[y])
+        x, y = x[good], y[good]
+        for table in (coarse, sk):
+            gap = np.abs(table[x].astype(np.int16) - table[y].astype(np.int16)).sum(axis=1, dtype=np.int32)
+            good = (100 + percent) * gap.astype(np.int64) <= (100 - percent) * (n[x] + n[y])
+            x, y = x[good], y[good]
+        out.append((x, y))
+        at = stop
+    return (np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])) if out else (np.zeros(0, np.int64),) * 2
+
+
+def _folded(sk: np.ndarray) -> np.ndarray:
+    """The sketch by COARSE classes: its distances never exceed the sketch's own, at a fraction of the work."""
+    return sk.reshape(len(sk), COARSE, -1).sum(axis=2, dtype=np.int16)
+
+
+def _cells(sk: np.ndarray, n: np.ndarray, percent: int, left: np.ndarray, right: np.ndarray, depth: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Recursive Voronoi cells of the rows: (left rows, right rows) such that each pair within reach meets in one at least."""
     if not len(left) or not len(right):
-        return none, none
+        return []
     same = left is right
     if len(left) + len(right) > CELL and depth < 6:
-        reach = (100 - percent) * 2 * int(n[np.union1d(left, right)].max()) // (100 + percent)
+        both = left if same else np.union1d(left, right)
+        reach = (100 - percent) * 2 * int(n[both].max()) // (100 + percent)
         wide = sk.astype(np.int16)
-        pivots = np.random.default_rng(depth).choice(np.union1d(left, right), PIVOTS, replace=False)
+        pivots = np.random.default_rng(depth).choice(both, min(PIVOTS, len(both)), replace=False)
         far = lambda rows: np.stack([np.abs(wide[rows] - wide[p]).sum(axis=1) for p in pivots], 1)
         dl = far(left)
         dr = dl if same else far(right)
         home = dl.argmin(axis=1)
-        out, cost = [], 0
-        windows_ = []
-        for c in range(PIVOTS):
+        windows_, cost = [], 0
+        for c in range(len(pivots)):
             mine = home == c
             # a partner's distance to this cell's pivot is at most its nearest one and twice the reach
             near = (dr[:, c] <= dr.min(axis=1) + 2 * reach) & (dr[:, c] <= dl[mine, c].max(initial=-1) + reach)
             windows_.append((left[mine], right[near]))
             cost += int(mine.sum()) * int(near.sum())
         if cost < 0.7 * len(left) * len(right):
-            for a, b in windows_:
-                out.append(_pairs_of(sk, n, group, percent, a, b, depth + 1))
-            return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
-    order = right[np.argsort(n[right], kind="stable")]
-    sizes = n[order]
-    xs, ys = [], []
-    for i in left.tolist():
-        lo, hi = np.searchsorted(sizes, [_needed(int(n[i]), percent), 100 * int(n[i]) // percent + 1])
-        cand = order[lo:hi]
-        cand = cand[group[cand] != group[i]]
-        if len(cand):
-            good = cand[_close(sk[cand], sk[i][None, :], n[cand], n[i], percent)]
-            xs.append(np.full(len(good), i)), ys.append(good)
-    return (np.concatenate(xs), np.concatenate(ys)) if xs else (none, none)
+            return [x for a, b in windows_ for x in _cells(sk, n, percent, a, b, depth + 1)]
+    return [(left, right)]
+
+
+def _pairs_of(sk: np.ndarray, n: np.ndarray, group: np.ndarray, percent: int, blocks: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of different groups that the bounds leave; blocks are (left rows, right rows), large ones cut into cells first."""
+    cells = [c for a, b in blocks for c in (_cells(sk, n, percent, a, b) if len(a) + len(b) > CELL else [(a, b)])]
+    rows, cell, left, right = [], [], [], []
+    for k, (a, b) in enumerate(cells):
+        both = a if a is b else np.union1d(a, b)
+        rows.append(both), cell.append(np.full(len(both), k))
+        left.append(np.ones(len(both), bool) if a is b else np.isin(both, a, assume_unique=True))
+        right.append(np.ones(len(both), bool) if a is b else np.isin(both, b, assume_unique=True))
+    if not rows:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    rows, cell, left, right = (np.concatenate(x) for x in (rows, cell, left, right))
+    order = np.lexsort((n[rows], cell))
+    return _leaf(sk, _folded(sk), n, group, percent, cell[order], rows[order], left[order], right[order])
 
 
 def _join_regions(percent: int):
     """Rows sorted by (s, bi, bj), of which one region block is held at a time -> candidate pairs."""
 
-    def pairs(rows: pa.Table):
+    def pairs(rows: pa.Table, cuts: list[int]):
+        """The pairs of several whole regions (blocks), which end at `cuts`."""
         ids, n, group = (rows.column(c).to_numpy() for c in ("id", "n", "comp"))
-        left = rows.column("left").to_numpy(zero_copy_only=False)
-        sk = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(len(ids), SLICES)
-        a = np.flatnonzero(left)
-        b = np.flatnonzero(~left)
-        x, y = _pairs_of(sk, n, group, percent, a, b if len(b) else a)
+        mine = rows.column("left").to_numpy()
+        sk = _bytes(rows.column("sketch")).reshape(len(ids), SLICES)
+        at = [0, *cuts]
+        sizes = np.diff(at)
+        whole = np.logical_and.reduceat(mine, at[:-1])
+        # regions of one block that are small already are cells
+        small = whole & (sizes <= CELL)
+        found = []
+        if small.any():
+            cell = np.repeat(np.arange(len(sizes)), sizes)
+            keep = np.flatnonzero(small[cell])
+            order = keep[np.lexsort((n[keep], cell[keep]))]
+            every = np.ones(len(order), bool)
+            found.append(_leaf(sk, _folded(sk), n, group, percent, cell[order], order, every, every))
+        blocks = []
+        for k in np.flatnonzero(~small).tolist():
+            r = np.arange(at[k], at[k + 1])
+            a = r if whole[k] else r[mine[r]]
+            blocks.append((a, a if whole[k] else r[~mine[r]]))
+        if blocks:
+            found.append(_pairs_of(sk, n, group, percent, blocks))
+        x, y = (np.concatenate([f[i] for f in found]) for i in (0, 1))
         low, high = np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
-        keep = low < high
-        found = np.unique(np.stack([low[keep], high[keep]], 1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["x", "y"])
+        order = np.lexsort((high, low))
+        low, high = low[order], high[order]
+        keep = (low < high) & np.concatenate([np.ones(min(len(low), 1), bool), (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
+        return pa.RecordBatch.from_arrays([pa.array(low[keep]), pa.array(high[keep])], ["x", "y"])
 
     def run(batches):
-        held = None
+        held: list[pa.RecordBatch] = []
+        size = 0
         for b in batches:
-            t = pa.Table.from_batches([b])
-            held = t if held is None else pa.concat_tables([held, t])
-            keys = np.stack([held.column(c).to_numpy() for c in ("s", "bi", "bj")], 1)
-            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
-            at = 0
-            for c in cuts.tolist():
-                if c - at > 1:
-                    yield pairs(held.slice(at, c - at))
-                at = c
-            held = held.slice(at)
-        if held is not None and held.num_rows > 1:
-            yield pairs(held)
+            held.append(b)
+            size += b.num_rows
+            if size < JOINED_ROWS:
+                continue
+            t = pa.Table.from_batches(held)
+            cuts = _changes(t)
+            if cuts:
+                yield pairs(t.slice(0, cuts[-1]), cuts)
+            rest = t.slice(cuts[-1] if cuts else 0)
+            held, size = rest.to_batches(), rest.num_rows
+        if size:
+            t = pa.Table.from_batches(held)
+            yield pairs(t, [*_changes(t), t.num_rows])
 
     return run
 
 
+def _changes(rows: pa.Table) -> list[int]:
+    """Where another region (block) begins."""
+    keys = [rows.column(c).to_numpy() for c in ("s", "bi", "bj")]
+    return (np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1).tolist()
+
+
 def _sets(rows: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     """(s_id, set) of the documents in ids: their texts are read again, as sets of all documents would not fit the disks."""
 
     def run(batches):
         for b in common.chunked(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, size).tobytes() for t in common.texts_of(b)], pa.binary())], ["s_id", "set"])
+            d, h = shingles(b.column(1), size)
+            cuts = np.concatenate([[0], np.cumsum(np.bincount(d, minlength=b.num_rows))]) * 8
+            made = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(cuts.astype(np.int32).tobytes()), pa.py_buffer(h.tobytes())])
+            yield pa.RecordBatch.from_arrays([b.column(0), made], ["s_id", "set"])
 
     few = ids.count() <= common.BROADCAST_IDS
     return rows.join(F.broadcast(ids) if few else ids, F.col("id") == F.col("k"), "left_semi").mapInArrow(run, "s_id long, set binary")
@@ -195,7 +298,7 @@ def _linked(pairs: DataFrame, sketches: DataFrame, rows: DataFrame, size: int, p
     def sift(batches):
         for b in batches:
             if b.num_rows:
-                a, c = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(b.num_rows, SLICES) for i in (4, 5))
+                a, c = (_bytes(b.column(i)).reshape(b.num_rows, SLICES) for i in (4, 5))
                 good = _close(a, c, b.column(2).to_numpy(), b.column(3).to_numpy(), percent)
                 yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(good)), b.column(1).filter(pa.array(good))], ["x", "y"])
 

@@ -244,7 +244,7 @@ def test_recursive_cells_lose_no_pair():
     n = sk.sum(axis=1).astype(np.int64)
     group = np.arange(900)
     rows = np.arange(900)
-    x, y = jaccard._pairs_of(sk, n, group, 85, rows, rows)
+    x, y = jaccard._pairs_of(sk, n, group, 85, [(rows, rows)])
     got = {(min(a, b), max(a, b)) for a, b in zip(x.tolist(), y.tolist(), strict=True)}
     want = {(a, b) for a in range(900) for b in np.flatnonzero(jaccard._close(sk, sk[a][None, :], n, n[a], 85)).tolist() if a < b}
     assert got == want and len(want) > 1000
