@@ -32,6 +32,11 @@ ROUTING = 256
 PAGE = 64
 FANOUT = 16
 K = 10
+#: Vectors of the sample among which a query's first k-th best score is found; the routing objects are the first of them.
+FLOOR_ROWS = 4096
+#: No vector; no score.
+NONE = np.iinfo(np.int64).max
+LOWEST = np.iinfo(np.int64).min + 1
 
 
 def _spread(x: np.ndarray, k: int) -> np.ndarray:
@@ -53,11 +58,11 @@ class Tree:
         self.centre: list[int] = []
         self.radius: list[float] = []
         self.parent_d: list[float] = []
-        self.least_id: list[int] = []
         self.children: list[np.ndarray | None] = []
         self.points: list[np.ndarray | None] = []
         self.point_d: list[np.ndarray | None] = []
         self._build(np.arange(len(ids)), None)
+        self.centre, self.radius, self.parent_d = np.array(self.centre), np.array(self.radius), np.array(self.parent_d)
 
     def _build(self, rows: np.ndarray, parent: int | None) -> int:
         centre = int(rows[vectors.distances(self.lift[rows].mean(axis=0, keepdims=True), self.lift[rows])[0].argmin()])
@@ -66,7 +71,6 @@ class Tree:
         self.centre.append(centre)
         self.radius.append(float(d.max()))
         self.parent_d.append(0.0 if parent is None else float(vectors.distances(self.lift[[centre]], self.lift[[parent]])[0, 0]))
-        self.least_id.append(int(self.ids[rows].min()))
         for column in (self.children, self.points, self.point_d):
             column.append(None)
         if len(rows) <= PAGE or d.max() == 0:
@@ -80,45 +84,70 @@ class Tree:
         self.children[i] = np.array([self._build(rows[near == s], centre) for s in np.unique(near)])
         return i
 
-    def search(self, q: np.ndarray, own: int, k: int, floor: float) -> list[tuple[int, int]]:
-        """Up to k (score, id) of at least `floor`, best first over pages."""
-        q2 = float((q * q).sum())
-        far = np.append(q, 0.0)
-        dist = lambda rows: vectors.distances(far[None, :], self.lift[rows])[0]
-        bound = lambda d: (q2 + self.m2 - d * d) / 2 + 1e-3 + 1e-9 * (q2 + self.m2)
-        hits: list[tuple[int, int]] = []  # a heap whose first is the worst hit: (score, -id)
-        d0 = float(dist([self.centre[0]])[0])
-        queue = [(-bound(max(d0 - self.radius[0], 0.0)), 0, d0)]
+    def search(self, q: np.ndarray, own: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For a block of queries up to k (score, id) each of at least `floor`: matrices, empty places at the end with NONE as id.
+
+        Best first over pages: the page whose bound promises most to any query of the block comes next, with those queries
+        that it still can serve.
+        """
+        q2 = (q * q).sum(axis=1)
+        far = np.hstack([q, np.zeros((len(q), 1))])
+        slack = 1e-3 + 1e-9 * (q2 + self.m2)
+        bound = lambda d, i: (q2[i] + self.m2 - d * d) / 2 + slack[i]
+        column = lambda i: (i, None)
+        wide = float(q2.max(initial=0) * self.m2) >= 2.0**104  # scores beyond 2^52 are summed as whole numbers
+        scores = np.full((len(q), k), -np.inf if not wide else LOWEST, np.float64 if not wide else np.int64)
+        ids = np.full((len(q), k), NONE)
+        worst = floor.astype(np.float64)
+        every = np.arange(len(q))
+        d0 = vectors.distances(far, self.lift[[self.centre[0]]])[:, 0]
+        b0 = bound(np.maximum(d0 - self.radius[0], 0), every)
+        queue = [(-float(b0.max(initial=-np.inf)), 0, every, d0, b0)]
         while queue:
-            top, i, d = heapq.heappop(queue)
-            worst = hits[0] if len(hits) == k else (floor, -(1 << 62))
-            if -top < worst[0]:
-                break
-            if -top < worst[0] + 1 and len(hits) == k and self.least_id[i] > -worst[1] and int(-top) <= worst[0]:
-                continue  # at best an equal score, and only larger ids
+            _, i, who, d, b = heapq.heappop(queue)
+            live = b >= worst[who]
+            if not live.any():
+                continue
+            who, d = who[live], d[live]
             if self.children[i] is not None:
                 c = self.children[i]
-                low = np.maximum(np.abs(d - np.array([self.parent_d[j] for j in c])) - np.array([self.radius[j] for j in c]), 0)
-                c = c[bound(low) >= worst[0]]  # by the stored distance to the parent, before any is computed
-                if len(c):
-                    dc = dist([self.centre[j] for j in c])
-                    for j, dj in zip(c.tolist(), dc.tolist(), strict=True):
-                        b = bound(max(dj - self.radius[j], 0.0))
-                        if b >= worst[0]:
-                            heapq.heappush(queue, (-b, j, dj))
+                # by the stored distance to the parent, before any is computed
+                low = np.maximum(np.abs(d[:, None] - self.parent_d[c]) - self.radius[c], 0)
+                open_ = bound(low, column(who)) >= worst[who, None]
+                c, open_ = c[open_.any(axis=0)], open_[:, open_.any(axis=0)]
+                if not len(c):
+                    continue
+                dc = vectors.distances(far[who], self.lift[self.centre[c]])
+                bc = bound(np.maximum(dc - self.radius[c], 0), column(who))
+                open_ &= bc >= worst[who, None]
+                for j in np.flatnonzero(open_.any(axis=0)).tolist():
+                    m = open_[:, j]
+                    heapq.heappush(queue, (-float(bc[m, j].max()), int(c[j]), who[m], dc[m, j], bc[m, j]))
+                continue
+            rows, stored = self.points[i], self.point_d[i]
+            open_ = bound(np.abs(d[:, None] - stored), column(who)) >= worst[who, None]
+            at, rows = open_.any(axis=1), rows[open_.any(axis=0)]
+            who = who[at]
+            if not len(who):
                 continue
-            rows = self.points[i][bound(np.abs(d - self.point_d[i])) >= worst[0]]
-            if not len(rows):
+            if wide:
+                found = q[who].astype(np.int64) @ self.x[rows].astype(np.int64).T
+                found[own[who][:, None] == self.ids[rows]] = LOWEST
+            else:
+                found = q[who] @ self.x[rows].T
+                found[own[who][:, None] == self.ids[rows]] = -np.inf
+            better = found.max(axis=1) >= worst[who]
+            who, found = who[better], found[better]
+            if not len(who):
                 continue
-            scores = (self.x[rows].astype(np.int64) @ q.astype(np.int64)).astype(np.int64)
-            ids = self.ids[rows]
-            fit = (scores >= worst[0]) & (ids != own)
-            for s, v in zip(scores[fit].tolist(), ids[fit].tolist(), strict=True):
-                if len(hits) < k:
-                    heapq.heappush(hits, (s, -v))
-                elif (s, -v) > hits[0]:
-                    heapq.heapreplace(hits, (s, -v))
-        return hits
+            s = np.hstack([scores[who], found])
+            v = np.hstack([ids[who], np.broadcast_to(self.ids[rows], found.shape)])
+            order = np.lexsort((v, -s))[:, :k]
+            scores[who], ids[who] = np.take_along_axis(s, order, 1), np.take_along_axis(v, order, 1)
+            worst[who] = np.maximum(floor[who], scores[who, -1])
+        ids[scores <= (LOWEST if wide else -np.inf)] = NONE
+        ids[scores < floor[:, None]] = NONE
+        return scores, ids
 
 
 def search(rows: DataFrame, is_query: Column, k: int = K, routing: int = ROUTING, part_rows: int = vectors.PART_ROWS) -> DataFrame:
@@ -128,7 +157,8 @@ def search(rows: DataFrame, is_query: Column, k: int = K, routing: int = ROUTING
     m2, total = rows.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)), F.count("*")).first()
     if not total:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    pivot_ids, pivots = vectors.sample(rows, min(routing, -(-total // PAGE)))
+    first_ids, first = vectors.sample(rows, max(routing, FLOOR_ROWS))
+    pivots = first[: min(routing, -(-total // PAGE))]
     lifted = vectors.lifted(pivots, m2)
 
     def route(batches):
@@ -157,9 +187,11 @@ def search(rows: DataFrame, is_query: Column, k: int = K, routing: int = ROUTING
             for at in range(0, b.num_rows, vectors.BLOCK_ROWS):
                 s = b.slice(at, vectors.BLOCK_ROWS)
                 ids, q = s.column(0).to_numpy(), vectors.matrix(s.column(1))
-                score = q @ pivots.T
-                score[ids[:, None] == pivot_ids[None, :]] = -np.inf
-                floor = np.sort(score, axis=1)[:, -k] if score.shape[1] >= k else np.full(len(ids), -np.inf)
+                score = q @ first.T
+                score[ids[:, None] == first_ids[None, :]] = -np.inf
+                # whole numbers up to 2^53 are exact; beyond, rounding may not lift the floor
+                floor = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] >= k else np.full(len(ids), -np.inf)
+                floor -= 1e-12 * np.abs(floor) * (np.abs(floor) >= 2.0**52)
                 q2 = (q * q).sum(axis=1)[:, None]
                 d = vectors.distances(np.hstack([q, np.zeros((len(q), 1))]), lifted)
                 bound = (q2 + m2 - np.maximum(d - radius[None, :], 0) ** 2) / 2 + 1e-3 + 1e-9 * (q2 + m2)
@@ -175,6 +207,7 @@ def search(rows: DataFrame, is_query: Column, k: int = K, routing: int = ROUTING
     blocks = rows.where(is_query).mapInArrow(ask, "q_region int, parts array<int>, q_ids binary, q_data binary")
     blocks = blocks.select("q_region", F.explode("parts").alias("q_part"), "q_ids", "q_data")
     met = blocks.join(pages, (F.col("q_region") == F.col("region")) & (F.col("q_part") == F.col("part"))).select("region", "part", "ids", "data", "q_ids", "q_data")
+    met = met.sortWithinPartitions("region", "part")  # a tree is grown once for all its blocks
 
     def find(batches):
         last, tree = None, None
@@ -182,11 +215,11 @@ def search(rows: DataFrame, is_query: Column, k: int = K, routing: int = ROUTING
             for r in b.to_pylist():
                 if last != (r["region"], r["part"]):
                     tree, last = Tree(*vectors.unpack(r["ids"], r["data"]), m2), (r["region"], r["part"])
-                out = []
-                for own, q in zip(*vectors.unpack(r["q_ids"], r["q_data"]), strict=True):
-                    out += [(int(own), -v, s) for s, v in tree.search(q[:-1], int(own), k, q[-1])]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
+                own, q = vectors.unpack(r["q_ids"], r["q_data"])
+                score, ids = tree.search(q[:, :-1], own, k, q[:, -1])
+                i, j = np.nonzero(ids != NONE)
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(own[i]), pa.array(ids[i, j]), pa.array(score[i, j].astype(np.int64))], ["query_id", "vec_id", "score"])
 
     return vectors.best(met.mapInArrow(find, "query_id long, vec_id long, score long"), k)
 
