@@ -9,7 +9,8 @@ list's size does not matter. Scores are exact inner products of the original vec
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no
 part, nor do rows without id; a query always gets k neighbours if there are as many candidates in its
-lists, and looks at MIN_LISTS lists at least; rows that repeat an id count once; an empty table gives
+lists, and looks at MIN_LISTS lists at least; rows that repeat an id count once; of vectors of several lengths
+those of the commonest length take part (of equally common ones, the shortest); an empty table gives
 an empty one; further columns are ignored.
 """
 
@@ -27,9 +28,10 @@ from . import common, vectors
 
 K = 20
 SAMPLE_ROWS = 16_384
-#: Vectors that a centroid stands for in the sample; at most MAX_LISTS centroids are held in memory.
-PER_LIST = 64
+#: Vectors of a list on average, until MAX_LISTS centroids, which are held in memory; vectors of the sample for each centroid.
+PER_LIST = 200
 MAX_LISTS = 4096
+SAMPLE_PER_LIST = 16
 COPIES = 3
 CLOSE = 1.05
 RATIO = 1.25
@@ -115,12 +117,13 @@ def search(rows: DataFrame, is_query: Column, k: int = K, part_rows: int = vecto
     """rows: (id, v). Per query: query_id, rank, vec_id, score."""
     spark = rows.sparkSession
     rows = common.stored(rows, "vectors")
-    m2, total = rows.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)), F.count("*")).first()
+    rows, m2, total = vectors.measured(rows)
     if not total:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    _, sampled = vectors.sample(rows, SAMPLE_ROWS)
+    lists = int(np.clip(total // PER_LIST, 1, MAX_LISTS))
+    _, sampled = vectors.sample(rows, max(SAMPLE_ROWS, SAMPLE_PER_LIST * lists))
     lifted = vectors.lifted(sampled, m2)
-    graph = Graph(centroids(lifted, int(np.clip(len(sampled) // PER_LIST, 1, MAX_LISTS))))
+    graph = Graph(centroids(lifted, lists))
     held = spark.sparkContext.broadcast(graph)  # at most MAX_LISTS centroids
     between = vectors.distances(graph.c, graph.c)
 
@@ -185,13 +188,15 @@ def search(rows: DataFrame, is_query: Column, k: int = K, part_rows: int = vecto
                 score[own[:, None] == ids[None, :]] = -np.inf
                 n = min(k + 1, len(ids))
                 edge = np.partition(score, len(ids) - n, axis=1)[:, len(ids) - n]
-                i, j = np.nonzero((score >= edge[:, None]) & (score > -np.inf))
+                # the product of matrices rounds as its blocks fall: all within the rounding of the edge stay, and exact scores rank them
+                slack = 1e-12 * np.sqrt((q * q).sum(axis=1) * m2)
+                i, j = np.nonzero((score >= (edge - slack)[:, None]) & (score > -np.inf))
+                exact = (q[i] * x[j]).sum(axis=1)
                 # equal scores at the edge may be many: the smaller ids of them are enough
-                order = np.lexsort((ids[j], -score[i, j], i))
-                i, j = i[order], j[order]
+                order = np.lexsort((ids[j], -exact, i))
+                i, j, exact = i[order], j[order], exact[order]
                 first = np.arange(len(i)) - np.searchsorted(i, i)
-                i, j = i[first < k], j[first < k]
-                exact = (q[i] * x[j]).sum(axis=1)
+                i, j, exact = i[first < k], j[first < k], exact[first < k]
                 yield pa.RecordBatch.from_arrays([pa.array(own[i]), pa.array(ids[j]), pa.array(exact)], ["query_id", "vec_id", "score"])
 
     return vectors.best(met.mapInArrow(find, "query_id long, vec_id long, score double"), k, repeated=True)

@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
+#: A pair of ids is one number: the first above these bits.
+PAIR_BITS = 31
 END = "\ue000"  # stands for the end-of-word suffix inside this module
 GONE = re.compile("(?!)")
 
@@ -104,15 +106,15 @@ class WordBpe:
         return out
 
     def _stands(self, keys: np.ndarray) -> np.ndarray:
-        """Of each adjacent pair (id * 65536 + id): does it encode to itself?"""
+        """Of each adjacent pair (two ids in one number): does it encode to itself?"""
         distinct, back = np.unique(keys, return_inverse=True)
         known = self.pairs
-        if len(known) > 4 * common.CACHE_WORDS:
+        if len(known) > 4 * common.CACHE_TOKENS:
             known.clear()
         mine = self.mine
         for k in distinct.tolist():
             if k not in known:
-                a, b = mine[k >> 16], mine[k & 65535]
+                a, b = mine[k >> PAIR_BITS], mine[k & (1 << PAIR_BITS) - 1]
                 known[k] = self.merge(a + b) == [a, b]
         return np.fromiter(map(known.__getitem__, distinct.tolist()), bool, len(distinct))[back]
 
@@ -134,7 +136,7 @@ class WordBpe:
         owner = np.repeat(np.arange(len(tokens)), counts)
         joint = owner[1:] == owner[:-1]
         good = counts > 0
-        good[owner[1:][joint][~self._stands((flat[:-1] << 16 | flat[1:])[joint])]] = False
+        good[owner[1:][joint][~self._stands((flat[:-1] << PAIR_BITS | flat[1:])[joint])]] = False
         for w, s, t, ok in zip(words, spelled, tokens, good.tolist(), strict=True):
             found = [ids[x] for x in (t if ok else self.merge(s))]
             self.table[w] = struct.pack(f"<{len(found)}I", *found)
@@ -162,7 +164,7 @@ class WordBpe:
                 continue
             missing = set(words).difference(self.table)
             if missing:
-                if len(self.table) > common.CACHE_WORDS:
+                if len(self.table) > common.CACHE_TOKENS:
                     self.table.clear()
                     self.spelled.clear()
                     missing = set(words)

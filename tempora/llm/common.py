@@ -8,19 +8,26 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Characters of text that a Python worker works on at once.
 CHUNK_CHARS = 2_000_000
-#: Entries that a worker's word cache holds before it starts again.
-CACHE_WORDS = 300_000
+#: Rows of a batch that Spark hands to a Python worker: texts of a few KB make batches of a few MB.
+BATCH_ROWS = 2000
+#: Entries that a worker's word cache holds before it starts again, and the longest word that it keeps.
+CACHE_WORDS = 100_000
+CACHE_LENGTH = 64
+#: The same for words whose tokens are kept (no text is as costly to encode again).
+CACHE_TOKENS = 300_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one is set only where none is named."""
+    """The folder that driver and executors share; only a local master, which has no other machines, may go without and gets a temporary one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tempora-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -34,6 +41,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches are bounded by rows alone, so that of whole texts is lowered."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > BATCH_ROWS or int(spark.conf.get(key)) <= 0:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def renamed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with the columns c0, c1, ... and which name became which: no column that is added can clash."""
+    fields = {name: f"c{i}" for i, name in enumerate(docs.columns)}
+    return docs.toDF(*fields.values()), fields
+
+
 def slots(spark: SparkSession) -> int:
     return max(1, spark.sparkContext.defaultParallelism)
 
@@ -62,33 +82,35 @@ def texts_of(batch: pa.RecordBatch, column: int = 1) -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 
 
-def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(f, schema)
-
-
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def bounded_ids(df: DataFrame, bound: int, key: str = "doc_id", by: str | None = None) -> DataFrame:
-    """Up to `bound` ids (for each value of `by`), in the order of their hash: the same rows at any partitioning."""
-    from pyspark.sql import Window
+    """Up to `bound` ids (for each value of `by`), in the order of their hash: the same rows at any partitioning.
 
-    cols = df.select(F.col(key).alias("_id"), *([F.col(by).alias("_by")] if by else [])).where(F.col("_id").isNotNull()).distinct()
-    cols = cols.withColumn("_h", F.xxhash64("_id"))
+    Of a large group only the ids under a threshold of the hash are ordered, which is set so that half as many again as
+    needed are to be expected: no task gets a whole group.
+    """
+    cols = df.select(F.col(key).alias("_id"), *([F.col(by).alias("_by")] if by else [])).where(F.col("_id").isNotNull()).withColumn("_h", F.xxhash64("_id"))
     if not by:
-        return cols.orderBy("_h", "_id").limit(bound).select("_id")
-    w = Window.partitionBy("_by").orderBy("_h", "_id")
-    return cols.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= bound).select("_id").distinct()
+        return cols.select("_id", "_h").distinct().orderBy("_h", "_id").limit(bound).select("_id")
+    sizes = cols.groupBy(F.col("_by").alias("_of")).agg(F.count("*").alias("_n"))
+    part = F.pmod(F.col("_h"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    near = cols.join(sizes, F.col("_by").eqNullSafe(F.col("_of"))).where(part * F.col("_n") < 1.5 * bound + 1000).select("_id", "_by", "_h").distinct()
+    w = Window.partitionBy("_by").orderBy(part, "_h", "_id")  # about 1.5 * bound + 1000 rows
+    return near.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= bound).select("_id").distinct()
 
 
 def annotated(docs: DataFrame, text_col: str, compute: Callable[[list[str]], list[pa.Array]], new: str) -> DataFrame:
     """docs with the further columns `new` ("name type, ..."), which compute gives for a list of whole texts.
 
-    One narrow pass; all columns of docs come along whatever their names, as long as they differ from the new ones.
+    One narrow pass; all columns of docs come along whatever their names, but for those of the new ones' names, which give way.
     """
     from pyspark.sql.types import StructType
 
+    bounded_batches(docs.sparkSession)
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in StructType.fromDDL(new).names])
     names, at = docs.columns, docs.columns.index(text_col)
     fields = [f"c{i}" for i in range(len(names))]
     added = StructType.fromDDL(new)
@@ -112,7 +134,7 @@ BROADCAST_IDS = 1_000_000
 
 
 def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs without the given (distinct) ids, which are broadcast only after their number was checked."""
+    """docs (no column of which is called _gone) without the given (distinct) ids, which are broadcast only after their number was checked."""
     gone = stored(ids.toDF("_gone"), "gone")
     few = gone.count() <= BROADCAST_IDS
     return docs.join(F.broadcast(gone) if few else gone, F.col(id_col) == F.col("_gone"), "left_anti")

@@ -327,6 +327,7 @@ def _linked(pairs: DataFrame, sketches: DataFrame, rows: DataFrame, size: int, p
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Per row: id, n_shingles, component_id (the smallest id that links reach)."""
+    common.bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     known = rows.where(F.col("id").isNotNull())
     share = min(1.0, SAMPLE_DOCS / max(known.count(), 1))

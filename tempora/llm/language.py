@@ -8,7 +8,7 @@ penalty for each switch labels the words of a text, and equal neighbours make a
 language is the one with the most letters in its spans.
 
 The n-gram model is fitted on a bounded sample of labelled rows: SAMPLE_ROWS for each language, in
-the order of their ids' hashes, of each the whole text. Everything else sees every text as a whole.
+the order of their ids' hashes, of each the whole text; it keeps the NGRAMS commonest n-grams. Everything else sees every text as a whole.
 
 Defined results: a text that is null or has no letters is `und` with score 0; so is every text when
 nothing could be learned; equal weights go to the first language by name; repeated rows give a row
@@ -232,7 +232,8 @@ class LanguageModel:
 
 def fit(docs: DataFrame, trainable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
     """Learns from up to sample_rows labelled rows for each language, of each the whole text."""
-    labelled = docs.where(trainable & F.col(lang_col).isNotNull())
+    common.bounded_batches(docs.sparkSession)
+    labelled = docs.where(trainable & F.col(lang_col).isNotNull()).select(id_col, text_col, lang_col)
     ids = common.bounded_ids(labelled, sample_rows, id_col, lang_col)
     sample = labelled.join(F.broadcast(ids), F.col(id_col) == F.col("_id"), "left_semi")  # at most sample_rows ids for each language
     rows = sample.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
@@ -260,7 +261,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
 
 
 def labelled(docs: DataFrame, model: LanguageModel, text_col: str = "text", spans: bool = False) -> DataFrame:
-    """docs with the columns lid_lang, lid_score, lid_spans (null unless asked for)."""
+    """docs with the columns lid_lang, lid_score, lid_spans (null unless asked for); columns of these names in docs give way."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by NGRAMS
     kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("lang", pa.string())]))
 

@@ -39,8 +39,8 @@ BUCKET_ROWS = 500_000
 DEAL = 4096
 #: Windows that a task of the second dealing holds at once.
 DEALT_ROWS = 4_000_000
-SAMPLE_DOCS = 20_000
-FREQUENT = 16
+SAMPLE_DOCS = 5000
+FREQUENT = 8
 FREQUENT_ROWS = 100_000
 NOBODY = np.iinfo(np.int64).max
 
@@ -259,18 +259,19 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def deduped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the further columns n_words, n_removed and kept; columns of these names in docs are replaced."""
     spark = docs.sparkSession
+    common.bounded_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     known = rows.where(F.col("id").isNotNull())
     size, n = known.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     buckets = int(max(2 * common.slots(spark), (size or 0) / 6.5 // BUCKET_ROWS))
-    groups = max(common.slots(spark), buckets // 8)
+    groups = max(common.slots(spark), buckets // 4)
     coarse, kind = _coarse(buckets), _probe_kind(buckets)
     frequent7, frequent13 = _sampled(known, min(1.0, SAMPLE_DOCS / max(n, 1)))
     held = spark.sparkContext.broadcast((frequent7, frequent13))  # at most FREQUENT_ROWS each
 
     def probes(batches):
         """All BLOCK-word windows, those of frequent hashes as hits in buckets of their own."""
-        for b in common.chunked(batches, limit=3 * common.CHUNK_CHARS):
+        for b in common.chunked(batches):
             ids = b.column(0).to_numpy(zero_copy_only=False)
             d, p, h = words.Words(b.column(1)).windows(BLOCK)
             d = ids[d]
@@ -291,7 +292,7 @@ def deduped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     def near(batches):
         """The WINDOW-word windows that hold a hit; of frequent ones a chunk's smallest document only."""
-        for b in common.chunked(batches, limit=3 * common.CHUNK_CHARS):
+        for b in common.chunked(batches):
             ids = b.column(0).to_numpy(zero_copy_only=False)
             w = words.Words(b.column(1))
             counts = np.array([len(x) // 4 for x in b.column(2).to_pylist()])

@@ -87,7 +87,7 @@ class PieceModel:
         try:
             return sum(map(table.__getitem__, words))
         except KeyError:
-            if len(table) > common.CACHE_WORDS:
+            if len(table) > common.CACHE_TOKENS:
                 table.clear()
             for w in set(words).difference(table):
                 table[w] = self.count_word(w)

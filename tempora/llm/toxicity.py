@@ -10,7 +10,7 @@ without any (INSULTS as well) starts as one that says nothing. A linear classifi
 posteriors and scores every whole text.
 
 Lexicons and classifier are fitted on a bounded sample: SAMPLE_ROWS labelled rows in the order of
-their ids' hashes. The vote patterns are counted over all documents; there are at most 2 ** voters.
+their ids' hashes; the lexicon has at most LEXICON entries, those of most evidence. The vote patterns are counted over all documents; there are at most 2 ** voters.
 
 Defined results: a null or empty text casts no votes and gets the classifier's score for that;
 without labelled rows of both classes every score is the prior (0.0); repeated rows give a row each;
@@ -125,14 +125,15 @@ class Voters:
     def votes_and_counts(self, text: str) -> tuple[list[int], list[float]]:
         words = _WORDS(text.lower())
         known = self.checked
-        missing = set(words).difference(known)
+        missing, found = set(words).difference(known), {}
         if missing:
             if len(known) > common.CACHE_WORDS:
                 known.clear()
                 missing = set(words)
-            known.update((w, self.of_word(w)) for w in missing)
+            found = {w: self.of_word(w) for w in missing}
+            known.update((w, bits) for w, bits in found.items() if len(w) <= common.CACHE_LENGTH)
         hits = [0] * LEXICONS
-        for bits, k in Counter(map(known.__getitem__, words)).items():
+        for bits, k in Counter(known[w] if w in known else found[w] for w in words).items():
             for v in range(LEXICONS):
                 if bits >> v & 1:
                     hits[v] += k
@@ -227,6 +228,8 @@ class ToxicityModel:
 
 def fit(docs: DataFrame, labels: DataFrame, trainable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> ToxicityModel:
     """Learns lexicons, label model and classifier; only rows where `trainable` holds give labels."""
+    common.bounded_batches(docs.sparkSession)
+    docs = docs.select(F.col(id_col), F.col(text_col))
     marked = labels.where(trainable & F.col(label_col).isNotNull()).select(F.col(id_col).alias("_k"), F.col(label_col).cast("int").alias("_y"))
     ids = common.bounded_ids(marked, sample_rows, "_k")
     chosen = marked.join(F.broadcast(ids), F.col("_k") == F.col("_id"), "left_semi").groupBy("_k").agg(F.max("_y").alias("_y"))
@@ -292,7 +295,7 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
 
 
 def scored(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
-    """docs with a column tox_score."""
+    """docs with a column tox_score (one that docs has gives way)."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by LEXICON
     return common.annotated(docs, text_col, lambda texts: [pa.array(held.value.score(texts), pa.float64())], "tox_score double")
 

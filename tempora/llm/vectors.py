@@ -25,6 +25,17 @@ def valid(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     return rows if zero else rows.where(F.exists("v", lambda x: x != 0))
 
 
+def measured(rows: DataFrame) -> tuple[DataFrame, float, int]:
+    """(rows, largest squared norm, number) of a stored table (id, v). Where vectors differ in length, only those of the commonest take part (of equally common ones, the shortest)."""
+    square = F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    m2, total, low, high = rows.agg(square, F.count("*"), F.min(F.size("v")), F.max(F.size("v"))).first()
+    if total and low != high:
+        width = rows.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").first()["w"]
+        rows = rows.where(F.size("v") == width)
+        m2, total = rows.agg(square, F.count("*")).first()
+    return rows, m2, total
+
+
 def matrix(column) -> np.ndarray:
     """An Arrow list column as a matrix."""
     n = len(column)
@@ -58,8 +69,8 @@ def sample(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def best(hits: DataFrame, k: int, repeated: bool = False) -> DataFrame:
-    """The k best (query_id, vec_id, score) of each query, ranked; ties go to the smaller vec_id."""
+    """The k best (query_id, vec_id, score) of each query, ranked; ties go to the smaller vec_id. If repeated, a pair counts once, by its highest score."""
     if repeated:
-        hits = hits.dropDuplicates(["query_id", "vec_id"])
+        hits = hits.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -281,14 +281,28 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(WarcSource)
 
 
+#: Pages of equal payload beyond which their group is known to all tasks.
+HOT_PAGES = 1000
+
+
 def archive(pages: DataFrame, path: str, least: int = REVISIT_BYTES) -> None:
     """Writes a record for each page: equal payloads of at least `least` bytes are revisits of the one with the largest page_id."""
     register(pages.sparkSession)
     rows = pages.select("page_id", "url", "html", F.sha1(F.coalesce("html", F.lit("")).cast("binary")).alias("digest"), F.coalesce(F.octet_length("html"), F.lit(0)).alias("size"))
     # digests only are shuffled to find the groups; a group of any size becomes one row
-    groups = rows.where(F.col("size") >= least).groupBy(F.col("digest").alias("g_digest")).agg(F.max("page_id").alias("keeper"), F.count("*").alias("k")).where("k > 1").drop("k")
+    found = rows.where(F.col("size") >= least).groupBy(F.col("digest").alias("g_digest")).agg(F.max("page_id").alias("keeper"), F.count("*").alias("k")).where("k > 1")
+    groups = common.stored(found, "digests")
+    # the payloads of a large group's pages are not brought together: such groups are few (each has over HOT_PAGES pages) and go to all tasks
+    hot = groups.where(F.col("k") > HOT_PAGES).select(F.col("g_digest").alias("h_digest"), F.col("keeper").alias("h_keeper"))
+    hot = F.broadcast(hot) if hot.count() <= common.BROADCAST_IDS else hot
+    shared = F.col("size") >= least
+    rows = rows.join(hot, shared & (F.col("digest") == F.col("h_digest")), "left")
+    # other pages meet their group by digest; those that need none are spread by their own key
+    alone = F.concat_ws("#", F.lit("page"), F.xxhash64("page_id", "url"))
+    rows = rows.withColumn("key", F.when(shared & F.col("h_keeper").isNull(), F.col("digest")).otherwise(alone))
+    groups = groups.where(F.col("k") <= HOT_PAGES).drop("k")
     revisit = F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))
-    marked = rows.join(groups, (F.col("digest") == F.col("g_digest")) & (F.col("size") >= least), "left")
+    marked = rows.join(groups, F.col("key") == F.col("g_digest"), "left").withColumn("keeper", F.coalesce("h_keeper", "keeper"))
     marked.select("page_id", "url", "html", "digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("keeper")).alias("refers_to")).write.format("warc").mode("append").save(path)
 
 
