@@ -3,8 +3,8 @@
 Every document's non-overlapping blocks of BLOCK words are reference anchors, and every rolling window
 of BLOCK words probes them: a repeat of WINDOW >= 2 * BLOCK - 1 words holds a whole anchor wherever it
 lies. A probe that meets an anchor's hash in another document is a hit. Hits are then extended: the
-WINDOW-word windows around them are compared across documents by two independent hashes of 64 bits each
-(128 together, so that no chance meeting is to be expected among 10^13 windows), and neighbouring
+WINDOW-word windows around them are compared across documents by two independent hashes of 96 bits
+together, so that no chance meeting is to be expected among 10^13 windows, and neighbouring
 repeats join to the maximal exact repeat. A word goes if it lies in a window that also starts in a
 document with a smaller id.
 
@@ -43,6 +43,8 @@ SAMPLE_DOCS = 5000
 FREQUENT = 8
 FREQUENT_ROWS = 100_000
 NOBODY = np.iinfo(np.int64).max
+#: The group of what is not dealt by document.
+LOWS = -1
 
 BLOBS = "bucket int, ids binary, counts binary, places binary, hashes binary, checks binary"
 DEALT = "g int, ids binary, counts binary, found binary"
@@ -97,14 +99,14 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "ids", "counts", "places", "hashes", "checks"])
 
 
-def _opened(rows, kind=np.uint64) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _opened(rows, kind=np.uint64, check_kind=np.uint64) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(document, place, hash, second hash) of the windows of several blobs."""
     out: list[list[np.ndarray]] = [[], [], [], []]
     for ids, counts, places, hashes, checks in rows:
         out[0].append(np.repeat(_unplanes(ids, np.int64), _unplanes(counts, np.int32)))
         out[1].append(_unplanes(places, np.int32))
         out[2].append(np.frombuffer(hashes, kind))
-        out[3].append(np.frombuffer(checks, np.uint64))
+        out[3].append(np.frombuffer(checks, check_kind))
     return tuple(np.concatenate(x) for x in out)
 
 
@@ -179,13 +181,20 @@ def _meet(pdf: pd.DataFrame, buckets: int, groups: int) -> pd.DataFrame:
     return _dealt(ds[hit], p[order][hit], groups)
 
 
-def _later(pdf: pd.DataFrame, groups: int) -> pd.DataFrame:
-    """Of each document, the hashes of its windows that a smaller document has too."""
-    d, _, h, check = _opened(_columns(pdf))
+def _later(pdf: pd.DataFrame, groups: int, frequent: np.ndarray) -> pd.DataFrame:
+    """Of each document, the hashes of its windows that a smaller document has too; and as group LOWS the smallest document of each frequent window."""
+    d, _, h, check = _opened(_columns(pdf), check_kind=np.uint32)
     order, run = _runs(h, check)
     ds = d[order]
-    late = ds > np.minimum.reduceat(ds, np.flatnonzero(np.diff(run, prepend=-1)))[run]
-    return _dealt(ds[late], h[order][late], groups)
+    starts = np.flatnonzero(np.diff(run, prepend=-1))
+    low = np.minimum.reduceat(ds, starts)
+    late = ds > low[run]
+    out = _dealt(ds[late], h[order][late], groups)
+    often = _isin(first := h[order][starts], frequent)
+    if often.any():
+        lows = pd.DataFrame({"g": np.array([LOWS], np.int32), "ids": [_planes(low[often])], "counts": [b""], "found": [_planes(first[often])]})
+        out = pd.concat([out, lows]) if len(out) else lows
+    return out
 
 
 def _probe_kind(buckets: int):
@@ -203,7 +212,7 @@ def _exchanged(blobs: DataFrame, buckets: int, extra: int = 0) -> DataFrame:
         held, n = [], 0
 
         def handed():
-            d, p, h, check = _opened([r[1:] for r in held])
+            d, p, h, check = _opened([r[1:] for r in held], check_kind=np.uint32)
             return _packed(_bucket(h, buckets), d, p, h, check if len(check) else None, buckets)
 
         for b in batches:
@@ -287,7 +296,7 @@ def deduped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     blobs = _exchanged(known.mapInArrow(probes, BLOBS), buckets, groups)
     hits = blobs.groupBy("bucket").applyInPandas(lambda pdf: _meet(pdf, buckets, groups), DEALT)
-    places = hits.groupBy("g").applyInPandas(_by_doc(np.int32), "id long, found binary").withColumnRenamed("id", "h_id")
+    places = common.stored(hits.groupBy("g").applyInPandas(_by_doc(np.int32), "id long, found binary"), "hits").withColumnRenamed("id", "h_id")
     marked = known.join(places, F.col("id") == F.col("h_id")).select("id", "text", "found")
 
     def near(batches):
@@ -304,7 +313,7 @@ def deduped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             np.add.at(cover, at + 1, -1)
             d, p, h, check = w.windows(WINDOW, checked=True)
             mine = np.cumsum(cover)[w.first[d] + p] > 0
-            d, p, h, check = ids[d[mine]], p[mine], h[mine], check[mine]
+            d, p, h, check = ids[d[mine]], p[mine], h[mine], check[mine].astype(np.uint32)
             often = _isin(h, held.value[1])
             if often.any():
                 order = np.flatnonzero(often)[np.lexsort((d[often], h[often]))]
@@ -315,13 +324,10 @@ def deduped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             if rows:
                 yield _batch(rows)
 
-    second = marked.mapInArrow(near, BLOBS)
-    if len(frequent13):
-        second = common.stored(second, "windows")
-    lows = spark.sparkContext.broadcast(_lows(second, frequent13))
-    second = _exchanged(second, buckets)
-    late = second.groupBy("bucket").applyInPandas(lambda pdf: _later(pdf, groups), DEALT)
-    late = late.groupBy("g").applyInPandas(_by_doc(np.uint64), "id long, found binary").withColumnsRenamed({"id": "l_id", "found": "late"})
+    second = _exchanged(marked.mapInArrow(near, BLOBS), buckets)
+    later = common.stored(second.groupBy("bucket").applyInPandas(lambda pdf: _later(pdf, groups, held.value[1]), DEALT), "late")
+    lows = spark.sparkContext.broadcast(_lows(later, frequent13))
+    late = later.where(F.col("g") != LOWS).groupBy("g").applyInPandas(_by_doc(np.uint64), "id long, found binary").withColumnsRenamed({"id": "l_id", "found": "late"})
 
     added = ("n_words", "n_removed", "kept")
     docs = docs.select(*[c for c in docs.columns if c not in added])
@@ -373,25 +379,12 @@ def _late_here(d: np.ndarray, h: np.ndarray, ld: np.ndarray, lh: np.ndarray) ->
     return (lh[at] == h) & (ld[at] == d)
 
 
-def _lows(second: DataFrame, frequent: np.ndarray) -> np.ndarray:
-    """The smallest document of each frequent window, from each chunk's smallest."""
-    if not len(frequent):
-        return np.zeros(0, np.int64)
-    held = second.sparkSession.sparkContext.broadcast(frequent)
-
-    def run(batches):
-        low = np.full(len(held.value), NOBODY)
-        for b in batches:
-            if b.num_rows:
-                d, _, h, _ = _opened(zip(*[c.to_pylist() for c in b.columns[1:]], strict=True))
-                often = _isin(h, held.value)
-                np.minimum.at(low, np.searchsorted(held.value, h[often]), d[often])
-        at = np.flatnonzero(low < NOBODY)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(low[at])], ["i", "low"])
-
+def _lows(later: DataFrame, frequent: np.ndarray) -> np.ndarray:
+    """The smallest document of each frequent window; NOBODY where none holds a hit."""
     out = np.full(len(frequent), NOBODY)
-    for r in second.mapInArrow(run, "i long, low long").groupBy("i").agg(F.min("low").alias("low")).collect():  # at most FREQUENT_ROWS
-        out[r["i"]] = r["low"]
+    for r in later.where(F.col("g") == LOWS).select("ids", "found").collect() if len(frequent) else []:  # at most FREQUENT_ROWS entries
+        at = np.searchsorted(frequent, _unplanes(bytes(r["found"]), np.uint64))
+        np.minimum.at(out, at, _unplanes(bytes(r["ids"]), np.int64))
     return out
 
 
