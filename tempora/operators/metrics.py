@@ -63,6 +63,61 @@ def brier_at(rows: DataFrame, censor: DataFrame, h: float, time: str = "duration
     return keyed.agg((F.sum(loss) / F.count("*")).alias("brier"))
 
 
+def uno_c(rows: DataFrame, censor: DataFrame, share: float = 0.99, time: str = "duration_days", event: str = "event", risk: str = "risk") -> DataFrame:
+    """Uno's C: Harrell's pairs, each weighted by 1 / G(t)^2 at the earlier failure, which lies before `share` of the longest time."""
+    cells = rows.groupBy(F.col(time).alias("t"), F.col(event).alias("e"), F.col(risk).alias("r")).agg(F.count("*").cast("double").alias("n"))
+    limit = rows.agg((F.max(time) * share).alias("_tau"))
+    g = censor.where("s > 0").select(F.col("t").alias("_gt"), F.col("s").alias("_g"))
+    a = cells.where("e").crossJoin(F.broadcast(limit)).where("t < _tau").join(g, F.col("t") == F.col("_gt"))  # one row
+    a = a.select(F.col("t").alias("ta"), F.col("r").alias("ra"), (F.col("n") / (F.col("_g") * F.col("_g"))).alias("wa"))
+    pairs = a.join(cells, (F.col("t") > F.col("ta")) | ((F.col("t") == F.col("ta")) & ~F.col("e")))
+    w = F.col("wa") * F.col("n")
+    return pairs.agg((F.sum(w * F.when(F.col("ra") > F.col("r"), 1.0).when(F.col("ra") == F.col("r"), 0.5).otherwise(0.0)) / F.sum(w)).alias("uno_c"))
+
+
+def brier_by_horizon(rows: DataFrame, censor: DataFrame, curve: DataFrame, horizons: tuple[int, ...], time: str = "duration_days", event: str = "event") -> DataFrame:
+    """(h, brier): the IPCW Brier score of one survival curve (t, s) at several horizons, in one pass over the rows."""
+    spark = rows.sparkSession
+    hs = spark.createDataFrame([(float(h),) for h in horizons], "h double")
+
+    def at(steps: DataFrame, name: str) -> DataFrame:
+        """The step function's value at each horizon, 1 before its first step."""
+        found = hs.join(steps.select(F.col("t").alias("_t"), F.col("s").alias("_s")), F.col("_t") <= F.col("h"), "left")
+        return found.groupBy("h").agg(F.coalesce(F.max_by("_s", "_t"), F.lit(1.0)).alias(name))
+
+    table = at(curve, "_sh").join(at(censor, "_gh"), "h")
+    g = censor.select(F.col("t").alias("_gt"), F.col("s").alias("_g"))
+    keyed = rows.select(F.col(time).alias("_d"), F.col(event).alias("_e")).groupBy("_d", "_e").agg(F.count("*").alias("_n")).join(g, F.col("_d") == F.col("_gt"), "left").crossJoin(F.broadcast(table))  # a row a horizon
+    failed = F.col("_e") & (F.col("_d") <= F.col("h"))
+    loss = F.when(failed & (F.col("_g") > 0), F.pow(F.col("_sh"), F.lit(2)) / F.col("_g")).when((F.col("_d") > F.col("h")) & (F.col("_gh") > 0), F.pow(1 - F.col("_sh"), F.lit(2)) / F.col("_gh")).otherwise(0.0)
+    return keyed.groupBy("h").agg((F.sum(loss * F.col("_n")) / F.sum("_n")).alias("brier"))
+
+
+def integrated(scores: DataFrame, at: str = "h", value: str = "brier") -> DataFrame:
+    """Trapezoids over the horizons (a few rows), divided by their span."""
+    return scores.agg(F.sort_array(F.collect_list(F.struct(F.col(at).alias("x"), F.col(value).alias("y")))).alias("_p")).select(
+        (F.aggregate(F.sequence(F.lit(1), F.size("_p") - 1), F.lit(0.0), lambda a, i: a + (F.get("_p", i)["x"] - F.get("_p", i - 1)["x"]) * (F.get("_p", i)["y"] + F.get("_p", i - 1)["y"]) / 2) / (F.element_at("_p", -1)["x"] - F.element_at("_p", 1)["x"])).alias(f"integrated_{value}")
+    )
+
+
+def dynamic_auc(rows: DataFrame, censor: DataFrame, h: float, time: str = "duration_days", event: str = "event", risk: str = "risk") -> DataFrame:
+    """Cumulative/dynamic AUC at h: cases failed by h, weighted 1 / G(t), against controls that outlive it; sums by distinct risk."""
+    g = censor.where("s > 0").select(F.col("t").alias("_gt"), F.col("s").alias("_g"))
+    keyed = rows.join(g, F.col(time) == F.col("_gt"), "left")
+    case = F.col(event) & (F.col(time) <= h) & F.col("_g").isNotNull()
+    by = keyed.groupBy(F.col(risk).alias("_r")).agg(F.sum(F.when(case, 1 / F.col("_g")).otherwise(0.0)).alias("_w"), F.count_if(F.col(time) > h).alias("_c"))
+    below = F.coalesce(F.sum("_c").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    by = by.withColumn("_below", below)
+    return by.agg((F.sum(F.col("_w") * (F.col("_below") + F.col("_c") / 2)) / (F.sum("_w") * F.sum("_c"))).alias("dynamic_auc"))
+
+
+def usable_horizons(train: DataFrame, evaluated: DataFrame, horizons: tuple[int, ...], time: str = "duration_days") -> DataFrame:
+    """Horizons strictly between the shortest evaluated time and the smaller of both longest times."""
+    hs = train.sparkSession.createDataFrame([(float(h),) for h in horizons], "h double")
+    span = evaluated.agg(F.min(time).alias("_lo"), F.max(time).alias("_hi")).crossJoin(F.broadcast(train.agg(F.max(time).alias("_tr"))))  # one row each
+    return hs.crossJoin(F.broadcast(span)).where((F.col("h") > F.col("_lo")) & (F.col("h") < F.least("_hi", "_tr"))).select("h")
+
+
 def bootstrap_ci(rows: DataFrame, key: str, draws: int = 200, seed: int = 42, time: str = "duration_days", event: str = "event", risk: str = "risk") -> DataFrame:
     """95 % interval of Harrell's C by Poisson weights from a seeded hash of (key, draw): the same at any partitioning. Each draw works on cells, as c_index does."""
     u = (F.pmod(F.xxhash64(key, "draw", F.lit(seed)), F.lit(1_000_003)) + 0.5) / 1_000_003

@@ -7,14 +7,31 @@ from pyspark.sql import functions as F
 
 from ..config import BROKEN, DAY, DEFAULT, Config
 from ..functions import expr as X
+from ..functions.tables import stored
 from ..sources.journal import Journal
 from .canonical import canonical_map
 
 
-def clean_events(j: Journal, cfg: Config = DEFAULT) -> DataFrame:
-    """One row a journal line, codes normalised, client and place canonical."""
+#: Rows of a canonical map that may be broadcast.
+MAP_ROWS = 100_000
+
+
+def clean_events(j: Journal, cfg: Config = DEFAULT, only: DataFrame | None = None) -> DataFrame:
+    """One row a journal line, codes normalised, client and place canonical; with `only` (item), the lines of these items.
+
+    The journal is written once: its lines and both canonical maps read it again, and a map of counted size is broadcast.
+    """
     raw = j.item_journey()
-    to_map = lambda col, master, alias: canonical_map(raw.select(F.col(col).alias("source")).distinct(), master, alias, cfg)
+    if only is not None:
+        wanted = only.select(X.normalise_id(F.col("item")).alias("_w")).distinct()
+        wanted = wanted.where("_w IS NOT NULL")
+        raw = raw.join(wanted, X.identifier(F.col("item_pairing_code"), F.col("host_serial_code"), F.col("journey_id")) == F.col("_w"), "left_semi")
+    raw = stored(raw, "journal")
+
+    def to_map(col: str, master: DataFrame, alias) -> DataFrame:
+        found = stored(canonical_map(raw.select(F.col(col).alias("source")).distinct(), master, alias, cfg), f"{col}-map")
+        return F.broadcast(found) if found.count() <= MAP_ROWS else found
+
     clients = to_map("client", j.clients(), cfg.client_alias).select(F.col("source").alias("c_source"), F.col("canonical").alias("client"))
     places = to_map("place", j.places(), cfg.place_alias).select(F.col("source").alias("p_source"), F.col("canonical").alias("place"))
     e = raw.select(
@@ -67,9 +84,9 @@ def with_onsets(events: DataFrame) -> DataFrame:
     return out.withColumn("is_onset", F.coalesce(onset, F.lit(False))).drop("_broken", "_install")
 
 
-def semantic(j: Journal, cfg: Config = DEFAULT) -> DataFrame:
-    """Events with is_onset, is_recon, is_operational."""
-    e = with_onsets(clean_events(j, cfg)).join(work_order_types(j), F.col("wo_code") == F.col("w_code"), "left").drop("w_code")
+def semantic(j: Journal, cfg: Config = DEFAULT, only: DataFrame | None = None) -> DataFrame:
+    """Events with is_onset, is_recon, is_operational; with `only` (item), of these items alone: all lines of an item are there."""
+    e = with_onsets(clean_events(j, cfg, only)).join(work_order_types(j), F.col("wo_code") == F.col("w_code"), "left").drop("w_code")
     low = F.unix_micros(F.lit(cfg.oldest_date).cast("timestamp"))
     now = F.unix_micros(F.lit(cfg.now).cast("timestamp"))
     valid = F.col("created_us").isNotNull() & (F.col("created_us") >= low) & (F.col("created_us") <= now)

@@ -24,4 +24,4 @@ def query(name: str, oracle: str | None = None):
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from . import feature_queries, model_queries, score_queries, silver_queries, stream_queries  # noqa: F401
+    from . import audit_queries, feature_queries, model_queries, score_queries, silver_queries, stream_queries  # noqa: F401

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT
+from ..functions.tables import stored
 from ..operators import canonical, silver
 from ..sources.journal import Journal
 from .oracle import sql
@@ -69,7 +70,7 @@ def _(spark, d):
 @query("cycles", sql("SELECT * FROM cycle"))
 def _(spark, d):
     j = Journal(spark, d)
-    return silver.cycles(silver.semantic(j), silver.inventory_identity(j))
+    return silver.cycles(stored(silver.semantic(j), "event"), silver.inventory_identity(j))
 
 
 
@@ -90,4 +91,4 @@ def _(spark, d):
 )
 def _(spark, d):
     j = Journal(spark, d)
-    return silver.terminal_links(j, silver.semantic(j))
+    return silver.terminal_links(j, stored(silver.semantic(j), "event"))
