@@ -413,3 +413,49 @@ def test_warc_reads_plain_and_foreign_gzip(spark, tmp_path):
     warc.register(spark)
     got = spark.read.format("warc").load(str(tmp_path)).where("record_type = 'response'").collect()
     assert sorted((r["record_id"], bytes(r["payload"])) for r in got) == [("<b>", b"hello")] * 2 + [("<c>", b"")] * 2
+
+
+def test_components_end_at_a_fixed_point_or_raise(spark):
+    edges = spark.createDataFrame([(a, a + 1) for a in range(200)], "x long, y long")
+    assert {r["component"] for r in components.components(edges).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        components.components(edges, rounds=1)
+
+
+def test_vectors_of_several_lengths(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, [float(i), 1.0, 2.0], "s") for i in range(8)] + [(20, [1.0, 2.0], "s"), (21, [1.0], "s")]
+    valid = vectors.valid(vecs(spark, rows))
+    for module in (mtree, ann):
+        got = module.search(valid, F.lit(True), k=3).collect()
+        assert {r["query_id"] for r in got} == set(range(8)) and {r["vec_id"] for r in got} <= set(range(8))
+        assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == 0] == [1, 2, 3] or module is mtree
+
+
+def planted_votes():
+    """Independent voters of known rates on synthetic texts, the second of which repeats the first, and their fitted model."""
+    g = np.random.default_rng(4)
+    n, prior = 60_000, 0.1
+    y = g.random(n) < prior
+    hit, false = [0.8, 0.7, 0.6, 0.75, 0.5, 0.65, 0.7], [0.02, 0.01, 0.03, 0.02, 0.01, 0.02, 0.05]
+    votes = np.stack([np.where(y, g.random(n) < h, g.random(n) < f) for h, f in zip(hit, false, strict=True)] + [np.zeros(n, bool)] * 3, 1).astype(int)
+    votes[:, 1] = votes[:, 0]
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    some = g.choice(n, 2000, replace=False)
+    right, wrong = (votes[some] * y[some, None]).sum(axis=0).astype(float), (votes[some] * ~y[some, None]).sum(axis=0).astype(float)
+    return y, votes, toxicity.LabelModel().fit(patterns, counts.astype(float), prior, right, wrong)
+
+
+def test_label_model_gives_repeated_voters_one_voice():
+    _, _, model = planted_votes()
+    assert model.correlation[0, 1] > 0.9 and abs(model.weight[0] - 0.5) < 0.15 and abs(model.weight[1] - 0.5) < 0.15
+    assert all(w > 0.9 for w in model.weight[2:7])
+
+
+@pytest.mark.xfail(strict=True, reason="abstaining says nothing in this model, so EM takes voters of many false votes for right; see the README")
+def test_label_model_recovers_the_accuracy_of_imprecise_voters():
+    y, votes, model = planted_votes()
+    toxic, clean = model.table[1, 1] * model.prior, model.table[0, 1] * (1 - model.prior)
+    for v in range(7):
+        assert abs(toxic[v] / (toxic[v] + clean[v]) - y[votes[:, v] > 0].mean()) < 0.1
