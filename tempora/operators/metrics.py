@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tables import stored
+from . import order
+
 
 def _by_score(rows: DataFrame, score: str, target: str) -> DataFrame:
     """Distinct scores with positives and negatives: the windows run over these."""
@@ -12,16 +15,15 @@ def _by_score(rows: DataFrame, score: str, target: str) -> DataFrame:
 
 
 def roc_auc(rows: DataFrame, score: str = "score", target: str = "target") -> DataFrame:
-    w = Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    by = _by_score(rows, score, target).withColumn("_below", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    by = order.sums_before(_by_score(rows, score, target), [F.asc("_s")], {"_below": F.col("_n")})
     return by.agg((F.sum(F.col("_p") * (F.col("_below") + F.col("_n") / 2)) / (F.sum("_p") * F.sum("_n"))).alias("roc_auc"))
 
 
 def average_precision(rows: DataFrame, score: str = "score", target: str = "target") -> DataFrame:
     """Step sum over distinct scores, highest first."""
-    w = Window.orderBy(F.desc("_s")).rowsBetween(Window.unboundedPreceding, 0)
-    by = _by_score(rows, score, target).withColumns({"_tp": F.sum("_p").over(w), "_all": F.sum(F.col("_p") + F.col("_n")).over(w)})
-    return by.agg((F.sum(F.col("_p") * F.col("_tp") / F.col("_all")) / F.sum("_p")).alias("average_precision"))
+    by = order.sums_before(_by_score(rows, score, target), [F.desc("_s")], {"_tp": F.col("_p"), "_all": F.col("_p") + F.col("_n")})
+    tp, every = F.col("_tp") + F.col("_p"), F.col("_all") + F.col("_p") + F.col("_n")
+    return by.agg((F.sum(F.col("_p") * tp / every) / F.sum("_p")).alias("average_precision"))
 
 
 def brier(rows: DataFrame, score: str = "score", target: str = "target") -> DataFrame:
@@ -44,13 +46,18 @@ def confusion(rows: DataFrame, threshold: float, score: str = "score", target: s
     return c.withColumns({"precision": ratio("tp", "fp"), "recall": ratio("tp", "fn"), "accuracy": (F.col("tp") + F.col("tn")) / (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")), "balanced_accuracy": (ratio("tp", "fn") + ratio("tn", "fp")) / 2})
 
 
+def _placed(rows: DataFrame, time: str, event: str, risk: str) -> tuple[DataFrame, int]:
+    """Cells of equal (time, event, risk) with their number of rows and their position in time; bits of the largest position."""
+    cells = stored(rows.groupBy(F.col(time).alias("t"), F.col(event).alias("e"), F.col(risk).alias("risk")).agg(F.count("*").cast("double").alias("w")), "cells")
+    at, bits = order.positions(cells, F.col("t"), F.col("e"))
+    return cells.join(at.select(F.col("t").alias("_t"), F.col("e").alias("_e"), "pos"), (F.col("t") == F.col("_t")) & (F.col("e") == F.col("_e"))).drop("_t", "_e"), bits
+
+
 def c_index(rows: DataFrame, time: str = "duration_days", event: str = "event", risk: str = "risk") -> DataFrame:
-    """Harrell's C on cells of equal (time, event, risk): pairs of cells, not of rows. Round the risk to bound the cells at scale."""
-    cells = rows.groupBy(F.col(time).alias("t"), F.col(event).alias("e"), F.col(risk).alias("r")).agg(F.count("*").cast("double").alias("n"))
-    a = cells.where("e").select(F.col("t").alias("ta"), F.col("r").alias("ra"), F.col("n").alias("na"))
-    pairs = a.join(cells, (F.col("t") > F.col("ta")) | ((F.col("t") == F.col("ta")) & ~F.col("e")))
-    w = F.col("na") * F.col("n")
-    return pairs.agg((F.sum(w * F.when(F.col("ra") > F.col("r"), 1.0).when(F.col("ra") == F.col("r"), 0.5).otherwise(0.0)) / F.sum(w)).alias("c_index"), F.sum(w).cast("long").alias("comparable"))
+    """Harrell's C on cells of equal (time, event, risk), their pairs counted by sums along the risk."""
+    placed, bits = _placed(rows, time, event, risk)
+    out = order.concordance(placed.where("e"), placed, bits)
+    return out.select(F.try_divide("concordant", "comparable").alias("c_index"), F.col("comparable").cast("long").alias("comparable"))
 
 
 def brier_at(rows: DataFrame, censor: DataFrame, h: float, time: str = "duration_days", event: str = "event", survival: str = "s") -> DataFrame:
@@ -65,14 +72,12 @@ def brier_at(rows: DataFrame, censor: DataFrame, h: float, time: str = "duration
 
 def uno_c(rows: DataFrame, censor: DataFrame, share: float = 0.99, time: str = "duration_days", event: str = "event", risk: str = "risk") -> DataFrame:
     """Uno's C: Harrell's pairs, each weighted by 1 / G(t)^2 at the earlier failure, which lies before `share` of the longest time."""
-    cells = rows.groupBy(F.col(time).alias("t"), F.col(event).alias("e"), F.col(risk).alias("r")).agg(F.count("*").cast("double").alias("n"))
+    placed, bits = _placed(rows, time, event, risk)
     limit = rows.agg((F.max(time) * share).alias("_tau"))
     g = censor.where("s > 0").select(F.col("t").alias("_gt"), F.col("s").alias("_g"))
-    a = cells.where("e").crossJoin(F.broadcast(limit)).where("t < _tau").join(g, F.col("t") == F.col("_gt"))  # one row
-    a = a.select(F.col("t").alias("ta"), F.col("r").alias("ra"), (F.col("n") / (F.col("_g") * F.col("_g"))).alias("wa"))
-    pairs = a.join(cells, (F.col("t") > F.col("ta")) | ((F.col("t") == F.col("ta")) & ~F.col("e")))
-    w = F.col("wa") * F.col("n")
-    return pairs.agg((F.sum(w * F.when(F.col("ra") > F.col("r"), 1.0).when(F.col("ra") == F.col("r"), 0.5).otherwise(0.0)) / F.sum(w)).alias("uno_c"))
+    a = placed.where("e").crossJoin(F.broadcast(limit)).where("t < _tau").join(g, F.col("t") == F.col("_gt"))  # one row
+    out = order.concordance(a.select("pos", "risk", (F.col("w") / (F.col("_g") * F.col("_g"))).alias("w")), placed, bits)
+    return out.select(F.try_divide("concordant", "comparable").alias("uno_c"))
 
 
 def brier_by_horizon(rows: DataFrame, censor: DataFrame, curve: DataFrame, horizons: tuple[int, ...], time: str = "duration_days", event: str = "event") -> DataFrame:
@@ -106,8 +111,7 @@ def dynamic_auc(rows: DataFrame, censor: DataFrame, h: float, time: str = "durat
     keyed = rows.join(g, F.col(time) == F.col("_gt"), "left")
     case = F.col(event) & (F.col(time) <= h) & F.col("_g").isNotNull()
     by = keyed.groupBy(F.col(risk).alias("_r")).agg(F.sum(F.when(case, 1 / F.col("_g")).otherwise(0.0)).alias("_w"), F.count_if(F.col(time) > h).alias("_c"))
-    below = F.coalesce(F.sum("_c").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    by = by.withColumn("_below", below)
+    by = order.sums_before(by, [F.asc("_r")], {"_below": F.col("_c")})
     return by.agg((F.sum(F.col("_w") * (F.col("_below") + F.col("_c") / 2)) / (F.sum("_w") * F.sum("_c"))).alias("dynamic_auc"))
 
 
@@ -127,12 +131,11 @@ def bootstrap_ci(rows: DataFrame, key: str, draws: int = 200, seed: int = 42, ti
         limits.append(total)
         p /= k + 1
     weight = sum(((u > x).cast("int") for x in limits[1:]), (u > limits[0]).cast("int"))
-    many = rows.select(key, F.col(time).alias("t"), F.col(event).alias("e"), F.col(risk).alias("r"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).withColumn("w", weight)
-    cells = many.where("w > 0").groupBy("draw", "t", "e", "r").agg(F.sum("w").cast("double").alias("n"))
-    a = cells.where("e").select(F.col("draw").alias("da"), F.col("t").alias("ta"), F.col("r").alias("ra"), F.col("n").alias("na"))
-    pairs = a.join(cells, (F.col("draw") == F.col("da")) & ((F.col("t") > F.col("ta")) | ((F.col("t") == F.col("ta")) & ~F.col("e"))))
-    w = F.col("na") * F.col("n")
-    c = pairs.groupBy("draw").agg((F.sum(w * F.when(F.col("ra") > F.col("r"), 1.0).when(F.col("ra") == F.col("r"), 0.5).otherwise(0.0)) / F.sum(w)).alias("c"))
+    many = rows.select(key, F.col(time).alias("t"), F.col(event).alias("e"), F.col(risk).alias("risk"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).withColumn("w", weight)
+    cells = many.where("w > 0").groupBy("draw", "t", "e", "risk").agg(F.sum("w").cast("double").alias("w"))
+    at, bits = order.positions(rows, F.col(time), F.col(event))
+    placed = stored(cells.join(at.select(F.col("t").alias("_t"), F.col("e").alias("_e"), "pos"), (F.col("t") == F.col("_t")) & (F.col("e") == F.col("_e"))).drop("_t", "_e"), "draws")
+    c = order.concordance(placed.where("e"), placed, bits, ["draw"]).select(F.try_divide("concordant", "comparable").alias("c"))
     return c.agg(F.percentile("c", F.lit(0.025)).alias("low"), F.percentile("c", F.lit(0.975)).alias("high"), F.count("*").alias("draws"))
 
 

@@ -7,9 +7,11 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..config import DAY
+from . import order
 from .features import CATEGORICAL, NUMERIC
 from .survival import piecewise
 
@@ -67,6 +69,45 @@ def score_scrap(models: tuple[PipelineModel, PipelineModel], rows: DataFrame) ->
     return rows.withColumn("scrap_raw", (F.col("vote0") + F.col("vote1")) / 2)
 
 
+def folds(rows: DataFrame, target: str, by: list[Column], n: int = 5) -> DataFrame:
+    """rows with a stratified fold: the position within the class in the order of `by`, which must be total, modulo n."""
+    out = order.sums_before(rows, [F.col(target), *by], {"_at": F.lit(1)})
+    first = out.groupBy(F.col(target).alias("_class")).agg(F.min("_at").alias("_first"))
+    out = out.join(F.broadcast(first), F.col(target) == F.col("_class"))  # a row a class
+    return out.withColumn("fold", ((F.col("_at") - F.col("_first")) % n).cast("int")).drop("_at", "_class", "_first")
+
+
+def out_of_fold(rows: DataFrame, n: int = 5) -> DataFrame:
+    """rows (with fold) scored each by the scrap models of the other folds; a fold without both classes outside it gives none."""
+    out = None
+    for k in range(n):
+        scored = score_scrap(fit_scrap(rows.where(F.col("fold") != k)), rows.where(F.col("fold") == k))
+        out = scored if out is None else out.unionByName(scored)
+    return out
+
+
+def fit_platt(rows: DataFrame, score: str, target: str) -> tuple[float, float]:
+    """Slope and intercept of the logistic curve through the raw score: order is kept."""
+    m = LogisticRegression(regParam=0.0).fit(VectorAssembler(inputCols=[score], outputCol="features").transform(rows.select(F.col(score), F.col(target).cast("double").alias("label"))))
+    return float(m.coefficients[0]), float(m.intercept)
+
+
+def platt(rows: DataFrame, curve: tuple[float, float], score: str, out: str) -> DataFrame:
+    return rows.withColumn(out, 1 / (1 + F.exp(-(F.lit(curve[0]) * F.col(score) + F.lit(curve[1])))))
+
+
+def capacity_cutoffs(rows: DataFrame, score: str, time_us: str, per_month: float, wider: float = 2.0, days_per_month: float = 30.44) -> DataFrame:
+    """One row (per_month, high_share, high, medium): cut-offs that flag as many failures a month as the team can take, and `wider` times as many."""
+    span = F.greatest(F.floor((F.max(time_us) - F.min(time_us)) / F.lit(DAY)) / days_per_month, F.lit(1.0))
+    rate = F.count("*") / span
+    one = rows.agg(rate.alias("per_month")).select("per_month", F.least(per_month / F.col("per_month"), F.lit(1.0)).alias("high_share"), F.least(wider * per_month / F.col("per_month"), F.lit(1.0)).alias("medium_share"))
+    p = one.first()
+    if p["per_month"] is None or not p["per_month"]:
+        return one.select("per_month", "high_share", F.lit(None).cast("double").alias("high"), F.lit(None).cast("double").alias("medium"))
+    cut = rows.agg(F.percentile(score, F.lit(1 - p["high_share"])).alias("high"), F.percentile(score, F.lit(1 - p["medium_share"])).alias("medium"))
+    return one.select("per_month", "high_share").crossJoin(F.broadcast(cut))  # one row each
+
+
 def fit_hazard(periods: DataFrame, numeric: list[str]) -> PipelineModel:
     """Discrete-time survival: probability of failing in an interval, given arrival at it."""
     tree = GBTClassifier(maxIter=20, maxDepth=4, labelCol="y", seed=42)

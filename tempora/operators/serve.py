@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..functions import expr as X
+from . import order
 
 #: Priority and action of each pair of failure and scrap level; no scrap level where the part cannot be judged.
 DECISIONS = [
@@ -35,15 +36,9 @@ def recommended(scores: DataFrame) -> DataFrame:
 
 
 def ranked(scores: DataFrame, score: str = "score", key: str = "item") -> DataFrame:
-    """Position by score without a single-partition window: ranges sorted in parallel, counts of earlier ranges added.
-
-    Ranks come from the number of better distinct scores' rows, which are summed by score before the window.
-    """
-    by = scores.groupBy(F.col(score).alias("_s")).agg(F.count("*").alias("_n"))
-    w = Window.orderBy(F.desc("_s")).rowsBetween(Window.unboundedPreceding, -1)
-    before = by.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
-    own = Window.partitionBy(score).orderBy(key)
-    return scores.join(before, F.col(score) == F.col("_s")).withColumn("rank", F.col("_before") + F.row_number().over(own)).drop("_s", "_before")
+    """Position by score, highest first and null last; equal scores by key. Ranges are sorted in parallel, sizes of earlier ones added."""
+    out = order.sums_before(scores, [F.desc(score), F.asc(key)], {"rank": F.lit(1)})
+    return out.withColumn("rank", F.col("rank") + 1)
 
 
 def filtered(scores: DataFrame, risk: str | None = None, priority: str | None = None, kind: str | None = None, client: str | None = None, place: str | None = None, part: str | None = None, candidate: bool | None = None) -> DataFrame:

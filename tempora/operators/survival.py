@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import order
+
 GONE = 1e-9
 
 
@@ -71,15 +73,15 @@ def calibrated(curves: DataFrame, tables: dict[int, list[tuple[float, float]]])
 def kaplan_meier(rows: DataFrame, time: str = "duration_days", event: str = "event", censoring: bool = False) -> DataFrame:
     """(t, at_risk, events, s) at each distinct time; with `censoring`, of the censoring times instead.
 
-    Grouped to distinct times first, so the windows run over the number of those, not of rows.
+    Grouped to distinct times first; what is known along those comes from sums over sorted ranges.
     """
     hit = ~F.col(event) if censoring else F.col(event)
     by = rows.groupBy(F.col(time).alias("t")).agg(F.count("*").alias("n"), F.count_if(hit).alias("events"))
-    later = Window.orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
-    so_far = Window.orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    by = by.withColumn("at_risk", F.sum("n").over(later))
+    by = order.sums_before(by, [F.desc("t")], {"_later": F.col("n")}).withColumn("at_risk", F.col("_later") + F.col("n"))
     share = F.col("events") / F.col("at_risk")
-    s = F.when(F.max(share).over(so_far) >= 1, 0.0).otherwise(F.exp(F.sum(F.when(share < 1, F.log1p(-share)).otherwise(0.0)).over(so_far)))
+    logs, gone = F.when(share < 1, F.log1p(-share)).otherwise(0.0), (share >= 1).cast("int")
+    by = order.sums_before(by, [F.asc("t")], {"_logs": logs, "_gone": gone})
+    s = F.when(F.col("_gone") + gone > 0, 0.0).otherwise(F.exp(F.col("_logs") + logs))
     return by.select("t", "at_risk", "events", s.alias("s"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT
 from ..functions import expr as X
-from ..operators import features, metrics, observe, serve, survival
+from ..operators import features, metrics, ml, observe, serve, survival
 from ..sources.journal import Journal
 from .feature_queries import GRID, HISTORY, LIFE, D, Layers, density
 from .oracle import sql
@@ -78,10 +78,7 @@ def _(spark, d):
 @query("oof_folds", plain("SELECT target, CAST((row_number() OVER (PARTITION BY target ORDER BY k * 7919 % 100003, k) - 1) % 5 AS INTEGER) AS fold, k FROM s", s=SCORED))
 def _(spark, d):
     """Stratified folds: a rank within the class in a fixed pseudo-random order, modulo 5."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("target").orderBy(F.col("k") * 7919 % 100003, "k")
-    return scored(spark, d).select("target", ((F.row_number().over(w) - 1) % 5).cast("int").alias("fold"), "k")
+    return ml.folds(scored(spark, d), "target", [F.col("k") * 7919 % 100003, F.col("k")]).select("target", "fold", "k")
 
 
 LIVES = LIFE | {"r": "SELECT duration_days, event, CAST(seq AS DOUBLE) AS risk FROM life WHERE usable"}
