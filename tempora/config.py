@@ -32,6 +32,7 @@ class Config:
     client_alias: tuple[tuple[str, str], ...] = ()
     place_alias: tuple[tuple[str, str], ...] = (("GUDANG NUTECH", "GUDANG NI"),)
     capacity_per_month: float = 200.0
+    scrap_per_month: float = 3.0
     days_per_month: float = 30.0
 
 

@@ -59,6 +59,24 @@ def _(spark, d):
     return ml.score_scrap(models, outcome.scrap_features(outcome.current_state(x.op, x.cycles), types)).select("item", "type_category", "scrap_raw")
 
 
+@query("scrap_scores")
+def _(spark, d):
+    """Scrap probability and level of every active part: soft votes, scaled and cut off by what the other folds' models gave the training failures."""
+    x = Layers(spark, d)
+    resolved = stored(outcome.resolve(x.episodes, x.op, x.cycles), "resolved")
+    types = outcome.known_types(resolved)
+    train = stored(outcome.scrap_features(resolved.where("in_cohort AND is_labeled"), types), "scrap")
+    key = [F.xxhash64("onset_journey_id"), F.col("onset_journey_id")]
+    votes = stored(ml.out_of_fold(ml.folds(train, "is_scrap", key)), "votes")
+    curve = ml.fit_platt(votes, "scrap_raw", "is_scrap")
+    cuts = ml.capacity_cutoffs(ml.platt(votes, curve, "scrap_raw", "p"), "p", "onset_us", DEFAULT.scrap_per_month)
+    now = outcome.scrap_features(outcome.current_state(x.op, x.cycles), types)
+    live = ml.platt(ml.score_scrap(ml.fit_scrap(train), now), curve, "scrap_raw", "scrap_probability")
+    p = F.col("scrap_probability")
+    level = F.when(p >= F.col("high"), "HIGH").when(p >= F.col("medium"), "MEDIUM").otherwise("LOW")
+    return live.crossJoin(F.broadcast(cuts)).select("item", "type_category", "scrap_raw", "scrap_probability", level.alias("scrap_level"))  # one row
+
+
 @query("train_survival")
 def _(spark, d):
     """Median, and times to survival of 0.9, 0.85 and 0.75, of each test landmark's curve."""
