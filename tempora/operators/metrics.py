@@ -1,4 +1,4 @@
-"""Evaluation metrics as aggregations; ties are treated exactly and nothing is collected."""
+"""Evaluation metrics as aggregations; ties are treated exactly and nothing is collected. Without rows of a class that a metric needs it is null."""
 
 from __future__ import annotations
 
@@ -16,14 +16,14 @@ def _by_score(rows: DataFrame, score: str, target: str) -> DataFrame:
 
 def roc_auc(rows: DataFrame, score: str = "score", target: str = "target") -> DataFrame:
     by = order.sums_before(_by_score(rows, score, target), [F.asc("_s")], {"_below": F.col("_n")})
-    return by.agg((F.sum(F.col("_p") * (F.col("_below") + F.col("_n") / 2)) / (F.sum("_p") * F.sum("_n"))).alias("roc_auc"))
+    return by.agg(F.try_divide(F.sum(F.col("_p") * (F.col("_below") + F.col("_n") / 2)), F.sum("_p") * F.sum("_n")).alias("roc_auc"))
 
 
 def average_precision(rows: DataFrame, score: str = "score", target: str = "target") -> DataFrame:
     """Step sum over distinct scores, highest first."""
     by = order.sums_before(_by_score(rows, score, target), [F.desc("_s")], {"_tp": F.col("_p"), "_all": F.col("_p") + F.col("_n")})
     tp, every = F.col("_tp") + F.col("_p"), F.col("_all") + F.col("_p") + F.col("_n")
-    return by.agg((F.sum(F.col("_p") * tp / every) / F.sum("_p")).alias("average_precision"))
+    return by.agg(F.try_divide(F.sum(F.col("_p") * tp / every), F.sum("_p")).alias("average_precision"))
 
 
 def brier(rows: DataFrame, score: str = "score", target: str = "target") -> DataFrame:
@@ -36,7 +36,7 @@ def capacity_topk(rows: DataFrame, key: str, window_days: float, per_month: floa
     top = rows.orderBy(F.desc(score), key).limit(k).agg(F.count("*").alias("capacity"), F.sum(F.col(target).cast("long")).alias("hits"))
     every = rows.agg(F.sum(F.col(target).cast("long")).alias("positives"))
     both = top.crossJoin(F.broadcast(every))  # one row each
-    return both.select("capacity", (F.col("hits") / F.col("capacity")).alias("precision_at_capacity"), (F.col("hits") / F.greatest("positives", F.lit(1))).alias("recall_at_capacity"))
+    return both.select("capacity", F.try_divide("hits", "capacity").alias("precision_at_capacity"), (F.col("hits") / F.greatest("positives", F.lit(1))).alias("recall_at_capacity"))
 
 
 def confusion(rows: DataFrame, threshold: float, score: str = "score", target: str = "target") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DAY
-from . import order
+from . import metrics, order
 from .features import CATEGORICAL, NUMERIC
 from .survival import piecewise
 
@@ -114,6 +114,13 @@ def fit_hazard(periods: DataFrame, numeric: list[str]) -> PipelineModel:
     return Pipeline(stages=[VectorAssembler(inputCols=[*numeric, "interval"], outputCol="features"), tree]).fit(periods)
 
 
+def measured(rows: DataFrame, key: str, window_days: float, per_month: float, score: str, target: str) -> dict[str, float]:
+    """Average precision and recall at capacity: what a promotion compares (0 where there is no positive row)."""
+    ap = metrics.average_precision(rows, score, target).first()[0]
+    recall = metrics.capacity_topk(rows, key, window_days, per_month, score=score, target=target).first()["recall_at_capacity"]
+    return {"average_precision": ap or 0.0, "recall_at_capacity": recall or 0.0}
+
+
 def promoted(candidate: dict[str, float], incumbent: dict[str, float] | None, forced: bool = False) -> bool:
     """Both average precision and recall at capacity must not fall."""
     return forced or incumbent is None or all(candidate[k] >= incumbent[k] for k in ("average_precision", "recall_at_capacity"))

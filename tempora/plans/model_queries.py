@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..config import DEFAULT
 from ..functions import expr as X
-from ..functions.tables import stored
+from ..functions.tables import shared_dir, stored
 from ..operators import features, ml, observe, outcome, serve, survival
+from ..sources import saved
 from .feature_queries import Layers
 from .registry import query
 
@@ -77,6 +81,34 @@ def _(spark, d):
     return live.crossJoin(F.broadcast(cuts)).select("item", "type_category", "scrap_raw", "scrap_probability", level.alias("scrap_level"))  # one row
 
 
+@query("scrap_promotion")
+def _(spark, d):
+    """May models trained on four fifths of the failures in time replace saved ones trained on two fifths? Both score the last fifth, the saved ones with their own known types."""
+    x = Layers(spark, d)
+    resolved = stored(outcome.resolve(x.episodes, x.op, x.cycles).where("in_cohort AND is_labeled"), "resolved")
+    early, late = resolved.agg(F.percentile("onset_us", F.array(F.lit(0.4), F.lit(0.8)))).first()[0]
+    folder = f"{shared_dir(spark)}/scrap-{uuid.uuid4().hex}"
+
+    def trained(until):
+        past = resolved.where(F.col("onset_us") < until)
+        types = outcome.known_types(past)
+        return ml.fit_scrap(stored(outcome.scrap_features(past, types), "scrap")), types
+
+    (linear, forest), types = trained(early)
+    saved.save_models(folder, {"linear": linear, "forest": forest}, types.agg(F.sort_array(F.collect_set("item_type")).alias("known")))
+    held, frozen = saved.load_models(spark, folder, ["linear", "forest"], StructType.fromDDL("known array<string>"))
+    candidate, newer = trained(late)
+    test = resolved.where(F.col("onset_us") >= late)
+    days = test.agg(X.days(F.min("onset_us"), F.max("onset_us"))).first()[0] or 0.0
+    found = {}
+    for name, models, known in (("candidate", candidate, newer), ("incumbent", (held["linear"], held["forest"]), frozen.select(F.explode("known").alias("item_type")))):
+        scored = stored(ml.score_scrap(models, outcome.scrap_features(test, known)), "scored")
+        found[name] = ml.measured(scored, "onset_journey_id", days, DEFAULT.scrap_per_month, "scrap_raw", "is_scrap")
+    values = {f"{name}_{k}": v for name, m in found.items() for k, v in m.items()}
+    row = test.agg(F.count("*").alias("test_rows"))
+    return row.select("test_rows", *[F.lit(v).cast("double").alias(k) for k, v in values.items()], F.lit(ml.promoted(found["candidate"], found["incumbent"])).alias("promoted"))
+
+
 @query("train_survival")
 def _(spark, d):
     """Median, and times to survival of 0.9, 0.85 and 0.75, of each test landmark's curve."""

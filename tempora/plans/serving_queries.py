@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..functions.tables import stored
+from ..functions.tables import shared_dir, stored
 from ..operators import assembly, features, silver
+from ..sources import saved
 from ..sources.journal import Journal
 from .feature_queries import Layers
 from .oracle import sql
@@ -33,6 +36,15 @@ def _(spark, d):
     return table(spark, d).select(*COLUMNS)
 
 
+@query("score_sink", plain(f"SELECT {', '.join(COLUMNS)}, DATE '2024-01-31' AS as_of FROM tab", **RANKED))
+def _(spark, d):
+    """The ranked table written as CSV under its date and read again."""
+    t = table(spark, d).select(*COLUMNS, F.lit("2024-01-31").cast("date").alias("as_of"))
+    folder = f"{shared_dir(spark)}/scores-{uuid.uuid4().hex}"
+    saved.save_scores(t, folder)
+    return saved.load_scores(spark, folder, t.schema)
+
+
 @query(
     "assessment",
     plain(

@@ -33,3 +33,18 @@ def _(spark, d):
 def _(spark, d):
     once = replay.ingest(_stream(spark, d).select("event_id", "ts"))
     return replay.replay(once, _folder(spark)).agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("ids"))
+
+
+@query("stream_rescore", "SELECT user_id, count(*) AS events, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us, count(DISTINCT date_trunc('day', ts)) AS days FROM events WHERE user_id IS NOT NULL GROUP BY user_id")
+def _(spark, d):
+    """What each user's whole history gives, computed again for the users that a micro-batch touches."""
+
+    def score(rows):
+        return rows.groupBy("user_id").agg(
+            F.count("*").alias("events"),
+            F.unix_micros(F.min("ts")).alias("first_us"),
+            F.unix_micros(F.max("ts")).alias("last_us"),
+            F.count_distinct(F.date_trunc("day", "ts")).alias("days"),
+        )
+
+    return replay.rescore(_stream(spark, d).select("event_id", "user_id", "ts"), "user_id", score, _folder(spark))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def ingest(stream: DataFrame, key: str = "event_id") -> DataFrame:
@@ -56,3 +59,26 @@ def replay_changes(stream: DataFrame, key: str, folder: str) -> DataFrame:
     rows = spark.read.schema(stream.schema.add("batch", "long")).parquet(f"{folder}/table")
     last = rows.groupBy(F.col(key).alias("_key")).agg(F.max_by(F.struct(*names), "batch").alias("_last"))
     return last.select(*[F.col(f"_last.{c}").alias(c) for c in names])
+
+
+def rescore(stream: DataFrame, key: str, score: Callable[[DataFrame], DataFrame], folder: str) -> DataFrame:
+    """Scores, one row a key, kept up to date: each micro-batch joins the history, and the keys it touches are scored again from all of theirs.
+
+    Both the lines and the new scores of a batch are a folder of their own, so that a batch run again replaces its own; of
+    each key the scores of the last batch count. The history is read once a batch; lines without a key score nothing.
+    """
+    spark = stream.sparkSession
+    numbered = StructType([*stream.schema.fields, StructField("batch", LongType())])
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/history/batch={number}")
+        history = batch.sparkSession.read.schema(numbered).parquet(f"{folder}/history").where(F.col("batch") <= number)
+        again = touched(history.where(F.col("batch") == number), key).withColumnRenamed(key, "_touched")
+        rows = history.join(again, F.col(key) == F.col("_touched"), "left_semi").drop("batch")
+        score(rows).write.mode("overwrite").parquet(f"{folder}/table/batch={number}")
+
+    _run(stream.writeStream.foreachBatch(put).outputMode("append"), f"{folder}/checkpoint", spark)
+    schema = score(spark.createDataFrame([], stream.schema)).schema
+    rows = spark.read.schema(StructType([*schema.fields, StructField("batch", LongType())])).parquet(f"{folder}/table")
+    last = rows.groupBy(F.col(key).alias("_key")).agg(F.max_by(F.struct(*schema.names), "batch").alias("_last"))
+    return last.select(*[F.col(f"_last.{c}").alias(c) for c in schema.names])
