@@ -9,7 +9,7 @@ list's size does not matter. Scores are exact inner products of the original vec
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no
 part, nor do rows without id; a query always gets k neighbours if there are as many candidates in its
-lists, and looks at MIN_LISTS lists at least; rows that repeat an id count once; of vectors of several lengths
+lists, and looks at MIN_LISTS lists at least; rows that repeat an id count once, by the least of their vectors; of vectors of several lengths
 those of the commonest length take part (of equally common ones, the shortest); an empty table gives
 an empty one; further columns are ignored.
 """
@@ -38,6 +38,8 @@ RATIO = 1.25
 MIN_LISTS = 12
 BEAM = 96
 DEGREE = 16
+#: Products of a query and a vector that are made at once.
+PAIRS = 65_536
 
 
 def centroids(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
@@ -116,7 +118,7 @@ class Graph:
 def search(rows: DataFrame, is_query: Column, k: int = K, part_rows: int = vectors.PART_ROWS, ratio: float = RATIO, min_lists: int = MIN_LISTS) -> DataFrame:
     """rows: (id, v). Per query: query_id, rank, vec_id, score."""
     spark = rows.sparkSession
-    rows = common.stored(rows, "vectors")
+    rows = vectors.once(common.stored(rows, "vectors"))
     rows, m2, total = vectors.measured(rows)
     if not total:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -191,7 +193,8 @@ def search(rows: DataFrame, is_query: Column, k: int = K, part_rows: int = vecto
                 # the product of matrices rounds as its blocks fall: all within the rounding of the edge stay, and exact scores rank them
                 slack = 1e-12 * np.sqrt((q * q).sum(axis=1) * m2)
                 i, j = np.nonzero((score >= (edge - slack)[:, None]) & (score > -np.inf))
-                exact = (q[i] * x[j]).sum(axis=1)
+                # many equal vectors lie at the edge together: their products come a bounded number at once
+                exact = np.concatenate([(q[i[at : at + PAIRS]] * x[j[at : at + PAIRS]]).sum(axis=1) for at in range(0, len(i), PAIRS)]) if len(i) else np.zeros(0)
                 # equal scores at the edge may be many: the smaller ids of them are enough
                 order = np.lexsort((ids[j], -exact, i))
                 i, j, exact = i[order], j[order], exact[order]

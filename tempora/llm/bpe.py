@@ -30,6 +30,23 @@ from . import common
 PAIR_BITS = 31
 END = "\ue000"  # stands for the end-of-word suffix inside this module
 GONE = re.compile("(?!)")
+#: Code points that the `regex` module's tables (a later version of Unicode) class as letters or numbers and the tokenizer's do not; first and last of each run.
+UNCLASSED = [
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2),
+    (0xA7D4, 0xA7D4), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10EC5, 0x10EC7),
+    (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB), (0x11DE0, 0x11DE9), (0x11DF1, 0x11DF1), (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686),
+    (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF6), (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2), (0x18E00, 0x19191),
+    (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF),
+    (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E),
+    (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+]
+#: Capitals that the tokenizer lowers and Python's tables may not know yet: first, last, first small letter.
+LOWERED = [(0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5), (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x19B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB)]
+SMALL = {c: c - a + small for a, z, small in LOWERED for c in range(a, z + 1)} | {ord("Σ"): ord("σ")}  # the tokenizer knows no final sigma
+_RARE = re.compile(f"[{chr(UNCLASSED[0][0])}-\U0010ffff]").search
+_CAPITAL = re.compile("[" + "".join(f"{chr(a)}-{chr(z)}" for a, z, _ in LOWERED) + "Σ]").search
+_NEWER = "[" + "".join(f"\\U{a:08x}-\\U{z:08x}" for a, z in UNCLASSED) + "]"
+_UNCLASSED = regex.compile(_NEWER).search
 
 
 def byte_chars() -> list[str]:
@@ -52,14 +69,15 @@ class WordBpe:
         self.names |= {i: t for t, i in self.special.items()}
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         # \s of the tokenizer is the White_Space property, which leaves out the separators 1C to 1F
-        self.split = regex.compile(pattern.replace(r"\s", r"\p{White_Space}")).findall
+        pattern = pattern.replace(r"\s", r"\p{White_Space}")
+        self.split = regex.compile(pattern).findall
+        self.split_rare = regex.compile(re.sub(r"\\p\{[LN]\}", lambda m: f"[{m[0]}--{_NEWER}]", pattern), regex.V1).findall
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else GONE
         self.longest = max(map(len, self.ids))
         self.chars = byte_chars()
         self.sure: set[str] = set()
         self.pairs: dict[int, bool] = {}
-        self.table: dict[str, bytes] = {}
-        self.spelled: dict[str, str] = {}
+        self.table: dict[str, tuple[bytes, str]] = {}
         self.proposed = self.failed = 0
 
     def prove(self) -> WordBpe:
@@ -126,8 +144,8 @@ class WordBpe:
                 self._mine[i] = t
         return self._mine
 
-    def learn(self, words: list[str]) -> None:
-        """Adds words to the table: propose, verify all adjacent pairs at once, merge those that fail."""
+    def learn(self, words: list[str]) -> dict[str, tuple[bytes, str]]:
+        """ids and spelling of words: propose, verify all adjacent pairs at once, merge those that fail. Those of bounded length go to the table."""
         chars, ids = self.chars, self.ids
         spelled = ["".join(map(chars.__getitem__, w.encode())) + END for w in words]
         tokens = [self.propose(w) for w in spelled]
@@ -137,17 +155,21 @@ class WordBpe:
         joint = owner[1:] == owner[:-1]
         good = counts > 0
         good[owner[1:][joint][~self._stands((flat[:-1] << PAIR_BITS | flat[1:])[joint])]] = False
+        out = {}
         for w, s, t, ok in zip(words, spelled, tokens, good.tolist(), strict=True):
             found = [ids[x] for x in (t if ok else self.merge(s))]
-            self.table[w] = struct.pack(f"<{len(found)}I", *found)
-            self.spelled[w] = " ".join(map(self.names.__getitem__, found))
+            out[w] = struct.pack(f"<{len(found)}I", *found), " ".join(map(self.names.__getitem__, found))
+        self.table.update((w, x) for w, x in out.items() if len(w) <= common.CACHE_LENGTH)
         self.proposed += len(words)
         self.failed += int((~good).sum())
+        return out
 
     def words(self, text: str) -> list[str]:
         low = unicodedata.normalize("NFC", text)
-        low = low.replace("Σ", "σ").lower()  # the tokenizer knows no final sigma
-        return self.split(low)
+        if not low.isascii() and _CAPITAL(low):
+            low = low.translate(SMALL)
+        low = low.lower()
+        return (self.split_rare if not low.isascii() and _RARE(low) and _UNCLASSED(low) else self.split)(low)
 
     def encode(self, text: str) -> tuple[bytes, str]:
         """ids as little-endian unsigned 32-bit integers, and the decoded text."""
@@ -162,15 +184,17 @@ class WordBpe:
             words = self.words(part)
             if not words:
                 continue
-            missing = set(words).difference(self.table)
+            missing, known = set(words).difference(self.table), self.table
             if missing:
                 if len(self.table) > common.CACHE_TOKENS:
                     self.table.clear()
-                    self.spelled.clear()
                     missing = set(words)
-                self.learn(list(missing))
-            ids.append(b"".join(map(self.table.__getitem__, words)))
-            out.append(" ".join(map(self.spelled.__getitem__, words)))
+                new = self.learn(list(missing))
+                if any(w not in self.table for w in missing):
+                    known = {w: self.table[w] for w in set(words).intersection(self.table)} | new
+            found = list(map(known.__getitem__, words))
+            ids.append(b"".join([x[0] for x in found]))
+            out.append(" ".join([x[1] for x in found]))
         return b"".join(ids), " ".join(out)
 
 

@@ -202,7 +202,7 @@ class LanguageModel:
         emit = self.scores[flat]
         active = np.searchsorted(-lengths, -np.arange(1, steps + 1), side="right")  # texts that reach this step
         stay = np.zeros((len(flat), width), bool)
-        origin = np.zeros(len(flat), np.int8)
+        origin = np.zeros(len(flat), np.int32)
         value = np.zeros((n, width), np.float32)
         for t in range(steps):
             k = active[t]

@@ -10,8 +10,8 @@ entry's distance before it is computed, and the search ends when no page can hol
 Scores are integers, so bounds get a slack far above rounding and far below 1.
 
 Defined results: vectors that are null, empty or hold null or non-finite components take no part, nor
-do rows without id; a query has fewer rows when there are fewer candidates; rows that repeat an id with
-the same vector count once each; of vectors of several lengths
+do rows without id; a query has fewer rows when there are fewer candidates; rows that repeat an id count
+once, by the least of their vectors; of vectors of several lengths
 those of the commonest length take part (of equally common ones, the shortest); an empty table gives an empty one; further columns are ignored.
 Components must stay below 2^31 / 1024 in size, so that scores fit in 64 bits.
 """
@@ -154,7 +154,7 @@ class Tree:
 def search(rows: DataFrame, is_query: Column, k: int = K, routing: int = ROUTING, part_rows: int = vectors.PART_ROWS) -> DataFrame:
     """rows: (id, v) with whole-number components. Per query: query_id, rank, vec_id, score."""
     spark = rows.sparkSession
-    rows = common.stored(rows, "vectors")
+    rows = vectors.once(common.stored(rows, "vectors"))
     rows, m2, total = vectors.measured(rows)
     if not total:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")

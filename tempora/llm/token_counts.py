@@ -89,9 +89,10 @@ class PieceModel:
         except KeyError:
             if len(table) > common.CACHE_TOKENS:
                 table.clear()
+            long = {}  # not kept: without spaces a pre-token is a paragraph
             for w in set(words).difference(table):
-                table[w] = self.count_word(w)
-            return sum(map(table.__getitem__, words))
+                (table if len(w) <= common.CACHE_LENGTH else long)[w] = self.count_word(w)
+            return sum(table[w] if w in table else long[w] for w in words) if long else sum(map(table.__getitem__, words))
 
 
 @functools.lru_cache(2)

@@ -3,11 +3,11 @@
 Voters look at a text: lexicons of words and of word beginnings that go with the label on training
 rows (each dealt into several voters), and patterns (shouting, symbols, repeated marks). A generative
 label model is fitted by EM on the counts of the distinct vote patterns of all documents: it estimates
-the prior, each voter's accuracy on either class, and pairwise correlations beyond what the label
-explains, by which correlated voters share one voice. EM starts from each voter's right and wrong votes
-on labelled rows, which then count as at most PSEUDO votes beside those of all documents; a voter
-without any (INSULTS as well) starts as one that says nothing. A linear classifier is then trained on its
-posteriors and scores every whole text.
+the prior, each voter's rate of votes (and so of abstaining) in either class, and pairwise correlations
+beyond what the label explains, by which correlated voters share one voice. EM starts from the rates and
+the share of labelled rows, which then count as PSEUDO rows a class beside all documents; whether voters
+abstain apart or together is what makes the labels likeliest. A linear
+classifier is then trained on its posteriors and scores every whole text.
 
 Lexicons and classifier are fitted on a bounded sample: SAMPLE_ROWS labelled rows in the order of
 their ids' hashes; the lexicon has at most LEXICON entries, those of most evidence. The vote patterns are counted over all documents; there are at most 2 ** voters.
@@ -39,8 +39,12 @@ LEXICONS = 2 * DEALT + 1
 EVIDENCE = 12.0
 PRECISION = 0.5
 ROUNDS = 50
-#: A voter's share of right votes on labelled rows counts as this many votes at most, beside all votes that EM weighs.
+#: The labelled rows' rates count as this many rows a class, beside all documents that EM weighs.
 PSEUDO = 20.0
+#: How far voters may abstain apart: tried values.
+APART = (0.0, 0.25, 0.5, 1.0)
+#: Entries of a partition's tally of features before it is handed on.
+TALLY = 500_000
 #: Everyday English insults, a voter of its own and of no more weight than the learned ones.
 INSULTS = "asshole bastard bitch clown creep cretin disgusting dumb dumbass fool garbage idiot imbecile loser lunatic moron pathetic pig scum stupid trash ugly vermin worthless".split()
 PATTERNS = {
@@ -65,18 +69,24 @@ def features_of(text: str) -> set[str]:
 
 
 def _tally(batches):
+    """(feature, pos, neg) counts of a partition, the empty feature counting rows. A feature may come several times."""
     pos: Counter = Counter()
     neg: Counter = Counter()
-    n = [0, 0]
+
+    def handed():
+        keys = list(pos | neg)
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(map(pos.__getitem__, keys), pa.int64()), pa.array(map(neg.__getitem__, keys), pa.int64())], ["feature", "pos", "neg"])
+
     for b in common.chunked(batches):
         for text, y in zip(common.texts_of(b), b.column(2).to_pylist(), strict=True):
-            (pos if y else neg).update(features_of(text))
-            n[bool(y)] += 1
-    keys = list(pos | neg)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([*keys, ""], pa.string()), pa.array([*map(pos.__getitem__, keys), n[1]], pa.int64()), pa.array([*map(neg.__getitem__, keys), n[0]], pa.int64())],
-        ["feature", "pos", "neg"],
-    )
+            side = pos if y else neg
+            side.update(features_of(text))
+            side[""] += 1
+            if len(pos) + len(neg) >= TALLY:
+                yield handed()
+                pos.clear(), neg.clear()
+    if pos or neg:
+        yield handed()
 
 
 def cover(held_by: list[list[int]], neg: np.ndarray, base: float) -> list[int]:
@@ -144,39 +154,46 @@ class Voters:
 
 
 class LabelModel:
-    """Prior, each voter's vote distribution in either class, and a weight against correlated voices."""
-
-    def fit(self, patterns: np.ndarray, counts: np.ndarray, prior: float, right: np.ndarray, wrong: np.ndarray) -> LabelModel:
-        """right, wrong: each voter's votes on labelled rows; they start EM and then weigh as up to PSEUDO votes."""
-        n, m = patterns.shape
-        # texts without a vote say nothing of the prior, so it stays at the labels' base rate
-        self.prior = float(np.clip(prior, 0.005, 0.3))
-        self.weight = np.ones(m)
-        seen = right + wrong
-        self.pseudo = np.minimum(seen, PSEUDO)
-        self.share = np.where(seen > 0, right / np.maximum(seen, 1), self.prior)
-        # without a label a voter says nothing at first
-        self._rates(self.share + 1e-3 * self.prior, np.full(m, 1 + 1e-3), max(float(counts.sum()), 1.0))
-        post = self.posterior(patterns)
+    """Prior, each voter's rate of votes in either class, weights against correlated voices and of abstaining.
+
+    That one voter abstains counts by `apart`, that no lexicon votes at all by 1 - apart. Independent voters ask for 1.
+    Lexicons that are dealt over voters exclude each other, and with 1 EM would take the most common one for the label.
+    """
+
+    def fit(self, patterns: np.ndarray, counts: np.ndarray, marked: np.ndarray, y: np.ndarray, n: np.ndarray) -> LabelModel:
+        """marked, y, n: vote patterns of labelled rows, whether toxic, how many; their rates start EM and then weigh as PSEUDO rows a class, and `apart` is what makes their labels likeliest."""
+        fits = [LabelModel()._fit(patterns, counts, marked, y, n, apart) for apart in APART]
+        loss = lambda m: float((n * -np.log(np.where(y, p := np.clip(m.posterior(marked), 1e-6, 1 - 1e-6), 1 - p))).sum())
+        self.__dict__ |= min(fits, key=loss).__dict__
+        return self
+
+    def _fit(self, patterns: np.ndarray, counts: np.ndarray, marked: np.ndarray, y: np.ndarray, n: np.ndarray, apart: float) -> LabelModel:
+        self.apart = apart
+        sizes = np.array([n[~y].sum(), n[y].sum()])
+        base = sizes[1] / sizes.sum()
+        known = np.stack([(_seen(marked) * (n * side)[:, None]).sum(axis=0) + 0.01 for side in (~y, y)]) / (sizes + 1)[:, None]
+        seen = _seen(patterns)
+        self.weight = np.ones(patterns.shape[1])
+        self.prior = base
+        self._rates(known)
+        post = self.posterior(patterns, LEXICONS)
         for _ in range(ROUNDS):
-            self._estimate(patterns, counts, post)
+            before = self.prior
+            mass = np.array([(counts * (1 - post)).sum(), (counts * post).sum()])
+            self.prior = float(np.clip((mass[1] + PSEUDO * base) / (mass.sum() + PSEUDO), 1e-6, 1 - 1e-6))
+            fired = np.stack([(seen * (counts * side)[:, None]).sum(axis=0) for side in (1 - post, post)])
+            self._rates((fired + PSEUDO * known) / (mass[:, None] + PSEUDO))
             self._decorrelate(patterns, counts, post)
             post = self.posterior(patterns, LEXICONS)  # patterns learn from the lexicons, not from themselves
+            if abs(self.prior - before) < 1e-9:
+                break
         return self
 
-    def _estimate(self, patterns: np.ndarray, counts: np.ndarray, post: np.ndarray) -> None:
-        """Vote rates in either class: what EM finds in all votes, and the pseudo-votes of the labels."""
-        fired = patterns == 1
-        total = (fired * counts[:, None]).sum(axis=0) + self.pseudo
-        toxic = (fired * (counts * post)[:, None]).sum(axis=0) + self.pseudo * self.share
-        self._rates(toxic + 0.1 * self.prior, total + 0.1, float(counts.sum()))
-
-    def _rates(self, toxic: np.ndarray, total: np.ndarray, n: float) -> None:
-        """The classes are as large as the prior says, or as the votes need."""
-        scale = max(n, float((toxic / self.prior).max(initial=0)), float(((total - toxic) / (1 - self.prior)).max(initial=0)))
-        rates = np.stack([(total - toxic) / (scale * (1 - self.prior)), toxic / (scale * self.prior)])
-        rates = np.clip(rates, 1e-9, 1 - 1e-9)
-        self.table = np.stack([1 - rates, rates], axis=1)
+    def _rates(self, rates: np.ndarray) -> None:
+        """rates: of each voter, then of silence of all lexicons."""
+        rates = np.clip(rates, 1e-6, 1 - 1e-6)
+        self.silent = np.log(rates[1, -1] / rates[0, -1])
+        self.table = np.stack([1 - rates[:, :-1], rates[:, :-1]], axis=1)
 
     def _decorrelate(self, patterns: np.ndarray, counts: np.ndarray, post: np.ndarray) -> None:
         """Correlation of voters within the classes; a voter that repeats others gets a share of one voice."""
@@ -194,12 +211,17 @@ class LabelModel:
 
     def posterior(self, patterns: np.ndarray, first: int | None = None) -> np.ndarray:
         """P(toxic) of each pattern, by its first voters or by all."""
-        logs = np.log(self.table)
-        # who abstains says nothing
-        odds = (patterns * (logs[1, 1] - logs[0, 1]) * self.weight)[:, :first].sum(axis=1) + np.log(self.prior / (1 - self.prior))
+        ratio = np.log(self.table[1]) - np.log(self.table[0])
+        odds = ((patterns * ratio[1] + self.apart * (1 - patterns) * ratio[0]) * self.weight)[:, :first].sum(axis=1)
+        odds = odds + (1 - self.apart) * self.silent * _seen(patterns)[:, -1] + np.log(self.prior / (1 - self.prior))
         return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
 
+def _seen(patterns: np.ndarray) -> np.ndarray:
+    """The votes, and one column more: no lexicon votes."""
+    return np.hstack([patterns, ~patterns[:, :LEXICONS].any(axis=1)[:, None]]).astype(float)
+
+
 def train_linear(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1e-3) -> np.ndarray:
     """Logistic regression on soft labels by Newton steps; the last coefficient is the intercept."""
     x = np.hstack([x, np.ones((len(x), 1))])
@@ -234,7 +256,9 @@ def fit(docs: DataFrame, labels: DataFrame, trainable: Column, id_col: str = "do
     ids = common.bounded_ids(marked, sample_rows, "_k")
     chosen = marked.join(F.broadcast(ids), F.col("_k") == F.col("_id"), "left_semi").groupBy("_k").agg(F.max("_y").alias("_y"))
     rows = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("_k")).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col("_y").alias("y"))  # at most sample_rows ids
+    rows = common.stored(rows, "marked")  # at most sample_rows ids; read four times
     tally = rows.mapInArrow(_tally, "feature string, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    tally = common.stored(tally, "tally")
     n = tally.where("feature = ''").first()
     if n is None or not n["pos"] or not n["neg"]:
         return ToxicityModel(None, None, None)
@@ -280,12 +304,10 @@ def fit(docs: DataFrame, labels: DataFrame, trainable: Column, id_col: str = "do
             yield pa.RecordBatch.from_arrays(cols, ["votes", "x", "y", "n"])
 
     sample = rows.mapInArrow(shapes, "votes array<int>, x array<double>, y int, n long").collect()  # at most sample_rows rows
-    cast = np.array([r["votes"] for r in sample], float) * np.array([r["n"] for r in sample], float)[:, None]
-    marked_toxic = np.array([r["y"] > 0 for r in sample])
-    label_model = LabelModel().fit(patterns, counts, n["pos"] / (n["pos"] + n["neg"]), cast[marked_toxic].sum(axis=0), cast[~marked_toxic].sum(axis=0))
+    marked, y, k = np.array([r["votes"] for r in sample]), np.array([r["y"] > 0 for r in sample]), np.array([r["n"] for r in sample], float)
+    label_model = LabelModel().fit(patterns, counts, marked, y, k)
     x = np.array([r["x"] for r in sample])
-    post = label_model.posterior(np.array([r["votes"] for r in sample]))
-    beta = train_linear(x, post, np.array([r["n"] for r in sample], float))
+    beta = train_linear(x, label_model.posterior(marked), k)
     return ToxicityModel(voters, label_model, beta)
 
 

@@ -36,6 +36,15 @@ def measured(rows: DataFrame) -> tuple[DataFrame, float, int]:
     return rows, m2, total
 
 
+def once(rows: DataFrame) -> DataFrame:
+    """rows (id, v) of a stored table with each id once, by its least vector. Only where ids repeat are vectors shuffled, and those alone."""
+    repeated = rows.groupBy("id").count().where("count > 1").select(F.col("id").alias("again"))
+    if repeated.isEmpty():
+        return rows
+    least = rows.join(repeated, F.col("id") == F.col("again"), "left_semi").groupBy("id").agg(F.min("v").alias("v"))
+    return rows.join(repeated, F.col("id") == F.col("again"), "left_anti").unionByName(least)
+
+
 def matrix(column) -> np.ndarray:
     """An Arrow list column as a matrix."""
     n = len(column)
