@@ -64,6 +64,11 @@ def slots(spark: SparkSession) -> int:
     return max(1, spark.sparkContext.defaultParallelism)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once: the optimizer can't put the value's expression in each of its places."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def crc_mod(doc_id: Column, m: int) -> Column:
     """crc32 of the id written as text, modulo m; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(m))

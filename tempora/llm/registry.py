@@ -1,6 +1,6 @@
 """The queries of this subpackage, for __spark_entry__.py."""
 
-from . import ann, bpe, jaccard, language, mtree, packing, substrings, token_counts, toxicity, warc
+from . import ann, bpe, conversations, jaccard, language, merkle, mtree, packing, quality, substrings, token_counts, toxicity, warc
 
 def _pipeline(spark, sf_dir):
     import corpus_pipeline
@@ -20,6 +20,9 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_warc": warc.op9_warc,
     "op10_token_counts": token_counts.op10_token_counts,
+    "op11_merkle": merkle.op11_merkle,
+    "op12_conversations": conversations.op12_conversations,
+    "op13_quality": quality.op13_quality,
 }
 ORACLES: dict[str, str] = {
     "op1_mtree": mtree.ORACLE,
