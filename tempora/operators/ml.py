@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..config import DAY
 from . import metrics, order
 from .features import CATEGORICAL, NUMERIC
-from .survival import piecewise
+from .survival import through_knots
 
 SCRAP_NUMERIC = ["log_age_total_days", "log_cycle_age_days", "log_prior_repaired", "log_prior_failures"]
 
@@ -41,15 +41,18 @@ def probability(scored: DataFrame, name: str = "raw_probability") -> DataFrame:
     return scored.withColumn(name, vector_to_array("probability")[1]).drop("probability", "rawPrediction", "prediction", "features")
 
 
-def isotonic(rows: DataFrame, score: str, target: str) -> list[tuple[float, float]]:
-    """Knots of the fitted step-free table: as many as the fit keeps, to be used as an expression."""
+def isotonic(rows: DataFrame, score: str, target: str, h: int = 0) -> DataFrame:
+    """Knots (h, x, y) of the fitted table: as many as the fit keeps."""
     data = rows.select(F.col(score).cast("double").alias("features"), F.col(target).cast("double").alias("label"))
     m = IsotonicRegression(isotonic=True).fit(data)
-    return list(zip(m.boundaries.toArray().tolist(), m.predictions.toArray().tolist(), strict=True))
+    knots = list(zip(m.boundaries.toArray().tolist(), m.predictions.toArray().tolist(), strict=True))
+    return rows.sparkSession.createDataFrame([(h, x, y) for x, y in knots], "h int, x double, y double").dropDuplicates(["h", "x"])
 
 
-def calibrate(rows: DataFrame, knots: list[tuple[float, float]], score: str, out: str) -> DataFrame:
-    return rows.withColumn(out, piecewise(F.col(score), knots) if knots else F.col(score))
+def calibrate(rows: DataFrame, knots: DataFrame, score: str, out: str) -> DataFrame:
+    """rows with the score's place on the broken line through the knots; a null score stays null."""
+    found = through_knots(rows.select(F.lit(0).alias("h"), F.col(score).alias("x")), knots).select(F.col("x").alias("_kx"), F.col("y").alias(out))
+    return rows.drop(out).join(found, F.col(score) == F.col("_kx"), "left").drop("_kx")
 
 
 def fit_scrap(train: DataFrame) -> tuple[PipelineModel, PipelineModel]:

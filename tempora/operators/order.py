@@ -26,6 +26,23 @@ def sums_before(rows: DataFrame, order: list[Column], sums: dict[str, Column]) -
     return out.drop("_range", "_range2", *[f"_{k}{i}" for k in "vo" for i in range(len(names))])
 
 
+def last_known(rows: DataFrame, order: list[str], value: str, out: str) -> DataFrame:
+    """rows with, as `out`, the last non-null `value` at or before each row along the ascending order of the columns, which must be total.
+
+    Ranges are written as in sums_before; of each range only its last value is carried on, so no group of rows and no
+    table of values is in one place.
+    """
+    ranged = rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    ranged = stored(ranged, "ordered")
+    ends = ranged.where(F.col(value).isNotNull()).groupBy("_range").agg(F.max_by(value, F.struct(*order)).alias("_end"))
+    carried = ranged.select("_range").distinct().join(ends, "_range", "left")
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = carried.select(F.col("_range").alias("_range2"), F.last("_end", ignorenulls=True).over(earlier).alias("_carry"))
+    own = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    met = ranged.join(F.broadcast(carried), F.col("_range") == F.col("_range2"))  # a row a range
+    return met.withColumn(out, F.coalesce(F.last(value, ignorenulls=True).over(own), "_carry")).drop("_range", "_range2", "_carry")
+
+
 def concordance(a: DataFrame, b: DataFrame, levels: int, by: list[str] | None = None) -> DataFrame:
     """Weighted pairs of a (pos, risk, w) with every b (pos, risk, w) of a larger position: `comparable` and `concordant`, equal risks half.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import BROKEN, DAY, DEFAULT, REPAIRED, Config
+from ..config import BROKEN, DAY, DEFAULT, REPAIRED, UNKNOWN, Config
 from ..functions import expr as X
 from . import asof
 
@@ -71,6 +71,13 @@ def asof_install(episodes: DataFrame, cycles: DataFrame) -> DataFrame:
     return out.select("onset_journey_id", "item", "onset_us", "install_us")
 
 
+def install_context(rows: DataFrame, op: DataFrame) -> DataFrame:
+    """rows (item, installed_us, ...) with type and place as the install event at that time has them, the first one by id of several; UNKNOWN without."""
+    first = op.where("status = 'INSTALLED'").groupBy(F.col("item").alias("_i"), F.col("created_us").alias("_t")).agg(F.min_by(F.struct("item_type", "place"), "journey_id").alias("_e"))
+    out = rows.join(first, (F.col("item") == F.col("_i")) & (F.col("installed_us") == F.col("_t")), "left")
+    return out.withColumns({"type_at_install": F.coalesce("_e.item_type", F.lit(UNKNOWN)), "place_at_install": F.coalesce("_e.place", F.lit(UNKNOWN))}).drop("_i", "_t", "_e")
+
+
 def known_types(resolved: DataFrame, least: int = DEFAULT.type_support) -> DataFrame:
     return resolved.where("is_labeled AND item_type IS NOT NULL").groupBy("item_type").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("item_type")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import stored
 from . import order
 
 GONE = 1e-9
@@ -49,25 +50,40 @@ def sampled(curves: DataFrame, step: int = 30, limit: int = 1080) -> DataFrame:
     return step_lookup(curves, asked)
 
 
-def piecewise(x: Column, knots: list[tuple[float, float]]) -> Column:
-    """Linear between knots, flat outside: a fitted isotonic table as an expression."""
-    out = F.when(x <= knots[0][0], F.lit(knots[0][1]))
-    for (x0, y0), (x1, y1) in zip(knots, knots[1:], strict=False):
-        out = out.when(x <= x1, y0 + (x - x0) * ((y1 - y0) / (x1 - x0)))
-    return out.otherwise(F.lit(knots[-1][1]))
-
-
-def calibrated(curves: DataFrame, tables: dict[int, list[tuple[float, float]]]) -> DataFrame:
-    """Risk 1 - s through the table of each horizon, blended linearly between neighbouring horizons, flat outside, never falling."""
-    hs = sorted(tables)
-    raw = 1 - F.col("s")
-    at = {h: piecewise(raw, tables[h]) for h in hs}
-    risk = F.when(F.col("t") <= hs[0], at[hs[0]])
-    for lo, hi in zip(hs, hs[1:], strict=False):
-        part = (F.col("t") - lo) / (hi - lo)
-        risk = risk.when(F.col("t") <= hi, at[lo] * (1 - part) + at[hi] * part)
-    rows = curves.withColumn("risk", risk.otherwise(at[hs[-1]]))
-    return monotone(rows, "item", "t").withColumn("s", 1 - F.col("risk")).drop("risk")
+def through_knots(asked: DataFrame, knots: DataFrame) -> DataFrame:
+    """Distinct (h, x, y): each asked (h, x) on the broken line through its table's knots (h, x, y), flat outside.
+
+    A sorted range look-up: neither a plan nor a task grows with the number of knots. A table without knots gives y = x, a null x a null y.
+    """
+    w = Window.partitionBy("h").orderBy("x")  # a table's knots: as many as its fit keeps
+    edges = knots.select("h", F.col("x").cast("double").alias("x"), F.lit(0).alias("_kind"), F.struct("h", "x", "y", F.lead("x").over(w).alias("x1"), F.lead("y").over(w).alias("y1")).alias("_at"))
+    probes = asked.where("x IS NOT NULL").select("h", F.col("x").cast("double").alias("x")).distinct().withColumn("_kind", F.lit(1))
+    seen = order.last_known(edges.unionByName(probes, allowMissingColumns=True), ["h", "x", "_kind"], "_at", "_last").where("_kind = 1")
+    first = knots.groupBy(F.col("h").alias("_fh")).agg(F.min_by("y", "x").alias("_first"))
+    last = F.when(F.col("_last.h") == F.col("h"), F.col("_last"))
+    inside = last["y"] + (F.col("x") - last["x"]) * ((last["y1"] - last["y"]) / (last["x1"] - last["x"]))
+    y = F.when(last.isNull(), F.coalesce("_first", "x")).when(last["x1"].isNull(), last["y"]).otherwise(inside)
+    return seen.join(F.broadcast(first), F.col("h") == F.col("_fh"), "left").select("h", "x", y.alias("y"))  # a row a table
+
+
+def calibrated(curves: DataFrame, knots: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
+    """Risk 1 - s through the table of each horizon, blended linearly between neighbouring horizons, flat outside, never falling.
+
+    curves: (item, t, s, ...); knots: (h, x, y), a table for each of the horizons.
+    """
+    hs = sorted(horizons)
+    lo, hi, part = F.lit(hs[0]), F.lit(hs[0]), F.lit(0.0)
+    for a, b in zip(hs, hs[1:], strict=False):
+        inside = F.col("t") > a
+        lo, hi, part = F.when(inside, a).otherwise(lo), F.when(inside, b).otherwise(hi), F.when(inside, (F.col("t") - a) / (b - a)).otherwise(part)
+    rows = curves.withColumns({"_x": 1 - F.col("s"), "_lo": F.when(F.col("t") > hs[-1], hs[-1]).otherwise(lo), "_hi": F.when(F.col("t") > hs[-1], hs[-1]).otherwise(hi), "_part": F.when(F.col("t") > hs[-1], 0.0).otherwise(part)})
+    asked = rows.select(F.explode(F.array("_lo", "_hi")).alias("h"), F.col("_x").alias("x"))
+    found = stored(through_knots(asked, knots), "calibration")
+    for side in ("_lo", "_hi"):
+        of = found.select(F.col("h").alias("_h"), F.col("x").alias("_fx"), F.col("y").alias(f"_y{side}"))
+        rows = rows.join(of, (F.col(side) == F.col("_h")) & (F.col("_x") == F.col("_fx")), "left").drop("_h", "_fx")
+    rows = rows.withColumn("risk", F.col("_y_lo") * (1 - F.col("_part")) + F.col("_y_hi") * F.col("_part"))
+    return monotone(rows, "item", "t").withColumn("s", 1 - F.col("risk")).drop("risk", "_x", "_lo", "_hi", "_part", "_y_lo", "_y_hi")
 
 
 def kaplan_meier(rows: DataFrame, time: str = "duration_days", event: str = "event", censoring: bool = False) -> DataFrame:

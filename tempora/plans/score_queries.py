@@ -192,7 +192,8 @@ _mix = " ".join(f"WHEN t <= {hi} THEN {_at[lo]} * (1 - (t - {lo}) / {hi - lo}) +
 
 @query("curve_calibration", plain(f"SELECT item, t, 1 - max(r) OVER (PARTITION BY item ORDER BY t) AS s FROM (SELECT item, t, CASE WHEN t <= 30 THEN {_at[30]} {_mix} ELSE {_at[120]} END AS r FROM c)", c=CURVE))
 def _(spark, d):
-    return survival.calibrated(curves(spark, d), TABLES).select("item", "t", "s")
+    knots = spark.createDataFrame([(h, x, y) for h, table in TABLES.items() for x, y in table], "h int, x double, y double")
+    return survival.calibrated(curves(spark, d), knots, tuple(TABLES)).select("item", "t", "s")
 
 
 @query("median_error", plain("SELECT avg(abs(m - a)) AS mae, avg(m - a) AS bias, avg((m > a)::INT) AS over_share, avg((m IS NULL)::INT) AS null_share FROM (SELECT item, min(t) FILTER (s <= 0.5) AS m, CAST(item % 150 AS DOUBLE) AS a FROM c GROUP BY item)", c=CURVE))
