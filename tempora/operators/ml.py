@@ -37,6 +37,18 @@ def fit_classifier(train: DataFrame, iterations: int = 200, depth: int = 4, rate
     return Pipeline(stages=[*_inputs(CATEGORICAL, NUMERIC), tree]).fit(balanced(train, "target"))
 
 
+def fit_encoder(rows: DataFrame, categorical: list[str], numeric: list[str]) -> PipelineModel:
+    """Categories as they are known here (an unseen one is all zeros), all columns with mean 0 and deviation 1."""
+    scale = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True)
+    return Pipeline(stages=[*_inputs(categorical, numeric), scale]).fit(rows)
+
+
+def encoded(rows: DataFrame, encoder: PipelineModel, name: str = "x") -> DataFrame:
+    """rows with the encoder's columns as an array."""
+    keep = rows.columns
+    return encoder.transform(rows).select(*keep, vector_to_array("scaled").alias(name))
+
+
 def probability(scored: DataFrame, name: str = "raw_probability") -> DataFrame:
     return scored.withColumn(name, vector_to_array("probability")[1]).drop("probability", "rawPrediction", "prediction", "features")
 

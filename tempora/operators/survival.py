@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.expr import definite
 from ..functions.tables import stored
 from . import order
 
 GONE = 1e-9
+#: Calibration tables: knots of each horizon.
+KNOTS = "h int, x double, y double"
 
 
 def step_lookup(curves: DataFrame, asked: DataFrame) -> DataFrame:
@@ -109,3 +112,37 @@ def person_period(rows: DataFrame, edges: list[int]) -> DataFrame:
     # an interval in which a lifecycle was censored says nothing
     out = out.where(F.col("event") | (F.col("duration_days") >= F.col("_i.hi")))
     return out.select("*", F.col("_i.interval").alias("interval"), F.col("_i.hi").alias("t"), y.alias("y")).drop("_i")
+
+
+def outcomes_at(curves: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
+    """(h, risk, y) of curves (t, s, duration, event): the raw risk at each horizon and what is known to have happened by then; unknown ones go."""
+    rows = curves.where(F.col("t").isin(*map(float, horizons)))
+    return rows.select(F.col("t").cast("int").alias("h"), (1 - F.col("s")).alias("risk"), definite(F.col("duration"), F.col("event"), F.col("t")).alias("y")).where("y IS NOT NULL")
+
+
+def conditioned(curves: DataFrame, ages: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
+    """(item, age, h, risk): failure within h days of an age that a curve's item has reached (ages: item, age)."""
+    asked = ages.select("item", F.col("age").cast("double").alias("age")).distinct().withColumn("h", F.explode(F.array(F.lit(0), *map(F.lit, horizons))))
+    points = asked.withColumn("q", F.col("age") + F.col("h"))
+    found = step_lookup(curves, points.select("item", "q").distinct()).select(F.col("item").alias("_i"), F.col("q").alias("_q"), "s")
+    met = points.join(found, (F.col("item") == F.col("_i")) & (F.col("q") == F.col("_q")))
+    start = F.max(F.when(F.col("h") == 0, F.col("s"))).over(Window.partitionBy("item", "age"))
+    return met.withColumn("risk", conditional_risk(start, F.col("s"))).where("h > 0").select("item", "age", "h", "risk")
+
+
+THRESHOLDS = {"median": 0.5, "s90": 0.9, "medium": 0.85, "high": 0.75}
+
+
+def detail(curves: DataFrame, horizons: tuple[int, ...], step: int = 30, limit: int = 1080) -> DataFrame:
+    """A row for each item of curves (item, t, s, raw): raw and calibrated risk at each horizon, the times at which the
+    calibrated curve comes down to each threshold (null where it does not), and the curve every `step` days.
+
+    A curve has as many points as the model's grid, so an item's points fit in a row.
+    """
+    points = curves.groupBy("item").agg(F.sort_array(F.collect_list(F.struct("t", "s", "raw"))).alias("c"))
+    at = lambda q, v: F.coalesce(F.try_element_at(F.filter("c", lambda p: p["t"] <= q), F.lit(-1))[v], F.lit(1.0))
+    first = lambda v: F.try_element_at(F.filter("c", lambda p: p["s"] <= v), F.lit(1))["t"]
+    days = F.sequence(F.lit(0), F.least(F.element_at("c", -1)["t"], F.lit(float(limit))).cast("int"), F.lit(step))
+    sampled_ = F.transform(days, lambda q: F.struct(q.alias("t"), at(q, "s").alias("s")))
+    risks = {f"{name}_{h}": F.round(1 - at(F.lit(h), v), 6) for h in horizons for name, v in (("raw", "raw"), ("risk", "s"))}
+    return points.select("item", *[c.alias(n) for n, c in risks.items()], *[first(v).alias(n) for n, v in THRESHOLDS.items()], sampled_.alias("curve"))

@@ -117,3 +117,49 @@ def test_the_table_gives_what_the_fitted_model_gives(spark):
     want = {r["features"]: r["prediction"] for r in IsotonicRegression().fit(data).transform(data).collect()}
     assert got[None] is None and all(abs(got[s] - p) < 1e-9 for s, p in want.items())
     assert ml.calibrate(rows, knots.where("false"), "score", "p").where("p <> score").count() == 0
+
+
+def test_detail_of_a_curve(spark):
+    rows = [("a", float(t), float(np.exp(-0.004 * t)), float(np.exp(-0.002 * t))) for t in [*range(1, 121), *range(180, 1081, 60)]] + [("b", 1.0, 1.0, 1.0), ("b", 400.0, 0.9, 0.95)]
+    got = {r["item"]: r for r in survival.detail(spark.createDataFrame(rows, "item string, t double, s double, raw double"), (30, 60, 90, 120)).collect()}
+    a, b = got["a"], got["b"]
+    assert (a["s90"], a["medium"], a["high"], a["median"]) == (27.0, 41.0, 72.0, 180.0)
+    assert abs(a["risk_30"] - (1 - np.exp(-0.12))) < 1e-6 and abs(a["raw_90"] - (1 - np.exp(-0.18))) < 1e-6
+    assert [p["t"] for p in a["curve"]] == list(range(0, 1081, 30)) and a["curve"][0]["s"] == 1 and a["curve"][5]["s"] == a["curve"][4]["s"]
+    assert b["median"] is None and b["s90"] == 400.0 and b["risk_120"] == 0 and b["curve"][-1]["t"] == 390
+
+
+def test_conditioned_curves(spark):
+    curves = spark.createDataFrame([("a", float(t), float(1 - t / 200)) for t in range(10, 201, 10)] + [("z", 10.0, 0.0)], "item string, t double, s double")
+    ages = spark.createDataFrame([("a", 0.0), ("a", 100.0), ("a", 100.0), ("z", 50.0)], "item string, age double")
+    got = {(r["item"], r["age"], r["h"]): r["risk"] for r in survival.conditioned(curves, ages, (30, 100)).collect()}
+    assert len(got) == 6 and abs(got["a", 0.0, 30] - 0.15) < 1e-12 and abs(got["a", 100.0, 30] - 0.3) < 1e-12 and got["a", 100.0, 100] == 1 and got["z", 50.0, 30] == 1
+
+
+def test_ids_get_what_all_parts_get_and_windows_run_over_them_alone(spark):
+    """Curves of a few ids equal those of all parts; events are cut to the ids below every window."""
+    from tempora.plans import survival_queries as S
+
+    x = S.Marks(spark, "/root/testdata/sf0.001")
+    every = x.now()
+    some = every.select("item").orderBy("item").limit(3)
+    ids = spark.createDataFrame([(r["item"],) for r in some.collect()] + [("nobody",)], "item string")
+    mine = x.now(ids)
+    assert sorted(map(str, mine.collect())) == sorted(map(str, every.join(some, "item", "left_semi").select(*mine.columns).collect()))
+    plan = mine._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = [next((i for i, c in enumerate(line) if c.isalpha()), 0) for line in plan]
+    for i, line in enumerate(plan):
+        if line.lstrip(" :+-").startswith("Window ["):
+            below = next((j for j in range(i + 1, len(plan)) if depth[j] <= depth[i]), len(plan))
+            assert any("LeftSemi" in x for x in plan[i:below]), line[:200]
+    rows = S.landmark_rows(x)
+    model = S.trained(rows)
+    all_ = {r["item"]: r for r in model.detail(every).collect()}
+    few = {r["item"]: r for r in model.detail(mine).collect()}
+    assert len(few) == 3 and all(all_[k] == r for k, r in few.items())
+    for r in all_.values():
+        assert r["risk_30"] <= r["risk_60"] <= r["risk_90"] <= r["risk_120"]
+        known = [v for v in (r["s90"], r["medium"], r["high"], r["median"]) if v is not None]
+        assert known == sorted(known)
+        s = [p["s"] for p in r["curve"]]
+        assert s == sorted(s, reverse=True)
