@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DAY
+from . import order
 
 LOW = Window.unboundedPreceding
 #: Frames relative to an observation at t: up to t, and strictly before t.
@@ -51,18 +52,39 @@ def attach(probes: DataFrame, at: str, events: DataFrame, time: str, key: str, m
     return both.select("_p", "_row", *out).where("_p = 1").select("_row.*", *measures)
 
 
+def attach_wide(probes: DataFrame, at: str, events: DataFrame, time: str, key: str, measures: dict[str, tuple[Column, tuple[int, int]]]) -> DataFrame:
+    """Distinct probes (key, at) with one sum of an event column for each measure (expression, frame), for keys that may hold most rows.
+
+    Sums run along the global order of (key, time), laid out by ranges; a frame is the difference of the sums at its
+    two ends. No key, however large, is in one task.
+    """
+    bounds = sorted({b for _, frame in measures.values() for b in ((frame[0], -1), (frame[1], 1))})
+    names = {n: f"_s{i}" for i, n in enumerate(measures)}
+    ev = events.where(F.col(time).isNotNull()).select(F.col(key).alias("_k"), F.col(time).alias("_t"), F.lit(0).alias("_side"), *[e.alias(names[n]) for n, (e, _) in measures.items()])
+    # an end lies before the events of its time, or after them; a frame without a start begins with the key
+    ends = F.array(*[F.struct(F.lit(i).alias("i"), (F.lit(-(1 << 62)).cast("long") if off == LOW else F.col(at) + F.lit(off)).alias("t"), F.lit(side).alias("side")) for i, (off, side) in enumerate(bounds)])
+    pr = probes.where(F.col(at).isNotNull()).select(F.col(key).alias("_k"), F.col(at).alias("_a"), F.explode(ends).alias("_e")).select("_k", "_a", F.col("_e.i").alias("_i"), F.col("_e.t").alias("_t"), F.col("_e.side").alias("_side"))
+    both = ev.unionByName(pr, allowMissingColumns=True)
+    seen = order.sums_before(both, [F.col(c) for c in ("_k", "_t", "_side")], {f"_c{s}": F.coalesce(s, F.lit(0)) for s in names.values()}).where("_i IS NOT NULL")
+    # the sums up to each end side by side
+    upto = lambda s, b: F.max(F.when(F.col("_i") == bounds.index(b), F.col(f"_c{s}")))
+    found = seen.groupBy("_k", "_a").agg(*[(upto(names[n], (hi, 1)) - upto(names[n], (lo, -1))).alias(n) for n, (_, (lo, hi)) in measures.items()])
+    out = probes.join(found, F.col(key).eqNullSafe(F.col("_k")) & (F.col(at) == F.col("_a")), "left").drop("_k", "_a")
+    return out.withColumns({n: F.coalesce(n, F.lit(0)) for n in measures})
+
+
 def group_density(probes: DataFrame, at: str, group: Column, failures: DataFrame, failure_group: Column, failure_time: str, units: DataFrame, unit_group: Column, installed: str, ended: str, windows: dict[str, int], size: str) -> DataFrame:
     """Failures in [t - w, t) and units in place at t, for each distinct (group, time) of the probes.
 
-    A group may hold most of the rows, so events are first summed by (group, time) and probes made distinct; the
-    frames then run over these only, and a join by (group, time) brings the values back.
+    A group may hold most of the rows, so events are first summed by (group, time) and probes made distinct; sums along
+    all groups' order then give the frames, and a join by (group, time) brings the values back.
     """
     stream = failures.select(failure_group.alias("_g"), F.col(failure_time).alias("_t"), F.lit(1).alias("_f"), F.lit(0).alias("_u"))
     stream = stream.unionByName(units.select(unit_group.alias("_g"), F.explode(F.array(F.struct(F.col(installed).alias("_t"), F.lit(1).alias("_u")), F.struct(F.col(ended).alias("_t"), F.lit(-1).alias("_u")))).alias("s")).select("_g", "s._t", F.lit(0).alias("_f"), "s._u"))
     stream = stream.where("_t IS NOT NULL AND _g IS NOT NULL").groupBy("_g", "_t").agg(F.sum("_f").alias("_f"), F.sum("_u").alias("_u"))
     asked = probes.select(group.alias("_g"), F.col(at).alias("_t")).distinct()
-    measures = {n: ("sum", F.col("_f"), preceding(w)) for n, w in windows.items()} | {size: ("sum", F.col("_u"), BEFORE)}
-    found = attach(asked, "_t", stream, "_t", "_g", measures)
+    measures = {n: (F.col("_f"), preceding(w)) for n, w in windows.items()} | {size: (F.col("_u"), BEFORE)}
+    found = attach_wide(asked, "_t", stream, "_t", "_g", measures)
     found = found.select(F.col("_g").alias("_fg"), F.col("_t").alias("_ft"), *windows, F.greatest(F.col(size), F.lit(0)).alias(size))
     out = probes.withColumn("_pg", group).join(found, F.col("_pg").eqNullSafe(F.col("_fg")) & (F.col(at) == F.col("_ft")), "left").drop("_pg", "_fg", "_ft")
     return out.withColumns({n: F.coalesce(n, F.lit(0)) for n in [*windows, size]})

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..config import DAY
 from ..functions import expr as X
 from ..functions.tables import shared_dir
-from . import asof
+from . import asof, order
 from .asof import BEFORE
 
 
@@ -70,8 +70,10 @@ def days_since_group_failure(obs: DataFrame, episodes: DataFrame, group: str) ->
     """obs with the days since the group's last failure strictly before; null without one. Groups may hold most rows: both sides are made distinct first."""
     asked = obs.select(group, "at_us").where(F.col(group).isNotNull()).distinct()
     failed = episodes.where(F.col("in_cohort")).select(group, "onset_us").distinct()
-    found = asof.attach(asked, "at_us", failed, "onset_us", group, {"_last": ("max", F.col("onset_us"), BEFORE)})
-    found = found.select(F.col(group).alias("_g"), F.col("at_us").alias("_a"), "_last")
+    points = asked.select(F.col(group).alias("_g"), F.col("at_us").alias("_a"), F.lit(0).alias("_side"))
+    points = points.unionByName(failed.where(F.col(group).isNotNull()).select(F.col(group).alias("_g"), F.col("onset_us").alias("_a"), F.lit(1).alias("_side"), F.struct(F.col(group).alias("g"), F.col("onset_us").alias("t")).alias("_at")), allowMissingColumns=True)
+    found = order.last_known(points, ["_g", "_a", "_side"], "_at", "_before").where("_side = 0")
+    found = found.select("_g", "_a", F.when(F.col("_before.g") == F.col("_g"), F.col("_before.t")).alias("_last"))
     out = obs.join(found, (F.col(group) == F.col("_g")) & (F.col("at_us") == F.col("_a")), "left")
     return out.withColumn("days_since_group_failure", X.days(F.col("_last"), F.col("at_us"))).drop("_g", "_a", "_last")
 
@@ -81,7 +83,7 @@ def hazard_prior(cycles: DataFrame, group: str) -> DataFrame:
     c = cycles.where("in_cohort")
     ended = c.where(F.col(group).isNotNull()).groupBy(group, "end_us").agg(F.count_if(F.col("end_reason") == "FAILURE").alias("_f"), F.sum(F.floor((F.col("end_us") - F.col("installed_us")) / F.lit(DAY))).alias("_d"))
     asked = c.select(group, "installed_us").where(F.col(group).isNotNull()).distinct()
-    found = asof.attach(asked, "installed_us", ended, "end_us", group, {"_fs": ("sum", F.col("_f"), BEFORE), "_ds": ("sum", F.col("_d"), BEFORE)})
+    found = asof.attach_wide(asked, "installed_us", ended, "end_us", group, {"_fs": (F.col("_f"), BEFORE), "_ds": (F.col("_d"), BEFORE)})
     found = found.select(F.col(group).alias("_g"), F.col("installed_us").alias("_a"), "_fs", "_ds")
     out = c.join(found, (F.col(group) == F.col("_g")) & (F.col("installed_us") == F.col("_a")), "left")
     return out.withColumn("prior_hazard", F.coalesce("_fs", F.lit(0)) / F.greatest(F.coalesce("_ds", F.lit(0)), F.lit(1))).drop("_g", "_a", "_fs", "_ds")

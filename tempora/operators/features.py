@@ -86,7 +86,7 @@ def support_asof(obs: DataFrame, base: DataFrame, category: str = "model", base_
     sums = base.where(F.col(category).isNotNull()).groupBy(category, base_time).agg(F.count("*").alias("_n"))
     asked = obs.select(category, "at_us").distinct()
     sums = sums.withColumnRenamed(base_time, "_bt")
-    found = asof.attach(asked, "at_us", sums, "_bt", category, {name: ("sum", F.col("_n"), UPTO)})
+    found = asof.attach_wide(asked, "at_us", sums, "_bt", category, {name: (F.col("_n"), UPTO)})
     found = found.select(F.col(category).alias("_c"), F.col("at_us").alias("_a"), name)
     return obs.join(found, F.col(category).eqNullSafe(F.col("_c")) & (F.col("at_us") == F.col("_a")), "left").drop("_c", "_a")
 

@@ -141,7 +141,7 @@ def bootstrap_ci(rows: DataFrame, key: str, draws: int = 200, seed: int = 42, ti
 
 def reliability(rows: DataFrame, key: str, buckets: int = 5, score: str = "score", target: str = "target") -> DataFrame:
     """Mean score and observed share by bucket of the score's quantiles; equal scores stay together, so no row order matters."""
-    cuts = rows.agg(F.percentile(score, F.array(*[F.lit(i / buckets) for i in range(1, buckets)])).alias("_cuts"))
+    cuts = order.quantiles(rows, score, [i / buckets for i in range(1, buckets)]).select(F.col("q").alias("_cuts"))
     b = F.size(F.filter("_cuts", lambda c: F.col(score) > c)) + 1
     return rows.crossJoin(F.broadcast(cuts)).groupBy(b.alias("bucket")).agg(F.count("*").alias("n"), F.avg(score).alias("predicted"), F.avg(F.col(target).cast("double")).alias("observed"))  # one row
 

@@ -119,7 +119,7 @@ def capacity_cutoffs(rows: DataFrame, score: str, time_us: str, per_month: float
     p = one.first()
     if p["per_month"] is None or not p["per_month"]:
         return one.select("per_month", "high_share", F.lit(None).cast("double").alias("high"), F.lit(None).cast("double").alias("medium"))
-    cut = rows.agg(F.percentile(score, F.lit(1 - p["high_share"])).alias("high"), F.percentile(score, F.lit(1 - p["medium_share"])).alias("medium"))
+    cut = order.quantiles(rows, score, [1 - p["high_share"], 1 - p["medium_share"]]).select(F.col("q")[0].alias("high"), F.col("q")[1].alias("medium"))
     return one.select("per_month", "high_share").crossJoin(F.broadcast(cut))  # one row each
 
 

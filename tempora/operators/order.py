@@ -43,6 +43,27 @@ def last_known(rows: DataFrame, order: list[str], value: str, out: str) -> DataF
     return met.withColumn(out, F.coalesce(F.last(value, ignorenulls=True).over(own), "_carry")).drop("_range", "_range2", "_carry")
 
 
+def quantiles(rows: DataFrame, value: str, shares: list[float], by: str | None = None) -> DataFrame:
+    """One row (for each `by`): q, the exact quantiles, linear between neighbours, and n, the non-null values. Without values no row for a `by`, else nulls.
+
+    Ranks come from sums over the sorted distinct values, so no task holds them all.
+    """
+    own = [by] if by else []
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*own, F.col(value).alias("_x")).agg(F.count("*").alias("_n"))
+    seen = sums_before(counts, [F.col(c) for c in (*own, "_x")], {"_b": F.col("_n")})
+    totals = seen.groupBy(*[F.col(c).alias("_by") for c in own]).agg(F.sum("_n").alias("_all"), F.min("_b").alias("_from"))
+    met = seen.join(totals, F.col(by).eqNullSafe(F.col("_by"))) if by else seen.crossJoin(F.broadcast(totals))  # one row
+    at = F.col("_b") - F.col("_from")
+    holds = lambda k: (at <= k) & (k < at + F.col("_n"))
+    place = [F.lit(q) * (F.col("_all") - 1) for q in shares]
+    ends = [(F.floor(p), F.ceil(p)) for p in place]
+    met = met.where(F.greatest(*[holds(k) for e in ends for k in e], F.lit(False)))  # two rows a quantile
+    found = met.groupBy(*own).agg(F.max("_all").alias("n"), *[F.max(F.when(holds(k), F.col("_x").cast("double"))).alias(f"_{side}{i}") for i, e in enumerate(ends) for side, k in zip("lh", e, strict=True)])
+    part = [F.lit(q) * (F.col("n") - 1) - F.floor(F.lit(q) * (F.col("n") - 1)) for q in shares]
+    q = F.array(*[F.col(f"_l{i}") + (F.col(f"_h{i}") - F.col(f"_l{i}")) * x for i, x in enumerate(part)])
+    return found.select(*own, q.alias("q"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def concordance(a: DataFrame, b: DataFrame, levels: int, by: list[str] | None = None) -> DataFrame:
     """Weighted pairs of a (pos, risk, w) with every b (pos, risk, w) of a larger position: `comparable` and `concordant`, equal risks half.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
@@ -83,15 +83,18 @@ def failure_history(op: DataFrame) -> DataFrame:
 
 
 def score_distribution(scores: DataFrame, score: str = "score") -> DataFrame:
-    p = F.percentile(score, F.array(*map(F.lit, (0.05, 0.25, 0.5, 0.75, 0.95))))
-    return scores.agg(F.min(score).alias("min"), p.alias("_p"), F.max(score).alias("max"), F.avg(score).alias("mean"), F.count(score).alias("n")).select("min", *[F.col("_p")[i].alias(n) for i, n in enumerate(("p05", "p25", "p50", "p75", "p95"))], "max", "mean", "n")
+    q = order.quantiles(scores, score, [0.05, 0.25, 0.5, 0.75, 0.95]).select("q")
+    one = scores.agg(F.min(score).alias("min"), F.max(score).alias("max"), F.avg(score).alias("mean"), F.count(score).alias("n")).crossJoin(F.broadcast(q))  # one row each
+    return one.select("min", *[F.col("q")[i].alias(n) for i, n in enumerate(("p05", "p25", "p50", "p75", "p95"))], "max", "mean", "n")
 
 
 def drift(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Mean, median and missing share of each column, in long form."""
     pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in columns])
     long = rows.select(F.explode(pairs).alias("p")).select("p.*")
-    return long.groupBy("feature").agg(F.avg("v").alias("mean"), F.median("v").alias("median"), F.avg(F.col("v").isNull().cast("double")).alias("missing_share"))
+    middle = order.quantiles(long, "v", [0.5], "feature").select(F.col("feature").alias("_f"), F.col("q")[0].alias("median"))
+    means = long.groupBy("feature").agg(F.avg("v").alias("mean"), F.avg(F.col("v").isNull().cast("double")).alias("missing_share"))
+    return means.join(F.broadcast(middle), F.col("feature") == F.col("_f"), "left").select("feature", "mean", "median", "missing_share")  # a row a column
 
 
 def coverage(rows: DataFrame, totals: DataFrame, least: int) -> DataFrame:
@@ -152,7 +155,3 @@ def risk_factors(rows: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
 def death_risk(scores: DataFrame) -> DataFrame:
     return scores.withColumn("death_risk", F.round(F.col("failure_probability") * F.col("scrap_probability"), 5))
 
-
-def one_row(spark: SparkSession, **values) -> DataFrame:
-    """Frozen metadata of a model: supports, columns, cut-offs."""
-    return spark.createDataFrame([tuple(values.values())], list(values))

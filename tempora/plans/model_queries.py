@@ -10,7 +10,7 @@ from pyspark.sql.types import StructType
 from ..config import DEFAULT
 from ..functions import expr as X
 from ..functions.tables import shared_dir, stored
-from ..operators import features, ml, observe, outcome, serve, survival
+from ..operators import features, ml, observe, order, outcome, serve, survival
 from ..sources import saved
 from .feature_queries import Layers
 from .registry import query
@@ -86,7 +86,7 @@ def _(spark, d):
     """May models trained on four fifths of the failures in time replace saved ones trained on two fifths? Both score the last fifth, the saved ones with their own known types."""
     x = Layers(spark, d)
     resolved = stored(outcome.resolve(x.episodes, x.op, x.cycles).where("in_cohort AND is_labeled"), "resolved")
-    early, late = resolved.agg(F.percentile("onset_us", F.array(F.lit(0.4), F.lit(0.8)))).first()[0]
+    early, late = order.quantiles(resolved, "onset_us", [0.4, 0.8]).first()["q"]
     folder = f"{shared_dir(spark)}/scrap-{uuid.uuid4().hex}"
 
     def trained(until):

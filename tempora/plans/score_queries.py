@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT
 from ..functions import expr as X
-from ..operators import features, metrics, ml, observe, serve, survival
+from ..operators import features, metrics, ml, observe, order, serve, survival
 from ..sources.journal import Journal
 from .feature_queries import GRID, HISTORY, LIFE, D, Layers, density
 from .oracle import sql
@@ -66,7 +66,7 @@ def _(spark, d):
 
 @query("capacity_cutoffs", plain("SELECT quantile_cont(score, 0.98) AS high, quantile_cont(score, 0.96) AS medium FROM s", s=SCORED))
 def _(spark, d):
-    return scored(spark, d).agg(F.percentile("score", F.lit(0.98)).alias("high"), F.percentile("score", F.lit(0.96)).alias("medium"))
+    return order.quantiles(scored(spark, d), "score", [0.98, 0.96]).select(F.col("q")[0].alias("high"), F.col("q")[1].alias("medium"))
 
 
 @query("bootstrap_ci")
