@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import os
 import re
 import struct
 import unicodedata
@@ -30,6 +31,8 @@ from . import common
 PAIR_BITS = 31
 END = "\ue000"  # stands for the end-of-word suffix inside this module
 GONE = re.compile("(?!)")
+#: Symbols of a word that are merged by scanning all pairs; a longer one keeps its pairs in a heap. The rank of no pair.
+SHORT, NEVER = 32, 1 << 60
 #: Code points that the `regex` module's tables (a later version of Unicode) class as letters or numbers and the tokenizer's do not; first and last of each run.
 UNCLASSED = [
     (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2),
@@ -43,6 +46,7 @@ UNCLASSED = [
 #: Capitals that the tokenizer lowers and Python's tables may not know yet: first, last, first small letter.
 LOWERED = [(0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5), (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x19B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB)]
 SMALL = {c: c - a + small for a, z, small in LOWERED for c in range(a, z + 1)} | {ord("Σ"): ord("σ")}  # the tokenizer knows no final sigma
+_SEPARATOR = re.compile("[\x1c-\x1f]").search
 _RARE = re.compile(f"[{chr(UNCLASSED[0][0])}-\U0010ffff]").search
 _CAPITAL = re.compile("[" + "".join(f"{chr(a)}-{chr(z)}" for a, z, _ in LOWERED) + "Σ]").search
 _NEWER = "[" + "".join(f"\\U{a:08x}-\\U{z:08x}" for a, z in UNCLASSED) + "]"
@@ -73,11 +77,13 @@ class WordBpe:
         self.split = regex.compile(pattern).findall
         self.split_rare = regex.compile(re.sub(r"\\p\{[LN]\}", lambda m: f"[{m[0]}--{_NEWER}]", pattern), regex.V1).findall
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else GONE
+        self.mark = os.path.commonprefix(list(self.special)) if self.special else "\0"
         self.longest = max(map(len, self.ids))
         self.chars = byte_chars()
         self.sure: set[str] = set()
         self.pairs: dict[int, bool] = {}
-        self.table: dict[str, tuple[bytes, str]] = {}
+        self.table: dict[str, tuple[bytes, str]] = {}  # of runs without white space
+        self.spelled: dict[str, tuple[bytes, str]] = {}  # of words
         self.proposed = self.failed = 0
 
     def prove(self) -> WordBpe:
@@ -92,6 +98,17 @@ class WordBpe:
             sym.pop()
             sym[-1] += END
         n = len(sym)
+        if n <= SHORT:
+            at = [ranks.get(p, NEVER) for p in zip(sym, sym[1:], strict=False)]
+            while at and (low := min(at)) < NEVER:
+                i = at.index(low)
+                sym[i] += sym[i + 1]
+                del sym[i + 1], at[i]
+                if i < len(at):
+                    at[i] = ranks.get((sym[i], sym[i + 1]), NEVER)
+                if i:
+                    at[i - 1] = ranks.get((sym[i - 1], sym[i]), NEVER)
+            return sym
         nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(r, i, sym[i], sym[i + 1]) for i in range(n - 1) if (r := ranks.get((sym[i], sym[i + 1]))) is not None]
         heapq.heapify(heap)
@@ -145,7 +162,7 @@ class WordBpe:
         return self._mine
 
     def learn(self, words: list[str]) -> dict[str, tuple[bytes, str]]:
-        """ids and spelling of words: propose, verify all adjacent pairs at once, merge those that fail. Those of bounded length go to the table."""
+        """ids and spelling of words: propose, verify all adjacent pairs at once, merge those that fail."""
         chars, ids = self.chars, self.ids
         spelled = ["".join(map(chars.__getitem__, w.encode())) + END for w in words]
         tokens = [self.propose(w) for w in spelled]
@@ -159,42 +176,62 @@ class WordBpe:
         for w, s, t, ok in zip(words, spelled, tokens, good.tolist(), strict=True):
             found = [ids[x] for x in (t if ok else self.merge(s))]
             out[w] = struct.pack(f"<{len(found)}I", *found), " ".join(map(self.names.__getitem__, found))
-        self.table.update((w, x) for w, x in out.items() if len(w) <= common.CACHE_LENGTH)
         self.proposed += len(words)
         self.failed += int((~good).sum())
         return out
 
-    def words(self, text: str) -> list[str]:
+    def lowered(self, text: str) -> str:
         low = unicodedata.normalize("NFC", text)
         if not low.isascii() and _CAPITAL(low):
             low = low.translate(SMALL)
-        low = low.lower()
+        return low.lower()
+
+    def words(self, low: str) -> list[str]:
         return (self.split_rare if not low.isascii() and _RARE(low) and _UNCLASSED(low) else self.split)(low)
 
+    def join(self, chunks: list[str]) -> dict[str, tuple[bytes, str]]:
+        """ids and spelling of runs without white space, from those of their words. Those of bounded length go to the table."""
+        cut = [self.words(c) for c in chunks]
+        known, every = self.spelled, {w for ws in cut for w in ws}
+        new = self.learn(list(every.difference(known)))
+        new |= {w: known[w] for w in every if w in known}
+        if len(known) > common.CACHE_TOKENS:
+            known.clear()
+        known.update((w, x) for w, x in new.items() if len(w) <= common.CACHE_LENGTH)
+        out = {}
+        for c, ws in zip(chunks, cut, strict=True):
+            found = [new[w] for w in ws]
+            out[c] = b"".join([x[0] for x in found]), " ".join([x[1] for x in found])
+        self.table.update((c, x) for c, x in out.items() if len(c) <= common.CACHE_LENGTH)
+        return out
+
     def encode(self, text: str) -> tuple[bytes, str]:
         """ids as little-endian unsigned 32-bit integers, and the decoded text."""
         ids, out = [], []
-        for k, part in enumerate(self.cut.split(text)):
+        for k, part in enumerate(self.cut.split(text) if self.mark in text else [text]):
             if k % 2:
                 ids.append(struct.pack("<I", self.special[part]))
                 out.append(part)
                 continue
-            if not part:
-                continue
-            words = self.words(part)
-            if not words:
+            # no word crosses white space; the separators that Python takes for such are none here
+            low = self.lowered(part)
+            chunks = [low] if _SEPARATOR(low) else low.split()
+            if not chunks:
                 continue
-            missing, known = set(words).difference(self.table), self.table
+            known = self.table
+            missing = set(chunks).difference(known)
             if missing:
-                if len(self.table) > common.CACHE_TOKENS:
-                    self.table.clear()
-                    missing = set(words)
-                new = self.learn(list(missing))
-                if any(w not in self.table for w in missing):
-                    known = {w: self.table[w] for w in set(words).intersection(self.table)} | new
-            found = list(map(known.__getitem__, words))
-            ids.append(b"".join([x[0] for x in found]))
-            out.append(" ".join([x[1] for x in found]))
+                if len(known) > common.CACHE_TOKENS:
+                    known.clear()
+                    missing = set(chunks)
+                new = self.join(list(missing))
+                found = [known[c] if c in known else new[c] for c in chunks]
+            else:
+                found = list(map(known.__getitem__, chunks))
+            pieces = b"".join([x[0] for x in found])
+            if pieces:
+                ids.append(pieces)
+                out.append(" ".join([x[1] for x in found if x[0]]))
         return b"".join(ids), " ".join(out)
 
 
