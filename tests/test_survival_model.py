@@ -153,7 +153,7 @@ def test_ids_get_what_all_parts_get_and_windows_run_over_them_alone(spark):
             below = next((j for j in range(i + 1, len(plan)) if depth[j] <= depth[i]), len(plan))
             assert any("LeftSemi" in x for x in plan[i:below]), line[:200]
     rows = S.landmark_rows(x)
-    model = S.trained(rows)
+    model = S.trained(x, rows)
     all_ = {r["item"]: r for r in model.detail(every).collect()}
     few = {r["item"]: r for r in model.detail(mine).collect()}
     assert len(few) == 3 and all(all_[k] == r for k, r in few.items())
