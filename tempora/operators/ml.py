@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DAY
-from . import metrics, order
+from ..functions.tables import stored
+from . import metrics, order, outcome
 from .features import CATEGORICAL, NUMERIC
 from .survival import through_knots
 
@@ -67,9 +68,13 @@ def calibrate(rows: DataFrame, knots: DataFrame, score: str, out: str) -> DataFr
     return rows.drop(out).join(found, F.col(score) == F.col("_kx"), "left").drop("_kx")
 
 
+def _plain(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({c: F.col(c).cast("double") for c in ("has_prior_repaired", "has_repeat_failure")})
+
+
 def fit_scrap(train: DataFrame) -> tuple[PipelineModel, PipelineModel]:
     """Logistic regression and random forest, which vote softly."""
-    rows = balanced(train.withColumns({c: F.col(c).cast("double") for c in ("has_prior_repaired", "has_repeat_failure")}), "is_scrap")
+    rows = balanced(_plain(train), "is_scrap")
     inputs = _inputs(["type_category"], [*SCRAP_NUMERIC, "has_prior_repaired", "has_repeat_failure"])
     linear = Pipeline(stages=[*inputs, StandardScaler(inputCol="features", outputCol="scaled", withMean=True), LogisticRegression(featuresCol="scaled", weightCol="weight", regParam=0.01)])
     forest = Pipeline(stages=[*inputs, RandomForestClassifier(numTrees=100, maxDepth=5, weightCol="weight", seed=42)])
@@ -77,13 +82,55 @@ def fit_scrap(train: DataFrame) -> tuple[PipelineModel, PipelineModel]:
 
 
 def score_scrap(models: tuple[PipelineModel, PipelineModel], rows: DataFrame) -> DataFrame:
-    rows = rows.withColumns({c: F.col(c).cast("double") for c in ("has_prior_repaired", "has_repeat_failure")})
+    rows = _plain(rows)
     for k, m in enumerate(models):
         keep = rows.columns
         rows = m.transform(rows).select(*keep, vector_to_array("probability")[1].alias(f"vote{k}"))
     return rows.withColumn("scrap_raw", (F.col("vote0") + F.col("vote1")) / 2)
 
 
+def fit_boosted(train: DataFrame, iterations: int = 50) -> PipelineModel:
+    """A boosted candidate on the scrap columns."""
+    rows = balanced(_plain(train), "is_scrap")
+    tree = GBTClassifier(maxIter=iterations, maxDepth=3, stepSize=0.1, weightCol="weight", seed=42)
+    return Pipeline(stages=[*_inputs(["type_category"], [*SCRAP_NUMERIC, "has_prior_repaired", "has_repeat_failure"]), tree]).fit(rows)
+
+
+def candidates(train: DataFrame, test: DataFrame) -> DataFrame:
+    """test scored by every candidate that train gives: (candidate, score, target) in long form. The prior scores all rows alike."""
+    base = train.agg(F.avg(F.col("is_scrap").cast("double"))).first()[0]
+    scored = score_scrap(fit_scrap(train), test)
+    scored = fit_boosted(train).transform(_plain(scored)).withColumn("boosted", vector_to_array("probability")[1])
+    each = {"prior": F.lit(base), "linear": F.col("vote0"), "forest": F.col("vote1"), "boosted": F.col("boosted"), "vote": F.col("scrap_raw")}
+    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("candidate"), c.alias("score")) for n, c in each.items()])).alias("_c")
+    return scored.select(F.col("onset_journey_id"), F.col("is_scrap").alias("target"), pairs).select("onset_journey_id", "target", "_c.*")
+
+
+def rolling_origin(resolved: DataFrame, cuts: list[int]) -> DataFrame:
+    """(origin, candidate, train_rows, n, positives, average_precision, roc_auc, brier): at each cut-off but the last, candidates learn from
+    failures whose labels were known by then, with the types known by then, and score the failures up to the next cut-off.
+
+    A cut-off at which one class is unknown is passed over.
+    """
+    out = None
+    for k, (cut, until) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        past = stored(outcome.matured(resolved, cut), "past")
+        types = outcome.known_types(past)
+        train = stored(outcome.scrap_features(past, types), "train")
+        n, p = train.agg(F.count("*"), F.coalesce(F.sum("is_scrap"), F.lit(0))).first()
+        later = resolved.where(F.col("in_cohort") & F.col("is_labeled") & (F.col("onset_us") > cut) & (F.col("onset_us") <= until))
+        if not 0 < p < n:
+            continue
+        scored = stored(candidates(train, outcome.scrap_features(later, types)), "scored")
+        for name in ("prior", "linear", "forest", "boosted", "vote"):
+            mine = scored.where(F.col("candidate") == name)
+            ap, auc = metrics.average_precision(mine, "score", "target").first()[0], metrics.roc_auc(mine, "score", "target").first()[0]
+            row = mine.agg(F.count("*").alias("n"), F.coalesce(F.sum("target"), F.lit(0)).cast("long").alias("positives"), F.avg((F.col("score") - F.col("target")) ** 2).alias("brier"))
+            row = row.select(F.lit(k).alias("origin"), F.lit(name).alias("candidate"), F.lit(n).alias("train_rows"), "n", "positives", F.lit(ap).cast("double").alias("average_precision"), F.lit(auc).cast("double").alias("roc_auc"), "brier")
+            out = row if out is None else out.unionByName(row)
+    return resolved.sparkSession.createDataFrame([], "origin int, candidate string, train_rows long, n long, positives long, average_precision double, roc_auc double, brier double") if out is None else out
+
+
 def folds(rows: DataFrame, target: str, by: list[Column], n: int = 5) -> DataFrame:
     """rows with a stratified fold: the position within the class in the order of `by`, which must be total, modulo n."""
     out = order.sums_before(rows, [F.col(target), *by], {"_at": F.lit(1)})

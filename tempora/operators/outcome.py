@@ -13,7 +13,7 @@ SCRAPPED = ("UNREPAIRABLE", "BROKEN")
 
 
 def resolve(episodes: DataFrame, op: DataFrame, cycles: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """Episodes with outcome, reinstallation, counts up to and with the onset, ages, label.
+    """Episodes with outcome, reinstallation, counts up to and with the onset, ages, label, and when the label was known.
 
     Items hold few events, so a window over each item's own rows finds what follows; the verdict may carry the onset's own
     time, and counts only up to the next install or failure.
@@ -62,9 +62,15 @@ def resolve(episodes: DataFrame, op: DataFrame, cycles: DataFrame, cfg: Config =
         X.days(F.col("_installed"), F.col("onset_us")).alias("cycle_age_days"),
         scrap.cast("int").alias("is_scrap"),
         ((scrap | survived) & (F.col("onset_us") <= F.col("_end") - F.lit(cfg.horizon_days * DAY))).alias("is_labeled"),
+        F.when(F.col("outcome").isNotNull(), F.col("_v.t")).otherwise(F.col("_install")).alias("known_us"),
     )
 
 
+def matured(resolved: DataFrame, until: int, cfg: Config = DEFAULT) -> DataFrame:
+    """Labelled failures of the cohort as they were known at a time: old enough then, and what became of them seen by then."""
+    return resolved.where(F.col("in_cohort") & F.col("is_labeled") & (F.col("onset_us") <= until - cfg.horizon_days * DAY) & (F.col("known_us") <= until))
+
+
 def asof_install(episodes: DataFrame, cycles: DataFrame) -> DataFrame:
     """Each failure with the latest install at or before it."""
     out = asof.attach(episodes, "onset_us", cycles.select("item", "installed_us"), "installed_us", "item", {"install_us": ("max", F.col("installed_us"), asof.UPTO)})

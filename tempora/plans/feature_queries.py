@@ -303,7 +303,7 @@ def resolved(x: Layers):
 
 @query("episode_outcomes", sql("SELECT * FROM o3", **OUTCOME))
 def _(spark, d):
-    return resolved(Layers(spark, d))
+    return resolved(Layers(spark, d)).drop("known_us")
 
 
 @query("asof_install", sql("SELECT onset_journey_id, item, onset_us, install_us FROM o1", **OUTCOME))

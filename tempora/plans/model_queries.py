@@ -109,6 +109,15 @@ def _(spark, d):
     return row.select("test_rows", *[F.lit(v).cast("double").alias(k) for k, v in values.items()], F.lit(ml.promoted(found["candidate"], found["incumbent"])).alias("promoted"))
 
 
+@query("rolling_origin")
+def _(spark, d):
+    """Scrap candidates on two later parts of the failures, each trained on what was known at its cut-off."""
+    x = Layers(spark, d)
+    resolved = stored(outcome.resolve(x.episodes, x.op, x.cycles), "resolved")
+    cuts = order.quantiles(resolved.where("in_cohort AND is_labeled"), "onset_us", [0.5, 0.75, 1.0]).first()["q"]
+    return ml.rolling_origin(resolved, [int(c) for c in cuts if c is not None])
+
+
 @query("train_survival")
 def _(spark, d):
     """Median, and times to survival of 0.9, 0.85 and 0.75, of each test landmark's curve."""
