@@ -30,7 +30,7 @@ class Config:
     fuzzy_margin: float = 0.08
     abbreviations: tuple[tuple[str, str], ...] = (("JKT", "JAKARTA"),)
     client_alias: tuple[tuple[str, str], ...] = ()
-    place_alias: tuple[tuple[str, str], ...] = (("GUDANG NUTECH", "GUDANG NI"),)
+    place_alias: tuple[tuple[str, str], ...] = ()
     capacity_per_month: float = 200.0
     scrap_per_month: float = 3.0
     days_per_month: float = 30.0

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import DAY
 from ..functions import expr as X
 from ..functions.tables import shared_dir
+from ..sources.saved import CSV
 from . import asof, order
 from .asof import BEFORE
 
@@ -111,8 +112,8 @@ def text_snapshot(snapshot: DataFrame, name: str) -> DataFrame:
     """A snapshot written as CSV and read back by its schema, so that codes with leading zeros stay text."""
     spark = snapshot.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    snapshot.write.option("header", True).csv(path)
-    return spark.read.schema(snapshot.schema).option("header", True).csv(path)
+    snapshot.write.options(**CSV).csv(path)
+    return spark.read.schema(snapshot.schema).options(**CSV, multiLine=True).csv(path)
 
 
 def golden(tables: dict[str, DataFrame], name: str) -> DataFrame:
@@ -128,13 +129,19 @@ def golden(tables: dict[str, DataFrame], name: str) -> DataFrame:
 
 
 def usable_snapshot(stored_snapshot: DataFrame, known: DataFrame, group: str, as_of: DataFrame, boundary: DataFrame, least: float = 0.8) -> DataFrame:
-    """(same_boundary, covered, usable): a stored snapshot serves if the data's end has not moved and it covers enough of the known groups."""
+    """(name, same_boundary, covered, usable) for each stored data end (name, data_end_us): a stored snapshot serves if the data's end has not moved and it covers enough of the known groups."""
     k = known.select(F.col(group).alias("_k")).where("_k IS NOT NULL").distinct()
     both = k.join(stored_snapshot.select(F.col(group).alias("_s")).distinct(), F.col("_k") == F.col("_s"), "left").agg((F.count("_s") / F.greatest(F.count("*"), F.lit(1))).alias("covered"))
-    same = as_of.select(F.col("data_end_us").alias("_was")).crossJoin(F.broadcast(boundary)).select(F.col("_was").eqNullSafe(F.col("data_end_us")).alias("same_boundary"))
+    same = freshness(as_of, boundary).select("name", (~F.col("moved")).alias("same_boundary"))
     return same.crossJoin(F.broadcast(both)).withColumn("usable", F.col("same_boundary") & (F.col("covered") >= least))  # one row each
 
 
+def freshness(as_of: DataFrame, boundary: DataFrame) -> DataFrame:
+    """(name, was_us, now_us, moved): stored data ends (name, data_end_us) against the end of the live data."""
+    now = boundary.select(F.col("data_end_us").alias("now_us"))
+    return as_of.select("name", F.col("data_end_us").alias("was_us")).crossJoin(F.broadcast(now)).withColumn("moved", ~F.col("was_us").eqNullSafe(F.col("now_us")))  # one row
+
+
 def first_valid(candidates: DataFrame) -> DataFrame:
     """(location, lat, lon): of each location's candidates within the box, that of the smallest rank."""
     good = candidates.where(X.in_box(F.col("lat"), F.col("lon")))

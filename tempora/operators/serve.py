@@ -115,7 +115,7 @@ def statuses(asked: DataFrame, known: DataFrame, scored: DataFrame) -> DataFrame
 
 
 def snapshot_diff(left: DataFrame, right: DataFrame, key: str, columns: list[str], rtol: float = 1e-9) -> DataFrame:
-    """Differences of two snapshots by key and column: missing on a side, or values apart by more than rtol; null equals null."""
+    """Differences of two snapshots by key and column with both values as text: missing on a side, or apart by more than rtol; null equals null."""
 
     def differs(a: Column, b: Column, kind: str) -> Column:
         if kind in ("double", "float"):
@@ -130,7 +130,8 @@ def snapshot_diff(left: DataFrame, right: DataFrame, key: str, columns: list[str
     side = F.when(F.col("r_key").isNull(), "LEFT_ONLY").when(F.col("l_key").isNull(), "RIGHT_ONLY").otherwise("CHANGED")
     out = both.select(F.coalesce("l_key", "r_key").alias(key), side.alias("kind"), F.explode(cells).alias("c")).where((F.col("kind") != "CHANGED") | F.col("c.differs"))
     changed = F.col("kind") == "CHANGED"
-    return out.select(key, "kind", F.when(changed, F.col("c.column")).alias("column")).distinct()
+    shown = lambda c, name: F.when(changed, F.col(f"c.{c}")).alias(name)
+    return out.select(key, "kind", shown("column", "column"), shown("left", "left_value"), shown("right", "right_value")).distinct()
 
 
 def risk_factors(rows: DataFrame, cfg: Config = DEFAULT) -> DataFrame:

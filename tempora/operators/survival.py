@@ -146,3 +146,31 @@ def detail(curves: DataFrame, horizons: tuple[int, ...], step: int = 30, limit:
     sampled_ = F.transform(days, lambda q: F.struct(q.alias("t"), at(q, "s").alias("s")))
     risks = {f"{name}_{h}": F.round(1 - at(F.lit(h), v), 6) for h in horizons for name, v in (("raw", "raw"), ("risk", "s"))}
     return points.select("item", *[c.alias(n) for n, c in risks.items()], *[first(v).alias(n) for n, v in THRESHOLDS.items()], sampled_.alias("curve"))
+
+
+def day_calibration(curves: DataFrame, lives: DataFrame, days: list[int]) -> DataFrame:
+    """(day, known, predicted, alive): mean predicted survival of the lives whose state at a day is known, and the share of them alive then.
+
+    lives: (item, duration, event), of items with a curve. One that was censored before a day is not known there. What changes the sums, a curve's steps and the
+    ends of lives, is summed along time once: no row meets a day.
+    """
+    own = Window.partitionBy("item").orderBy("t")
+    steps = curves.select("item", F.col("t").cast("double").alias("t"), (F.coalesce(F.lag("s").over(own), F.lit(1.0)) - F.col("s")).alias("down"), (F.row_number().over(own) == 1).alias("first"))
+    ends = lives.select(F.col("item").alias("_i"), F.col("duration").cast("double").alias("end"), F.col("event").cast("boolean").alias("event"))
+    met = steps.join(ends, F.col("item") == F.col("_i"))
+    # a curve is 1 up to its first time, which is why that step counts after its day; censored lives leave after their end
+    late = F.col("first").cast("int")
+    counts = F.col("event") | (F.struct("t", late.alias("k")) <= F.struct(F.col("end").alias("t"), F.lit(0).alias("k")))
+    met = met.where(counts)
+    zero = F.lit(0.0)
+    downs = met.select("t", (2 * late).alias("kind"), (-F.col("down")).alias("ds"), zero.alias("dk"), zero.alias("da"))
+    left = met.groupBy("_i").agg(F.sum("down").alias("gone"))
+    out = ends.join(left.withColumnRenamed("_i", "_l"), F.col("_i") == F.col("_l"), "left").where("end IS NOT NULL")
+    rest = 1 - F.coalesce("gone", zero)
+    gone = out.select(F.col("end").alias("t"), F.lit(2).alias("kind"), F.when(F.col("event"), zero).otherwise(-rest).alias("ds"), F.when(F.col("event"), zero).otherwise(-1.0).alias("dk"), F.lit(-1.0).alias("da"))
+    moves = downs.unionByName(gone).groupBy("t", "kind").agg(*[F.sum(c).alias(c) for c in ("ds", "dk", "da")])
+    asked = curves.sparkSession.createDataFrame([(float(d),) for d in days], "t double").select("t", F.lit(1).alias("kind"))
+    seen = order.sums_before(moves.unionByName(asked, allowMissingColumns=True), [F.col("t"), F.col("kind")], {f"_{c}": F.coalesce(c, zero) for c in ("ds", "dk", "da")}).where("kind = 1")
+    every = curves.select(F.col("item").alias("_c")).distinct().join(ends.where("end IS NOT NULL"), F.col("_c") == F.col("_i")).agg(F.count("*").alias("n"))
+    known = F.col("n") + F.col("_dk")
+    return seen.crossJoin(F.broadcast(every)).select(F.col("t").cast("int").alias("day"), F.round(known).cast("long").alias("known"), F.try_divide(F.col("n") + F.col("_ds"), known).alias("predicted"), F.try_divide(F.col("n") + F.col("_da"), known).alias("alive"))  # one row

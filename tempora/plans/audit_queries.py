@@ -54,23 +54,31 @@ def _(spark, d):
     return audit.text_snapshot(features.fleet_snapshot(x.cycles, x.episodes, 90), "fleet")
 
 
-@query("snapshot_usable", sql("SELECT TRUE AS same_boundary, covered, covered >= 0.8 AS usable FROM (SELECT count(s.model) / greatest(count(*), 1) AS covered FROM (SELECT DISTINCT model FROM grid WHERE model IS NOT NULL) k LEFT JOIN (SELECT model FROM cycle WHERE in_cohort AND model IS NOT NULL UNION SELECT model FROM episode WHERE in_cohort AND model IS NOT NULL AND onset_us >= (SELECT data_end_us FROM boundary) - 90 * 86400000000 AND onset_us < (SELECT data_end_us FROM boundary)) s ON s.model = k.model)", **GRID))
+#: Until when the earlier of the two stored data ends saw events: 1998-01-01.
+EARLIER = 883612800000000
+ENDS = {"ends": f"SELECT 'now' AS name, data_end_us FROM boundary UNION ALL SELECT 'earlier', max(created_us) FROM op WHERE created_us < {EARLIER}"}
+
+
+def ends(x: Layers):
+    """Data ends as they were stored with a snapshot: of today's events, and of those before a date."""
+    early = x.op.where(F.col("created_us") < EARLIER).agg(F.max("created_us").alias("data_end_us"))
+    return stored(silver.data_boundary(x.sem).withColumn("name", F.lit("now")).unionByName(early.withColumn("name", F.lit("earlier"))), "as-of")
+
+
+@query("snapshot_usable", sql("SELECT name, data_end_us = (SELECT data_end_us FROM boundary) AS same_boundary, covered, data_end_us = (SELECT data_end_us FROM boundary) AND covered >= 0.8 AS usable FROM ends, (SELECT count(s.model) / greatest(count(*), 1) AS covered FROM (SELECT DISTINCT model FROM grid WHERE model IS NOT NULL) k LEFT JOIN (SELECT model FROM cycle WHERE in_cohort AND model IS NOT NULL UNION SELECT model FROM episode WHERE in_cohort AND model IS NOT NULL AND onset_us >= (SELECT data_end_us FROM boundary) - 90 * 86400000000 AND onset_us < (SELECT data_end_us FROM boundary)) s ON s.model = k.model)", **GRID, **ENDS))
 def _(spark, d):
     x = Layers(spark, d)
-    end = silver.data_boundary(x.sem)
-    return audit.usable_snapshot(audit.text_snapshot(features.fleet_snapshot(x.cycles, x.episodes, 90), "fleet"), x.grid, "model", stored(end, "as-of"), end)
+    return audit.usable_snapshot(audit.text_snapshot(features.fleet_snapshot(x.cycles, x.episodes, 90), "fleet"), x.grid, "model", ends(x), silver.data_boundary(x.sem))
 
 
-@query("freshness", sql("SELECT max(data_end_us) AS was_us, max(data_end_us) AS now_us, FALSE AS moved FROM boundary"))
+@query("freshness", sql("SELECT name, data_end_us AS was_us, (SELECT data_end_us FROM boundary) AS now_us, data_end_us <> (SELECT data_end_us FROM boundary) AS moved FROM ends", **ENDS))
 def _(spark, d):
     """Has the data's end moved since it was stored?"""
     x = Layers(spark, d)
-    was = stored(silver.data_boundary(x.sem), "as-of").select(F.col("data_end_us").alias("was_us"))
-    now = silver.data_boundary(x.sem).select(F.col("data_end_us").alias("now_us"))
-    return was.crossJoin(F.broadcast(now)).withColumn("moved", ~F.col("was_us").eqNullSafe(F.col("now_us")))  # one row each
+    return audit.freshness(ends(x), silver.data_boundary(x.sem))
 
 
-@query("golden_tables", sql("SELECT 'cycle' AS _table, item, cycle_id, CAST(NULL AS BIGINT) AS onset_journey_id FROM cycle UNION ALL SELECT 'episode', item, NULL, onset_journey_id FROM episode"))
+@query("golden_tables", sql("SELECT 'cycle' AS _table, item, cycle_id, CAST(NULL AS BIGINT) AS onset_journey_id FROM cycle UNION ALL SELECT 'episode', item, NULL, onset_journey_id FROM episode").replace(" AS (", " AS MATERIALIZED ("))  # two layers of one journal
 def _(spark, d):
     x = Layers(spark, d)
     return audit.golden({"cycle": x.cycles.select("item", "cycle_id"), "episode": x.episodes.select("item", "onset_journey_id")}, "golden").select(F.col("_table").cast("string").alias("_table"), "item", "cycle_id", "onset_journey_id")

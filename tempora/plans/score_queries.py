@@ -202,6 +202,25 @@ def _(spark, d):
     return metrics.median_error(m)
 
 
+_DAYS = list(range(0, 241, 20))
+
+
+@query(
+    "day_calibration",
+    plain(
+        """SELECT day, count(y) AS known, avg(CASE WHEN y IS NOT NULL THEN s END) AS predicted, CAST(avg(y) AS DOUBLE) AS alive FROM (
+        SELECT d.day, l.item, CASE WHEN l.duration >= d.day THEN 1 WHEN l.event THEN 0 END AS y, CASE WHEN d.day <= (SELECT min(t) FROM c) THEN 1.0 ELSE (SELECT arg_max(c.s, c.t) FROM c WHERE c.item = l.item AND c.t <= d.day) END AS s
+        FROM unnest(range(0, 241, 20)) d(day), l) GROUP BY day""",
+        c=CURVE,
+        l="SELECT DISTINCT item, CAST(item % 190 + 1 AS DOUBLE) AS duration, item % 3 <> 0 AS event FROM c",
+    ),
+)
+def _(spark, d):
+    c = curves(spark, d)
+    lives = c.select("item").distinct().select("item", (F.col("item") % 190 + 1).cast("double").alias("duration"), (F.col("item") % 3 != 0).alias("event"))
+    return survival.day_calibration(c, lives, _DAYS)
+
+
 @query("monotonicity_violations", plain("SELECT count(*) FILTER (r30 > r60 OR r60 > r90) AS violations, count(*) AS n FROM (SELECT item, max(r) FILTER (t = 30) AS r30, max(r) FILTER (t = 60) AS r60, max(r) FILTER (t = 90) AS r90 FROM (SELECT item, t, s * (1 - s) AS r FROM c) GROUP BY item)", c=CURVE))
 def _(spark, d):
     at = lambda h: F.max(F.when(F.col("t") == h, F.col("s") * (1 - F.col("s")))).alias(f"r{h}")
@@ -293,7 +312,8 @@ def _(spark, d):
 @query(
     "snapshot_diff",
     plain(
-        """SELECT coalesce(a.item, b.item) AS item, CASE WHEN b.item IS NULL THEN 'LEFT_ONLY' WHEN a.item IS NULL THEN 'RIGHT_ONLY' ELSE 'CHANGED' END AS kind, CASE WHEN a.item IS NOT NULL AND b.item IS NOT NULL THEN 'failure_probability' END AS "column"
+        """SELECT coalesce(a.item, b.item) AS item, CASE WHEN b.item IS NULL THEN 'LEFT_ONLY' WHEN a.item IS NULL THEN 'RIGHT_ONLY' ELSE 'CHANGED' END AS kind, CASE WHEN a.item IS NOT NULL AND b.item IS NOT NULL THEN 'failure_probability' END AS "column",
+        CASE WHEN a.item IS NOT NULL AND b.item IS NOT NULL THEN CAST(a.failure_probability AS VARCHAR) END AS left_value, CASE WHEN a.item IS NOT NULL AND b.item IS NOT NULL THEN CAST(b.failure_probability AS VARCHAR) END AS right_value
         FROM (SELECT * FROM p WHERE c_custkey % 11 <> 0) a FULL JOIN (SELECT item, failure_probability + CASE WHEN c_custkey % 5 = 0 THEN 0.001 ELSE 0 END AS failure_probability FROM p WHERE c_custkey % 13 <> 0) b ON a.item = b.item
         WHERE a.item IS NULL OR b.item IS NULL OR abs(a.failure_probability - b.failure_probability) > 1e-9 * greatest(abs(a.failure_probability), abs(b.failure_probability))""",
         p=PARTS,
