@@ -78,7 +78,7 @@ def _(spark, d):
     return audit.freshness(ends(x), silver.data_boundary(x.sem))
 
 
-@query("golden_tables", sql("SELECT 'cycle' AS _table, item, cycle_id, CAST(NULL AS BIGINT) AS onset_journey_id FROM cycle UNION ALL SELECT 'episode', item, NULL, onset_journey_id FROM episode").replace(" AS (", " AS MATERIALIZED ("))  # two layers of one journal
+@query("golden_tables", sql("SELECT 'cycle' AS _table, item, cycle_id, CAST(NULL AS BIGINT) AS onset_journey_id FROM cycle UNION ALL SELECT 'episode', item, NULL, onset_journey_id FROM episode", held=True))
 def _(spark, d):
     x = Layers(spark, d)
     return audit.golden({"cycle": x.cycles.select("item", "cycle_id"), "episode": x.episodes.select("item", "onset_journey_id")}, "golden").select(F.col("_table").cast("string").alias("_table"), "item", "cycle_id", "onset_journey_id")

@@ -93,7 +93,7 @@ CTE: dict[str, str] = {
 }
 
 
-def sql(select: str, **more: str) -> str:
-    """A final select over the expressions above and those given."""
+def sql(select: str, held: bool = False, **more: str) -> str:
+    """A final select over the expressions above and those given; held: each is worked out once."""
     parts = CTE | more
-    return "WITH " + ",\n".join(f"{k} AS ({v})" for k, v in parts.items()) + "\n" + select
+    return "WITH " + ",\n".join(f"{k} AS {'MATERIALIZED ' * held}({v})" for k, v in parts.items()) + "\n" + select
