@@ -104,8 +104,8 @@ RULES = (
     Rule("symbols", lambda: 100 * F.col("n_symbols") > 20 * F.col("n_words")),
     Rule("repeated_lines", lambda: 100 * F.col("n_dup_lines") > 50 * F.col("q_lines")),
     Rule("no_letters", lambda: 100 * F.regexp_count("q_text", F.lit(r"[^\x20\x09-\x0D\p{L}]*\p{L}[^\x20\x09-\x0D]*")) < 60 * F.col("n_words")),
-    Rule("ellipses", lambda: 100 * F.regexp_count("q_text", F.lit("(?m)(\\.\\.\\.|…)[\\x20\\x09\\x0D]*$")) > 30 * F.col("q_lines")),
-    Rule("bullets", lambda: 100 * F.regexp_count("q_text", F.lit("(?m)^[\\x20\\x09]*[-*•‣●]")) > 90 * F.col("q_lines")),
+    Rule("ellipses", lambda: 100 * F.regexp_count("q_text", F.lit("(?md)(\\.\\.\\.|…)[\\x20\\x09\\x0D]*$")) > 30 * F.col("q_lines")),
+    Rule("bullets", lambda: 100 * F.regexp_count("q_text", F.lit("(?md)^[\\x20\\x09]*[-*•‣●]")) > 90 * F.col("q_lines")),
     Rule("filler", lambda: F.contains(F.lower("q_text"), F.lit("lorem ipsum"))),
 )
 
@@ -154,3 +154,20 @@ def cascade(docs: DataFrame, rules: Sequence[Rule] = RULES, base: Sequence[Rule]
 def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = cascade(common.documents(spark, sf_dir))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+ORACLE = r"""
+    WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+    cut AS (SELECT rid, doc_id, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+    wins AS (SELECT rid, unnest(range(1, len(w) - 3)) AS i, unnest(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k : k + 4], ' '))) AS win FROM cut WHERE len(w) >= 5),
+    twice AS (SELECT rid, win FROM wins GROUP BY ALL HAVING count(*) > 1),
+    words AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + 5)) AS p FROM wins JOIN twice USING (rid, win)) GROUP BY rid),
+    m AS (SELECT doc_id, t, w, l, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+        CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words FROM cut LEFT JOIN words USING (rid)),
+    b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+        NOT base_failed AND NOT (word_chars < 2 * n_words OR word_chars > 15 * n_words OR 100 * n_symbols > 20 * n_words OR 100 * n_dup_lines > 50 * len(l)
+            OR 100 * len(list_filter(w, lambda x: regexp_matches(x, '\pL'))) < 60 * n_words OR 100 * len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '(\.\.\.|…)[ \t\r]*$'))) > 30 * len(l)
+            OR 100 * len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '^[ \t]*[-*•‣●]'))) > 90 * len(l) OR contains(lower(t), 'lorem ipsum')) AS kept
+    FROM b
+"""

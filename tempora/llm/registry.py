@@ -26,6 +26,7 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op1_mtree": mtree.ORACLE,
+    "op13_quality": quality.ORACLE,
     "op9_warc": """
         WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS digest, octet_length(encode(coalesce(html, ''))) AS size FROM pages),
         g AS (SELECT digest, max(page_id) AS keeper FROM p WHERE size >= 1000 GROUP BY digest)
