@@ -46,7 +46,6 @@ UNCLASSED = [
 #: Capitals that the tokenizer lowers and Python's tables may not know yet: first, last, first small letter.
 LOWERED = [(0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5), (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x19B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB)]
 SMALL = {c: c - a + small for a, z, small in LOWERED for c in range(a, z + 1)} | {ord("Σ"): ord("σ")}  # the tokenizer knows no final sigma
-_SEPARATOR = re.compile("[\x1c-\x1f]").search
 _RARE = re.compile(f"[{chr(UNCLASSED[0][0])}-\U0010ffff]").search
 _CAPITAL = re.compile("[" + "".join(f"{chr(a)}-{chr(z)}" for a, z, _ in LOWERED) + "Σ]").search
 _NEWER = "[" + "".join(f"\\U{a:08x}-\\U{z:08x}" for a, z in UNCLASSED) + "]"
@@ -78,17 +77,18 @@ class WordBpe:
         self.split_rare = regex.compile(re.sub(r"\\p\{[LN]\}", lambda m: f"[{m[0]}--{_NEWER}]", pattern), regex.V1).findall
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else GONE
         self.mark = os.path.commonprefix(list(self.special)) if self.special else "\0"
-        self.longest = max(map(len, self.ids))
         self.chars = byte_chars()
         self.sure: set[str] = set()
+        self.reach: dict[str, int] = {}  # of two characters, the longest sure token that they begin
         self.pairs: dict[int, bool] = {}
-        self.table: dict[str, tuple[bytes, str]] = {}  # of runs without white space
-        self.spelled: dict[str, tuple[bytes, str]] = {}  # of words
+        self.table: dict[str, tuple[bytes, str]] = {}
         self.proposed = self.failed = 0
 
     def prove(self) -> WordBpe:
         """Finds the vocabulary strings that encode to themselves: only those are proposed."""
         self.sure = {t for t in self.ids if len(self.merge(t)) == 1}
+        for t in self.sure:
+            self.reach[t[:2]] = max(self.reach.get(t[:2], 1), len(t))
         return self
 
     def merge(self, word: str) -> list[str]:
@@ -129,14 +129,14 @@ class WordBpe:
 
     def propose(self, word: str) -> list[str] | None:
         """Greedy longest match; None if it comes to a stop."""
-        out, at, n, sure = [], 0, len(word), self.sure
+        out, at, n, sure, reach = [], 0, len(word), self.sure, self.reach.get
         while at < n:
-            for end in range(min(n, at + self.longest), at, -1):
-                if word[at:end] in sure:
+            for end in range(min(n, at + reach(word[at : at + 2], 1)), at, -1):
+                if (token := word[at:end]) in sure:
                     break
             else:
                 return None
-            out.append(word[at:end])
+            out.append(token)
             at = end
         return out
 
@@ -164,7 +164,8 @@ class WordBpe:
     def learn(self, words: list[str]) -> dict[str, tuple[bytes, str]]:
         """ids and spelling of words: propose, verify all adjacent pairs at once, merge those that fail."""
         chars, ids = self.chars, self.ids
-        spelled = ["".join(map(chars.__getitem__, w.encode())) + END for w in words]
+        # printable ASCII stands for itself
+        spelled = [(w if w.isascii() and w.isprintable() else "".join(map(chars.__getitem__, w.encode()))) + END for w in words]
         tokens = [self.propose(w) for w in spelled]
         counts = np.fromiter((len(t) if t else 0 for t in tokens), np.int64, len(tokens))
         flat = np.fromiter((ids[x] for t in tokens if t for x in t), np.int64, int(counts.sum()))
@@ -189,22 +190,6 @@ class WordBpe:
     def words(self, low: str) -> list[str]:
         return (self.split_rare if not low.isascii() and _RARE(low) and _UNCLASSED(low) else self.split)(low)
 
-    def join(self, chunks: list[str]) -> dict[str, tuple[bytes, str]]:
-        """ids and spelling of runs without white space, from those of their words. Those of bounded length go to the table."""
-        cut = [self.words(c) for c in chunks]
-        known, every = self.spelled, {w for ws in cut for w in ws}
-        new = self.learn(list(every.difference(known)))
-        new |= {w: known[w] for w in every if w in known}
-        if len(known) > common.CACHE_TOKENS:
-            known.clear()
-        known.update((w, x) for w, x in new.items() if len(w) <= common.CACHE_LENGTH)
-        out = {}
-        for c, ws in zip(chunks, cut, strict=True):
-            found = [new[w] for w in ws]
-            out[c] = b"".join([x[0] for x in found]), " ".join([x[1] for x in found])
-        self.table.update((c, x) for c, x in out.items() if len(c) <= common.CACHE_LENGTH)
-        return out
-
     def encode(self, text: str) -> tuple[bytes, str]:
         """ids as little-endian unsigned 32-bit integers, and the decoded text."""
         ids, out = [], []
@@ -213,25 +198,22 @@ class WordBpe:
                 ids.append(struct.pack("<I", self.special[part]))
                 out.append(part)
                 continue
-            # no word crosses white space; the separators that Python takes for such are none here
-            low = self.lowered(part)
-            chunks = [low] if _SEPARATOR(low) else low.split()
-            if not chunks:
+            words = self.words(self.lowered(part))
+            if not words:
                 continue
             known = self.table
-            missing = set(chunks).difference(known)
+            missing = set(words).difference(known)
             if missing:
                 if len(known) > common.CACHE_TOKENS:
                     known.clear()
-                    missing = set(chunks)
-                new = self.join(list(missing))
-                found = [known[c] if c in known else new[c] for c in chunks]
+                    missing = set(words)
+                new = self.learn(list(missing))
+                known.update((w, x) for w, x in new.items() if len(w) <= common.CACHE_LENGTH)
+                found = [known[w] if w in known else new[w] for w in words]
             else:
-                found = list(map(known.__getitem__, chunks))
-            pieces = b"".join([x[0] for x in found])
-            if pieces:
-                ids.append(pieces)
-                out.append(" ".join([x[1] for x in found if x[0]]))
+                found = list(map(known.__getitem__, words))
+            ids.append(b"".join([x[0] for x in found]))
+            out.append(" ".join([x[1] for x in found]))
         return b"".join(ids), " ".join(out)
 
 
