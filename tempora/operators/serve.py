@@ -9,26 +9,26 @@ from ..config import DEFAULT, Config
 from ..functions import expr as X
 from . import order
 
-#: Priority and action of each pair of failure and scrap level; no scrap level where the part cannot be judged.
+#: Priority, action and message of each pair of failure and scrap level; no scrap level where the part cannot be judged.
 DECISIONS = [
-    ("HIGH", "HIGH", "CRITICAL", "INSPECT_AND_PREPARE_REPLACEMENT"),
-    ("HIGH", "MEDIUM", "HIGH", "PRIORITIZE_INSPECTION"),
-    ("HIGH", "LOW", "HIGH", "PRIORITIZE_INSPECTION"),
-    ("MEDIUM", "HIGH", "MEDIUM", "SCHEDULE_INSPECTION_AND_REVIEW_STOCK"),
-    ("MEDIUM", "MEDIUM", "MEDIUM", "SCHEDULE_INSPECTION"),
-    ("MEDIUM", "LOW", "MEDIUM", "SCHEDULE_INSPECTION"),
-    ("LOW", "HIGH", "LOW", "MONITOR"),
-    ("LOW", "MEDIUM", "LOW", "MONITOR"),
-    ("LOW", "LOW", "LOW", "MONITOR"),
-    ("HIGH", None, "HIGH", "PRIORITIZE_INSPECTION"),
-    ("MEDIUM", None, "MEDIUM", "SCHEDULE_INSPECTION"),
-    ("LOW", None, "LOW", "MONITOR"),
+    ("HIGH", "HIGH", "CRITICAL", "INSPECT_AND_PREPARE_REPLACEMENT", "Risiko kerusakan tinggi dan kecil kemungkinan bisa diperbaiki bila rusak. Periksa lebih awal dan siapkan unit pengganti."),
+    ("HIGH", "MEDIUM", "HIGH", "PRIORITIZE_INSPECTION", "Risiko kerusakan tinggi. Dahulukan pemeriksaan, dan cek ketersediaan unit pengganti."),
+    ("HIGH", "LOW", "HIGH", "PRIORITIZE_INSPECTION", "Risiko kerusakan tinggi, tetapi bila rusak umumnya masih bisa diperbaiki. Dahulukan pemeriksaan."),
+    ("MEDIUM", "HIGH", "MEDIUM", "SCHEDULE_INSPECTION_AND_REVIEW_STOCK", "Risiko kerusakan sedang, tetapi bila rusak kecil kemungkinan bisa diperbaiki. Jadwalkan pemeriksaan dan tinjau stok pengganti."),
+    ("MEDIUM", "MEDIUM", "MEDIUM", "SCHEDULE_INSPECTION", "Risiko kerusakan sedang. Jadwalkan pemeriksaan pada siklus terdekat."),
+    ("MEDIUM", "LOW", "MEDIUM", "SCHEDULE_INSPECTION", "Risiko kerusakan sedang. Jadwalkan pemeriksaan pada siklus terdekat."),
+    ("LOW", "HIGH", "LOW", "MONITOR", "Risiko kerusakan rendah. Belum perlu tindakan, tetapi bila nanti rusak kemungkinan besar tidak bisa diperbaiki."),
+    ("LOW", "MEDIUM", "LOW", "MONITOR", "Risiko kerusakan rendah. Cukup dipantau."),
+    ("LOW", "LOW", "LOW", "MONITOR", "Risiko kerusakan rendah. Cukup dipantau."),
+    ("HIGH", None, "HIGH", "PRIORITIZE_INSPECTION", "Risiko kerusakan tinggi. Dahulukan pemeriksaan. Risiko scrap belum bisa dinilai untuk PART ini."),
+    ("MEDIUM", None, "MEDIUM", "SCHEDULE_INSPECTION", "Risiko kerusakan sedang. Jadwalkan pemeriksaan. Risiko scrap belum bisa dinilai untuk PART ini."),
+    ("LOW", None, "LOW", "MONITOR", "Risiko kerusakan rendah. Cukup dipantau. Risiko scrap belum bisa dinilai untuk PART ini."),
 ]
 
 
 def recommended(scores: DataFrame) -> DataFrame:
-    """Adds priority, action and is_replacement_candidate; an unknown level is an error."""
-    table = scores.sparkSession.createDataFrame(DECISIONS, "_f string, _s string, priority string, action string")
+    """Adds priority, action, message and is_replacement_candidate; an unknown level is an error."""
+    table = scores.sparkSession.createDataFrame(DECISIONS, "_f string, _s string, priority string, action string, message string")
     out = scores.join(F.broadcast(table), (F.col("failure_level") == F.col("_f")) & F.col("scrap_level").eqNullSafe(F.col("_s")), "left")  # 12 rows
     known = F.when(F.col("priority").isNull(), F.raise_error(F.lit("unknown risk level"))).otherwise(F.col("priority"))
     candidate = F.col("failure_level").isin("MEDIUM", "HIGH") & (F.coalesce("scrap_level", F.lit("")) == "HIGH")
@@ -56,6 +56,14 @@ def page(scores: DataFrame, offset: int, limit: int) -> DataFrame:
     return scores.orderBy("rank").offset(offset).limit(limit)
 
 
+def page_with_total(scores: DataFrame, offset: int, limit: int) -> DataFrame:
+    """One row: total (rows before the page is cut), returned, offset, items (the page's rows as structs in order of rank); a page beyond the end is empty and keeps its total."""
+    rows = F.struct("rank", *[c for c in scores.columns if c != "rank"])
+    items = page(scores, offset, limit).agg(F.sort_array(F.collect_list(rows)).alias("items"))  # at most limit rows
+    total = scores.agg(F.count("*").alias("total"))
+    return total.crossJoin(F.broadcast(items)).select("total", F.size("items").alias("returned"), F.lit(offset).alias("offset"), "items")  # one row each
+
+
 def summary(scores: DataFrame) -> DataFrame:
     levels = [F.count_if(F.col("failure_level") == v).alias(f"failure_{v.lower()}") for v in ("HIGH", "MEDIUM", "LOW")]
     scrap = [F.count_if(F.coalesce("scrap_level", F.lit("")) == v).alias(f"scrap_{v.lower()}") for v in ("HIGH", "MEDIUM", "LOW")]
