@@ -25,4 +25,4 @@ def query(name: str, oracle: str | None = None):
 def load() -> None:
     """Imports the modules that register queries."""
     from . import silver_queries, feature_queries, score_queries  # noqa: F401, I001
-    from . import audit_queries, model_queries, serving_queries, stream_queries, survival_queries  # noqa: F401
+    from . import audit_queries, evaluation_queries, model_queries, serving_queries, stream_queries, survival_queries  # noqa: F401
