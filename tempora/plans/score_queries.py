@@ -279,6 +279,32 @@ def _(spark, d):
     return serve.page(serve.filtered(r, priority="high", part="1"), 10, 20).select("item", F.col("rank").cast("long").alias("rank"))
 
 
+_TOTAL = "SELECT total, CAST(returned AS INTEGER) AS returned, item, rank FROM (SELECT *, count(*) OVER () AS returned FROM (SELECT *, count(*) OVER () AS total FROM (SELECT *, row_number() OVER (ORDER BY failure_probability DESC, item) AS rank FROM w) WHERE priority = 'HIGH' ORDER BY rank LIMIT 20 OFFSET 10))"
+
+
+@query("page_total", plain(_TOTAL, **SERVED))
+def _(spark, d):
+    """A page of the filtered list, each row with the number of rows in the list and on the page."""
+    r = serve.ranked(served(spark, d), "failure_probability").select("item", F.col("rank").cast("long").alias("rank"), "priority")
+    return serve.page_with_total(r.where("priority = 'HIGH'").drop("priority"), 10, 20).select("total", "returned", F.explode("items").alias("i")).select("total", "returned", "i.item", "i.rank")
+
+
+_SAYS = """CASE failure_level WHEN 'HIGH' THEN 'Risiko kerusakan tinggi' WHEN 'MEDIUM' THEN 'Risiko kerusakan sedang' ELSE 'Risiko kerusakan rendah' END || CASE
+    WHEN scrap_level IS NULL THEN CASE failure_level WHEN 'HIGH' THEN '. Dahulukan pemeriksaan' WHEN 'MEDIUM' THEN '. Jadwalkan pemeriksaan' ELSE '. Cukup dipantau' END || '. Risiko scrap belum bisa dinilai untuk PART ini.'
+    WHEN failure_level = 'HIGH' AND scrap_level = 'HIGH' THEN ' dan kecil kemungkinan bisa diperbaiki bila rusak. Periksa lebih awal dan siapkan unit pengganti.'
+    WHEN failure_level = 'HIGH' AND scrap_level = 'MEDIUM' THEN '. Dahulukan pemeriksaan, dan cek ketersediaan unit pengganti.'
+    WHEN failure_level = 'HIGH' THEN ', tetapi bila rusak umumnya masih bisa diperbaiki. Dahulukan pemeriksaan.'
+    WHEN failure_level = 'MEDIUM' AND scrap_level = 'HIGH' THEN ', tetapi bila rusak kecil kemungkinan bisa diperbaiki. Jadwalkan pemeriksaan dan tinjau stok pengganti.'
+    WHEN failure_level = 'MEDIUM' THEN '. Jadwalkan pemeriksaan pada siklus terdekat.'
+    WHEN scrap_level = 'HIGH' THEN '. Belum perlu tindakan, tetapi bila nanti rusak kemungkinan besar tidak bisa diperbaiki.'
+    ELSE '. Cukup dipantau.' END"""
+
+
+@query("decision_message", plain(f"SELECT item, {_SAYS} AS message FROM w", **SERVED))
+def _(spark, d):
+    return served(spark, d).select("item", "message")
+
+
 _level = ", ".join(f"count(*) FILTER (failure_level = '{v}') AS failure_{v.lower()}, count(*) FILTER (scrap_level = '{v}') AS scrap_{v.lower()}" for v in ("HIGH", "MEDIUM", "LOW"))
 
 
