@@ -13,6 +13,10 @@ the symmetric difference. Within a region, pivots make Voronoi cells of that spa
 inequality replicates documents to cells whose pivot is within twice the greatest allowed distance
 farther; cells join recursively, and what their bounds leave is verified on the whole sets.
 
+Near copies share most of their regions. A pair is compared in the first of them only, as far as the first few regions of
+both tell: each row carries those of its document. In a pair's first region the shingles before it are in one set alone,
+which bounds the common ones.
+
 Defined results: null and empty texts, and those without words, have an empty set, are linked with
 nothing and are their own component; a document with fewer words than a shingle has one shingle; a row
 without id joins its class but links none; rows that repeat an id share its component; an empty table
@@ -43,6 +47,8 @@ PIVOTS = 8
 COARSE = 16
 LEAF_PAIRS = 200_000
 JOINED_ROWS = 20_000
+#: Regions, the first in the order, that each row of a document names: a pair that shares one of them is left to it.
+FIRST = 4
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -140,10 +146,24 @@ def _close(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent
     return (100 * small >= percent * large) & ((100 + percent) * gap <= (100 - percent) * (na + nb))
 
 
-def _leaf(sk: np.ndarray, coarse: np.ndarray, n: np.ndarray, group: np.ndarray, percent: int, cell: np.ndarray, rows: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _here(x: np.ndarray, y: np.ndarray, n: np.ndarray, percent: int, pos: np.ndarray, first: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Of each pair of rows of one region: may this be the first region that they share, and may the sets reach the similarity if it is?
+
+    pos shingles come before the region's in the row's set; first are its document's first regions, of which `known` come before this one.
+    What is refused here has met in an earlier region, or is too far apart: at the first common region none of the pos is common.
+    """
+    good = (100 + percent) * np.minimum(n[x] - pos[x], n[y] - pos[y]) >= percent * (n[x] + n[y])
+    for a in range(first.shape[1]):
+        for b in range(first.shape[1]):
+            good &= (first[x, a] != first[y, b]) | (known[x] <= a) | (known[y] <= b)
+    return good
+
+
+def _leaf(sk: np.ndarray, coarse: np.ndarray, n: np.ndarray, group: np.ndarray, percent: int, cell: np.ndarray, rows: np.ndarray, left: np.ndarray, right: np.ndarray, place: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (one row marked left, one marked right, of different groups) within each cell that the bounds leave, all cells at once.
 
-    rows are row numbers, sorted by (cell, n); a row meets those after it in its cell that are not too large for it.
+    rows are row numbers, sorted by (cell, n); a row meets those after it in its cell that are not too large for it. With a place
+    (pos, first, known), a pair is left to the first region that it shares.
     """
     big = np.int64(int(n.max(initial=0)) * 100 // percent + 2)
     key = cell * big + n[rows]
@@ -161,6 +181,9 @@ def _leaf(sk: np.ndarray, coarse: np.ndarray, n: np.ndarray, group: np.ndarray,
         x, y = rows[i], rows[j]
         good = either & (group[x] != group[y])
         x, y = x[good], y[good]
+        if place is not None:
+            good = _here(x, y, n, percent, *place)
+            x, y = x[good], y[good]
         for table in (coarse, sk):
             gap = np.abs(table[x].astype(np.int16) - table[y].astype(np.int16)).sum(axis=1, dtype=np.int32)
             good = (100 + percent) * gap.astype(np.int64) <= (100 - percent) * (n[x] + n[y])
@@ -201,7 +224,7 @@ def _cells(sk: np.ndarray, n: np.ndarray, percent: int, left: np.ndarray, right:
     return [(left, right)]
 
 
-def _pairs_of(sk: np.ndarray, n: np.ndarray, group: np.ndarray, percent: int, blocks: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+def _pairs_of(sk: np.ndarray, n: np.ndarray, group: np.ndarray, percent: int, blocks: list[tuple[np.ndarray, np.ndarray]], place: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows of different groups that the bounds leave; blocks are (left rows, right rows), large ones cut into cells first."""
     cells = [c for a, b in blocks for c in (_cells(sk, n, percent, a, b) if len(a) + len(b) > CELL else [(a, b)])]
     rows, cell, left, right = [], [], [], []
@@ -214,7 +237,7 @@ def _pairs_of(sk: np.ndarray, n: np.ndarray, group: np.ndarray, percent: int, bl
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     rows, cell, left, right = (np.concatenate(x) for x in (rows, cell, left, right))
     order = np.lexsort((n[rows], cell))
-    return _leaf(sk, _folded(sk), n, group, percent, cell[order], rows[order], left[order], right[order])
+    return _leaf(sk, _folded(sk), n, group, percent, cell[order], rows[order], left[order], right[order], place)
 
 
 def _join_regions(percent: int):
@@ -224,6 +247,7 @@ def _join_regions(percent: int):
         """The pairs of several whole regions (blocks), which end at `cuts`."""
         ids, n, group = (rows.column(c).to_numpy() for c in ("id", "n", "comp"))
         mine = rows.column("left").to_numpy()
+        place = rows.column("pos").to_numpy(), np.stack([rows.column(f"first{k}").to_numpy() for k in range(FIRST)], 1), rows.column("known").to_numpy()
         sk = _bytes(rows.column("sketch")).reshape(len(ids), SLICES)
         at = [0, *cuts]
         sizes = np.diff(at)
@@ -236,14 +260,14 @@ def _join_regions(percent: int):
             keep = np.flatnonzero(small[cell])
             order = keep[np.lexsort((n[keep], cell[keep]))]
             every = np.ones(len(order), bool)
-            found.append(_leaf(sk, _folded(sk), n, group, percent, cell[order], order, every, every))
+            found.append(_leaf(sk, _folded(sk), n, group, percent, cell[order], order, every, every, place))
         blocks = []
         for k in np.flatnonzero(~small).tolist():
             r = np.arange(at[k], at[k + 1])
             a = r if whole[k] else r[mine[r]]
             blocks.append((a, a if whole[k] else r[~mine[r]]))
         if blocks:
-            found.append(_pairs_of(sk, n, group, percent, blocks))
+            found.append(_pairs_of(sk, n, group, percent, blocks, place))
         x, y = (np.concatenate([f[i] for f in found]) for i in (0, 1))
         low, high = np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
         order = np.lexsort((high, low))
@@ -337,22 +361,31 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     keepers = common.stored(keepers, "keepers")
     first = keepers.select(F.col("sig").alias("c_sig"), "rep")
     classes = filled.join(first, (F.col("sig") == F.col("c_sig")) & (F.col("id") == F.col("rep")), "left_semi")
-    homes = classes.select(F.explode("prefix").alias("s"), "id")
+    homes = classes.select(F.posexplode("prefix").alias("pos", "s"), "id")
     regions = homes.groupBy(F.col("s").alias("r_s")).agg(F.min("id").alias("pivot"), F.count("*").alias("m")).where("m > 1")
-    active = common.stored(homes.join(regions, F.col("s") == F.col("r_s")).select("s", "id", "pivot"), "active")
+    active = common.stored(homes.join(regions, F.col("s") == F.col("r_s")).select("s", "id", "pos", "pivot"), "active")
     sketches = filled.select("id", "n", "sketch")
     stars = active.where("id <> pivot").select(F.col("pivot").alias("x"), F.col("id").alias("y")).distinct()
     links = _linked(stars, sketches, known, size, percent, tested=False)
     comps = common.stored(components(links), "components")
 
-    placed = active.join(comps, F.col("id") == F.col("node"), "left").select("s", "id", F.coalesce("component", "id").alias("comp"))
+    placed = active.join(comps, F.col("id") == F.col("node"), "left").select("s", "id", "pos", F.coalesce("component", "id").alias("comp"))
     placed = common.stored(placed, "placed")
     open_ = placed.groupBy(F.col("s").alias("r_s")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("r_s", ((F.col("m") + BLOCK_DOCS - 1) / BLOCK_DOCS).cast("int").alias("blocks"))
-    left = placed.join(open_, F.col("s") == F.col("r_s")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    opened = placed.join(open_, F.col("s") == F.col("r_s"))
+    # a document's first open regions: two documents of different components that share a region share an open one
+    firsts = opened.groupBy(F.col("id").alias("k_id")).agg(F.slice(F.array_sort(F.collect_list(F.struct("pos", "s"))), 1, FIRST).alias("first"))
+    left = opened.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     # each pair of blocks of a region meets once: a document is on the left of its own block's pairs, on the right of earlier ones
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    left = left.select("s", "id", "comp", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), (F.col("block") <= F.col("other")).alias("left"))
-    full = left.join(sketches.withColumnRenamed("id", "k_id"), F.col("id") == F.col("k_id")).select("s", "bi", "bj", "id", "n", "comp", "left", "sketch")
+    left = left.select("s", "id", "pos", "comp", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), (F.col("block") <= F.col("other")).alias("left"))
+    # of an id with several texts, rows don't tell to which of them a position belongs
+    several = keepers.groupBy(F.col("rep").alias("m_id")).count().where("count > 1").select("m_id")
+    about = firsts.join(sketches, F.col("k_id") == F.col("id")).drop("id").join(several, F.col("k_id") == F.col("m_id"), "left")
+    single = F.col("m_id").isNull().cast("int")
+    named_first = [F.coalesce(F.get("first", F.lit(k))["s"], F.lit(0)).alias(f"first{k}") for k in range(FIRST)]
+    known_first = (single * F.size(F.filter("first", lambda f: f["pos"] < F.col("pos")))).alias("known")
+    full = left.join(about, F.col("id") == F.col("k_id")).select("s", "bi", "bj", "id", "n", "comp", "left", (single * F.col("pos")).alias("pos"), known_first, *named_first, "sketch")
     cells = full.repartition("s", "bi", "bj").sortWithinPartitions("s", "bi", "bj")
     more = _linked(cells.mapInArrow(_join_regions(percent), "x long, y long"), sketches, known, size, percent, tested=True)
     found = components(links.unionByName(more)).select(F.col("node").alias("f_id"), "component")

@@ -237,6 +237,48 @@ def test_jaccard_large_group_of_near_copies(spark):
     assert got == brute_components(rows)
 
 
+def test_jaccard_meets_near_copies_in_one_region(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(jaccard, "JOINED_ROWS", 1)  # a region at a time
+    base, texts = [f"w{i}" for i in range(400)], []
+    for k in range(60):
+        w = list(base)
+        for i in rnd.sample(range(400), 3 + k % 6):
+            w[i] = f"x{rnd.randrange(10_000)}"
+        texts.append(" ".join(w))
+    d, h = jaccard.shingles(pa.array(texts))
+    sets = [h[d == k] for k in range(60)]
+    prefix = [x[: len(x) - jaccard._needed(len(x), 85) + 1].view(np.int64).tolist() for x in sets]
+    regions = {}
+    for k, p in enumerate(prefix):
+        for i, x in enumerate(p):
+            regions.setdefault(x, []).append((k, i))
+    regions = {x: r for x, r in regions.items() if len(r) > 1}
+    first = [[x for x in p if x in regions][: jaccard.FIRST] for p in prefix]
+    batches = []
+    for x, r in regions.items():
+        rows = [
+            {"s": x, "bi": 0, "bj": 0, "id": k, "n": len(sets[k]), "comp": k, "left": True, "pos": i, "known": sum(prefix[k].index(f) < i for f in first[k])}
+            | {f"first{j}": f for j, f in enumerate((first[k] + [0] * jaccard.FIRST)[: jaccard.FIRST])}
+            | {"sketch": np.bincount((sets[k] & np.uint64(jaccard.SLICES - 1)).astype(np.int64), minlength=jaccard.SLICES).astype(np.uint8).tobytes()}
+            for k, i in r
+        ]
+        batches.append(pa.Table.from_pylist(rows).combine_chunks().to_batches()[0])
+    got = [(x, y) for b in jaccard._join_regions(85)(iter(batches)) for x, y in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    both = {(x, y): len(np.intersect1d(sets[x], sets[y])) for x in range(60) for y in range(x + 1, 60)}
+    want = {(x, y) for (x, y), m in both.items() if 100 * m >= 85 * (len(sets[x]) + len(sets[y]) - m)}
+    assert want <= set(got) and len(want) > 50
+    assert len(got) < 1.5 * len(set(got))
+
+
+def test_jaccard_links_an_id_by_each_of_its_texts(spark):
+    apart = [" ".join(f"{c}{i}" for i in range(120)) for c in "abc"]
+    many = [(5, t) for t in apart] + [(10 + k, t + " " + " ".join(f"y{k}{j}" for j in range(3))) for k, t in enumerate(apart * 3)]
+    found = {r["doc_id"]: r["component_id"] for r in jaccard.join(spark.createDataFrame(many, "doc_id long, text string")).collect()}
+    assert set(found.values()) == {5}
+
+
 def test_recursive_cells_lose_no_pair():
     g = np.random.default_rng(3)
     centre = g.integers(0, 9, (6, jaccard.SLICES))
