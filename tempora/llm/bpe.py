@@ -18,6 +18,8 @@ import os
 import re
 import struct
 import unicodedata
+from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -70,6 +72,7 @@ class WordBpe:
         self.ranks = {(mine(a), mine(b)): r for r, (a, b) in enumerate(m if isinstance(m, list) else m.split(" ") for m in model["merges"])}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names |= {i: t for t, i in self.special.items()}
+        self.shown = {t: self.names[i] for t, i in self.ids.items()}
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         # \s of the tokenizer is the White_Space property, which leaves out the separators 1C to 1F
         pattern = pattern.replace(r"\s", r"\p{White_Space}")
@@ -168,15 +171,19 @@ class WordBpe:
         spelled = [(w if w.isascii() and w.isprintable() else "".join(map(chars.__getitem__, w.encode()))) + END for w in words]
         tokens = [self.propose(w) for w in spelled]
         counts = np.fromiter((len(t) if t else 0 for t in tokens), np.int64, len(tokens))
-        flat = np.fromiter((ids[x] for t in tokens if t for x in t), np.int64, int(counts.sum()))
+        flat = np.fromiter(map(ids.__getitem__, chain.from_iterable(filter(None, tokens))), np.int64, int(counts.sum()))
         owner = np.repeat(np.arange(len(tokens)), counts)
         joint = owner[1:] == owner[:-1]
         good = counts > 0
         good[owner[1:][joint][~self._stands((flat[:-1] << PAIR_BITS | flat[1:])[joint])]] = False
-        out = {}
-        for w, s, t, ok in zip(words, spelled, tokens, good.tolist(), strict=True):
-            found = [ids[x] for x in (t if ok else self.merge(s))]
-            out[w] = struct.pack(f"<{len(found)}I", *found), " ".join(map(self.names.__getitem__, found))
+        exact = [t if ok else self.merge(s) for s, t, ok in zip(spelled, tokens, good.tolist(), strict=True)]
+        # all ids packed at once, a word's are a slice
+        packed = np.fromiter(map(ids.__getitem__, chain.from_iterable(exact)), "<u4").tobytes()
+        out, at, shown = {}, 0, self.shown.__getitem__
+        for w, t in zip(words, exact, strict=True):
+            end = at + 4 * len(t)
+            out[w] = packed[at:end], " ".join(map(shown, t))
+            at = end
         self.proposed += len(words)
         self.failed += int((~good).sum())
         return out
@@ -208,12 +215,16 @@ class WordBpe:
                     known.clear()
                     missing = set(words)
                 new = self.learn(list(missing))
-                known.update((w, x) for w, x in new.items() if len(w) <= common.CACHE_LENGTH)
-                found = [known[w] if w in known else new[w] for w in words]
+                if max(map(len, missing)) <= common.CACHE_LENGTH:
+                    known.update(new)
+                    found = list(map(known.__getitem__, words))
+                else:
+                    known.update((w, x) for w, x in new.items() if len(w) <= common.CACHE_LENGTH)
+                    found = [known[w] if w in known else new[w] for w in words]
             else:
                 found = list(map(known.__getitem__, words))
-            ids.append(b"".join([x[0] for x in found]))
-            out.append(" ".join([x[1] for x in found]))
+            ids.append(b"".join(map(itemgetter(0), found)))
+            out.append(" ".join(map(itemgetter(1), found)))
         return b"".join(ids), " ".join(out)
 
 

@@ -90,6 +90,22 @@ def test_bpe_speculation_is_exact_where_it_stands():
         assert found[w][0] == struct.pack(f"<{len(m := model.merge(spelled))}I", *[model.ids[x] for x in m])
 
 
+def test_bpe_words_learnt_together_keep_their_own_ids():
+    import json
+
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    tk = Tokenizer.from_file(path)
+    with open(path) as f:
+        model = bpe.WordBpe(json.load(f)).prove()
+    text = "the " + "x" * 200 + " é thonre qqqq 漢字 athinti, " + "ab" * 50 + " the end"
+    for t in (text, text + " " + "y" * 65, "new words only", ""):
+        ids = tk.encode(t, add_special_tokens=False).ids
+        assert model.encode(t) == (struct.pack(f"<{len(ids)}I", *ids), tk.decode(ids, skip_special_tokens=False))
+    assert all(len(w) <= 64 for w in model.table)
+
+
 def test_language(spark, none):
     words = {"aa": ["the", "thing", "other", "which", "that"], "bb": ["der", "schön", "über", "nicht", "auch"], "cc": ["это", "что", "как", "где", "они"]}
     rows = [(i, " ".join(rnd.choices(words[g], k=30)), g, "s") for i, g in enumerate(["aa", "bb", "cc"] * 40)]
