@@ -38,18 +38,25 @@ RATIO = 1.25
 MIN_LISTS = 12
 BEAM = 96
 DEGREE = 16
-#: Products of a query and a vector that are made at once.
+#: Products of a query and a vector that are made at once, and distances that are held at once.
 PAIRS = 65_536
+CELLS = 2_097_152
+
+
+def slices(n: int, width: int) -> list[slice]:
+    """Rows of an n x width matrix in slices of at most CELLS cells."""
+    step = max(CELLS // max(width, 1), 1)
+    return [slice(at, at + step) for at in range(0, n, step)]
 
 
 def centroids(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
-    """k-means whose assignment adds to a distance what a cluster is over its share."""
+    """k-means whose assignment adds to a distance what a cluster is over its share. Distances are made a slice at a time, once for their median and once to assign."""
     c = x[np.linspace(0, len(x) - 1, k).astype(int)].copy()
     load = np.zeros(k)
     for _ in range(rounds):
-        d = vectors.distances(x, c)
-        cost = d**2 + np.median(d.min(axis=1) ** 2) * np.maximum(load / (len(x) / k) - 1, 0)[None, :] * 0.2
-        near = cost.argmin(axis=1)
+        near = np.concatenate([vectors.distances(x[s], c).min(axis=1) for s in slices(len(x), k)])
+        over = np.median(near**2) * np.maximum(load / (len(x) / k) - 1, 0)[None, :] * 0.2
+        near = np.concatenate([(vectors.distances(x[s], c) ** 2 + over).argmin(axis=1) for s in slices(len(x), k)])
         load = np.bincount(near, minlength=k).astype(float)
         sums = np.zeros_like(c)
         np.add.at(sums, near, x)
@@ -57,19 +64,44 @@ def centroids(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
+def posted(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(lists of all rows one after the other, number of each row's): the nearest centroid, and further ones that are nearly as close and not hidden behind one taken."""
+    out, counts = [], []
+    for s in slices(len(x), len(c)):
+        d = vectors.distances(x[s], c)
+        n = min(4 * COPIES, d.shape[1])
+        order = np.argpartition(d, n - 1, axis=1)[:, :n]
+        far = np.take_along_axis(d, order, 1)
+        by = np.argsort(far, axis=1)
+        order, far = np.take_along_axis(order, by, 1), np.take_along_axis(far, by, 1)
+        at = c[order]
+        own = (at * at).sum(axis=2)
+        apart = np.sqrt(np.maximum(own[:, :, None] + own[:, None, :] - 2 * (at @ at.transpose(0, 2, 1)), 0))
+        kept = np.zeros(order.shape, bool)
+        kept[:, 0] = True
+        for j in range(1, n):
+            hidden = (kept & (apart[:, j] <= far[:, j, None] * 0.5)).any(axis=1)
+            kept[:, j] = (far[:, j] <= CLOSE * far[:, 0]) & (kept.sum(axis=1) < COPIES) & ~hidden
+        out.append(order[kept])
+        counts.append(kept.sum(axis=1))
+    return np.concatenate(out), np.concatenate(counts)
+
+
 class Graph:
     """Neighbour graph of the centroids: each is tied to near ones that no nearer tie already covers."""
 
     def __init__(self, c: np.ndarray):
         self.c = c
-        d = vectors.distances(c, c)
         self.ties = []
-        for i in range(len(c)):
-            kept: list[int] = []
-            for j in np.argsort(d[i], kind="stable")[: 4 * DEGREE + 1].tolist():
-                if j != i and len(kept) < DEGREE and all(d[i, j] <= d[j, t] for t in kept):
-                    kept.append(j)
-            self.ties.append(kept)
+        for s in slices(len(c), len(c)):
+            for i, d in enumerate(vectors.distances(c[s], c), s.start):
+                close = np.argsort(d, kind="stable")[: 4 * DEGREE + 1]
+                apart = vectors.distances(c[close], c[close])
+                kept: list[int] = []  # places in close
+                for a, j in enumerate(close.tolist()):
+                    if j != i and len(kept) < DEGREE and (d[j] <= apart[a, kept]).all():
+                        kept.append(a)
+                self.ties.append(close[kept].tolist())
         for i, kept in enumerate(list(map(list, self.ties))):
             for j in kept:
                 if i not in self.ties[j]:
@@ -123,41 +155,29 @@ def search(rows: DataFrame, is_query: Column, k: int = K, part_rows: int = vecto
     if not total:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     lists = int(np.clip(total // PER_LIST, 1, MAX_LISTS))
-    _, sampled = vectors.sample(rows, max(SAMPLE_ROWS, SAMPLE_PER_LIST * lists))
+    _, sampled = vectors.sample(rows, max(SAMPLE_ROWS, SAMPLE_PER_LIST * lists), total)
     lifted = vectors.lifted(sampled, m2)
     graph = Graph(centroids(lifted, lists))
     held = spark.sparkContext.broadcast(graph)  # at most MAX_LISTS centroids
-    between = vectors.distances(graph.c, graph.c)
 
     def post(batches):
-        c = held.value.c
         for b in batches:
             if not b.num_rows:
                 continue
-            d = vectors.distances(vectors.lifted(vectors.matrix(b.column(1)), m2), c)
-            order = np.argpartition(d, min(4 * COPIES, d.shape[1] - 1), axis=1)[:, : 4 * COPIES]
-            order = np.take_along_axis(order, np.argsort(np.take_along_axis(d, order, 1), axis=1), 1)
-            lists = []
-            for i, row in enumerate(order.tolist()):
-                kept = [row[0]]
-                for j in row[1:]:
-                    if len(kept) == COPIES or d[i, j] > CLOSE * d[i, row[0]]:
-                        break
-                    if all(between[j, t] > d[i, j] * 0.5 for t in kept):
-                        kept.append(j)
-                lists.append(kept)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lists, pa.list_(pa.int32()))], ["id", "v", "lists"])
-
-    posted = rows.mapInArrow(post, "id long, v array<double>, lists array<int>").select("id", "v", F.explode("lists").alias("list"))
-    sizes = {r["list"]: r["n"] for r in posted.groupBy("list").agg(F.count("*").alias("n")).collect()}  # at most MAX_LISTS rows
+            found, counts = posted(vectors.lifted(vectors.matrix(b.column(1)), m2), held.value.c)
+            ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(found.astype(np.int32)))], ["id", "v", "lists"])
+
+    copies = rows.mapInArrow(post, "id long, v array<double>, lists array<int>").select("id", "v", F.explode("lists").alias("list"))
+    sizes = {r["list"]: r["n"] for r in copies.groupBy("list").agg(F.count("*").alias("n")).collect()}  # at most MAX_LISTS rows
     parts = {g: -(-n // part_rows) for g, n in sizes.items()}
-    number = F.element_at(F.create_map(*[F.lit(x) for g, n in parts.items() for x in (g, n)]), F.col("list"))
+    number = F.get(F.lit(np.array([parts.get(g, 1) for g in range(lists)], np.int32)), F.col("list"))
 
     def gather(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, data = vectors.pack(pdf["id"].to_numpy(), np.stack(pdf["v"].to_numpy()))
         return pd.DataFrame({"list": [pdf["list"].iloc[0]], "part": [pdf["part"].iloc[0]], "ids": [ids], "data": [data]})
 
-    lists = posted.withColumn("part", F.pmod(F.xxhash64("id"), number).cast("int")).groupBy("list", "part").applyInPandas(gather, f"list int, part int, {vectors.BLOB}")
+    packed = copies.withColumn("part", F.pmod(F.xxhash64("id"), number).cast("int")).groupBy("list", "part").applyInPandas(gather, f"list int, part int, {vectors.BLOB}")
 
     def ask(batches):
         g = held.value
@@ -179,7 +199,7 @@ def search(rows: DataFrame, is_query: Column, k: int = K, part_rows: int = vecto
 
     blocks = rows.where(is_query).mapInArrow(ask, "q_list int, parts array<int>, q_ids binary, q_data binary")
     blocks = blocks.select("q_list", F.explode("parts").alias("q_part"), "q_ids", "q_data")
-    met = blocks.join(lists, (F.col("q_list") == F.col("list")) & (F.col("q_part") == F.col("part"))).select("ids", "data", "q_ids", "q_data")
+    met = blocks.join(packed, (F.col("q_list") == F.col("list")) & (F.col("q_part") == F.col("part"))).select("ids", "data", "q_ids", "q_data")
 
     def find(batches):
         for b in batches:

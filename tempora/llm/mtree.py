@@ -158,7 +158,7 @@ def search(rows: DataFrame, is_query: Column, k: int = K, routing: int = ROUTING
     rows, m2, total = vectors.measured(rows)
     if not total:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    first_ids, first = vectors.sample(rows, max(routing, FLOOR_ROWS))
+    first_ids, first = vectors.sample(rows, max(routing, FLOOR_ROWS), total)
     pivots = first[: min(routing, -(-total // PAGE))]
     lifted = vectors.lifted(pivots, m2)
 

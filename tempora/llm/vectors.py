@@ -71,10 +71,22 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(d, 0))
 
 
-def sample(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Up to n vectors in the order of their ids' hashes: a bounded number, on the driver."""
-    found = rows.orderBy(F.xxhash64("id"), "id").limit(n).collect()
-    return np.array([r["id"] for r in found], np.int64), np.array([r["v"] for r in found], np.float64).reshape(len(found), -1)
+def sample(rows: DataFrame, n: int, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Up to n of the total vectors in the order of their ids' hashes: a bounded number, on the driver.
+
+    Only rows below a hash that about n rows lie below are sorted: what is sent to the place that merges them does not grow with the partitions.
+    """
+    h, wanted, share = F.xxhash64("id"), min(n, total), (n + 10 * n**0.5) / max(total, 1)
+    low = rows
+    while share < 0.5:
+        low = rows.where(h < F.lit(int(share * 2**64) - 2**63))
+        if low.count() >= wanted:
+            break
+        low, share = rows, share * 2
+    found = low.orderBy(h, "id").limit(n).select("id", "v").toArrow().combine_chunks()
+    if not found.num_rows:
+        return np.zeros(0, np.int64), np.zeros((0, 0))
+    return found.column("id").to_numpy(), matrix(found.column("v").chunk(0))
 
 
 def best(hits: DataFrame, k: int, repeated: bool = False) -> DataFrame:
