@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT
 from ..functions import expr as X
 from ..functions.tables import stored
-from ..operators import evaluate, observe, survival
+from ..operators import cox, evaluate, observe, survival
 from .feature_queries import GRID, LIFE, MARKS, SPLIT, D, Layers
 from .oracle import sql
 from .registry import query
@@ -123,7 +123,8 @@ def _(spark, d):
     rows = landmark_rows(x)
     model = hazards(x, rows.where("split = 'TRAIN'"))
     test = borrowed(x).withColumnRenamed("survival", "type_curve")
-    curves = model.curves(rows.where("age = 0")).select("cycle_id", "t", F.col("raw").alias("s"))
-    met = stored(evaluate.conditioned_rows(test, stored(curves, "curves"), "cycle_id", "age_days", float(DEFAULT.horizon_days), "hazards"), "borrowed")
+    ratio = model.ratios(rows.where("age = 0")).select(F.col("cycle_id").alias("_c"), "r")
+    met = test.where("age_days IS NOT NULL").join(ratio, F.col("cycle_id") == F.col("_c")).drop("_c")
+    met = stored(met.withColumn("hazards", cox.within(model.hazards, F.col("r"), F.col("age_days"), float(DEFAULT.horizon_days))), "borrowed")
     days = met.agg(F.floor(X.days(F.min("at_us"), F.max("at_us")))).first()[0] or 0
     return evaluate.compared(met, ["hazards", "type_curve", "classifier"], "k", float(days))
