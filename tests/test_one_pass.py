@@ -41,3 +41,12 @@ def test_cleaning_is_that_of_the_expression_alone(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "t string")
     for r in rows.select("t", X.clean(F.col("t")).alias("got"), F.nullif(F.upper(F.regexp_replace(F.trim("t"), r"\s+", " ")), F.lit("")).alias("want")).collect():
         assert r["got"] == r["want"], r
+
+
+def test_what_became_of_failures_is_found_in_one_shuffle(spark):
+    from tempora.operators import outcome
+
+    x = Layers(spark, DIR)
+    rows = outcome.resolve(x.episodes, x.op, x.cycles)
+    assert len(re.findall(r"Exchange hashpartitioning\(", plan(rows))) == 1 and "SortMergeJoin" not in plan(rows)
+    assert rows.count() == x.episodes.where("onset_us IS NOT NULL").count() and rows.where("is_labeled").count() > 0
